@@ -35,11 +35,13 @@ def round_to_base(col: Column, base: float) -> Column:
 def bin_left_edge(col: Column, low: int, width: int) -> Column:
     """Left edge of the right-closed bin of ``width`` that starts at ``low``.
 
-    The lowest edge belongs to the first bin. Integer arithmetic only, so values
-    beyond 2^53 keep their exact bin.
+    The lowest edge belongs to the first bin; null stays null. Integer arithmetic only,
+    so values beyond 2^53 keep their exact bin.
     """
-    offset = F.greatest(col - F.lit(low) - F.lit(1), F.lit(0))
-    return F.lit(low) + offset - F.pmod(offset, F.lit(width))
+    beyond = col - F.lit(low) - F.lit(1)
+    return F.when(col <= F.lit(low), F.lit(low)).when(
+        col > F.lit(low), F.lit(low) + beyond - F.pmod(beyond, F.lit(width))
+    )
 
 
 def hash_uniform(seed: str, *keys: Column) -> Column:
@@ -101,8 +103,9 @@ def absolute_percentage_difference(value: Column, baseline: Column) -> Column:
     return F.try_divide(100.0 * F.abs(value - baseline), baseline)
 
 
-def technique_initials(techniques: Column) -> Column:
+def technique_initials(techniques: Column | str) -> Column:
     """Map an array of technique names to their initials, in the same order."""
+    techniques = F.col(techniques) if isinstance(techniques, str) else techniques
     lookup = F.create_map(*[F.lit(x) for pair in INITIALS.items() for x in pair])
     return F.transform(techniques, lambda t: F.coalesce(lookup[t], t))
 

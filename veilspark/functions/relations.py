@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,3 +70,16 @@ def staged(df: DataFrame, label: str = "stage") -> DataFrame:
 def ratio(numerator: Column, denominator: Column) -> Column:
     """Division that yields null for an empty denominator."""
     return F.try_divide(numerator.cast("double"), denominator.cast("double"))
+
+
+def at_once(spark: SparkSession, work: Callable, items: Iterable, width: int = 4) -> list:
+    """Run independent Spark jobs side by side, results in order.
+
+    Jobs of a few small stages leave most of a cluster idle; submitting some of them
+    together lets Spark fill it.
+    """
+    items = list(items)
+    if len(items) < 2:
+        return [work(i) for i in items]
+    with ThreadPoolExecutor(min(width, len(items))) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(work), i) for i in items]]

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.expressions import numeric_similarity, text_similarity
-from veilspark.functions.relations import ratio
+from veilspark.functions.relations import ratio, staged
 from veilspark.operators.equivalence import choose_block
 from veilspark.operators.near_text import long_text_columns, near_text_pairs
 from veilspark.operators.schema import align_types, column_class
@@ -372,10 +372,14 @@ def _near_tables(
     used = {i for s in cover for i in s.fields if not rule.fields[i].numeric}
     left, right = _comparable(left, rule), _comparable(right, rule)
     long = long_text_columns(left, right, [f"f{i}" for i in sorted(used)])
-    return {
-        int(c[1:]): near_text_pairs(left.select(c).distinct(), right.select(c).distinct(), c)
-        for c in long
-    }
+    found = {}
+    for c, longest in long.items():
+        values = [side.select(c).distinct() for side in (left, right)]
+        # Several key sets join this table, so it is written once.
+        pairs = staged(near_text_pairs(*values, c, longest), "near")
+        if not pairs.isEmpty():
+            found[int(c[1:])] = pairs
+    return found
 
 
 def unresolved_rows(

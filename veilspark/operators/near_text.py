@@ -22,16 +22,18 @@ CHARACTERS_PER_EDIT = 10
 DELETION_EDITS = 2
 
 
-def near_text_pairs(left: DataFrame, right: DataFrame, col: str) -> DataFrame:
+def near_text_pairs(left: DataFrame, right: DataFrame, col: str, longest: int) -> DataFrame:
     """Distinct pairs ``(lv, rv)``, ``lv != rv``, of values of ``col`` that are similar.
 
-    Both inputs hold the column once per distinct value.
+    Both inputs hold the column once per distinct value; ``longest`` bounds the length of
+    all values.
     """
-    lv = _levels(left.select(F.col(col).alias("v")))
-    rv = _levels(right.select(F.col(col).alias("v")))
-    few = _deletion_keys(lv), _deletion_keys(rv)
-    many = _probe_keys(lv), _piece_keys(rv)
-    pairs = _meet(*few).unionByName(_meet(*many))
+    edits = longest // CHARACTERS_PER_EDIT
+    lv = _levels(left.select(F.col(col).alias("v")), edits)
+    rv = _levels(right.select(F.col(col).alias("v")), edits)
+    pairs = _meet(_deletion_keys(lv), _deletion_keys(rv))
+    if edits > DELETION_EDITS:
+        pairs = pairs.unionByName(_meet(_probe_keys(lv), _piece_keys(rv)))
     edits = F.levenshtein("lv", "rv")
     longest = F.greatest(F.length("lv"), F.length("rv"))
     return (
@@ -41,21 +43,27 @@ def near_text_pairs(left: DataFrame, right: DataFrame, col: str) -> DataFrame:
     )
 
 
-def long_text_columns(left: DataFrame, right: DataFrame, cols: list[str]) -> set[str]:
-    """Text columns with values on both sides long enough for an edit to be forgiven."""
+def long_text_columns(left: DataFrame, right: DataFrame, cols: list[str]) -> dict[str, int]:
+    """Text columns with values on both sides that an edit can be forgiven, and the
+    length of the longest value."""
     if not cols:
-        return set()
-    longest = [F.max(F.length(c)).alias(c) for c in cols]
-    both = left.agg(*longest).unionByName(right.agg(*longest))
-    row = both.agg(*[F.min(F.coalesce(c, F.lit(0))).alias(c) for c in cols]).first()
-    return {c for c in cols if row[c] >= CHARACTERS_PER_EDIT - 1}
-
-
-def _levels(values: DataFrame) -> DataFrame:
+        return {}
+    longest = [F.coalesce(F.max(F.length(c)), F.lit(0)).alias(c) for c in cols]
+    both = left.agg(*longest).unionByName(right.agg(*longest)).collect()
+    shorter = {c: min(row[c] for row in both) for c in cols}
+    longer = {c: max(row[c] for row in both) for c in cols}
+    return {
+        c: longer[c]
+        for c in cols
+        if shorter[c] >= CHARACTERS_PER_EDIT - 1 and longer[c] >= CHARACTERS_PER_EDIT
+    }
+
+
+def _levels(values: DataFrame, most: int) -> DataFrame:
     """One row per value and number of edits ``k`` it can take part with."""
     size = F.length("v")
     low = F.greatest((size / CHARACTERS_PER_EDIT).cast("int"), F.lit(1))
-    high = (size / (CHARACTERS_PER_EDIT - 1)).cast("int")
+    high = F.least((size / (CHARACTERS_PER_EDIT - 1)).cast("int"), F.lit(most))
     return (
         values.where(F.col("v").isNotNull() & (size >= CHARACTERS_PER_EDIT - 1))
         .select("v", size.alias("size"), F.explode(F.sequence(low, F.greatest(low, high))).alias("k"))
