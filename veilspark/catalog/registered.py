@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from veilspark.catalog import risk, searches, techniques  # noqa: F401
+from veilspark.catalog import analysis, risk, searches, signtests, techniques  # noqa: F401
 from veilspark.catalog.base import ORACLE, QUERIES  # noqa: F401
