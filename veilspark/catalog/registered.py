@@ -1,4 +1,12 @@
 """Importing this module registers every query."""
 
-from veilspark.catalog import analysis, risk, searches, signtests, techniques  # noqa: F401
+from veilspark.catalog import (  # noqa: F401
+    analysis,
+    modelling,
+    risk,
+    searches,
+    signtests,
+    storage,
+    techniques,
+)
 from veilspark.catalog.base import ORACLE, QUERIES  # noqa: F401
