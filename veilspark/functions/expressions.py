@@ -66,19 +66,25 @@ def numeric_similarity(a: Column, b: Column, scale: float = 1.0) -> Column:
     return F.coalesce(F.nanvl(score, F.lit(0.0)), F.lit(0.0))
 
 
-def text_similarity(a: Column, b: Column, threshold: float = 0.9) -> Column:
+def text_similarity(
+    a: Column, b: Column, threshold: float = 0.9, worth: Column | None = None
+) -> Column:
     """1 where the normalised edit similarity reaches ``threshold``, else 0.
 
     Below ``1 / (1 - threshold)`` characters a single edit already fails, so short
-    texts are compared for equality only. Missing or empty on both sides counts 0.
+    texts are compared for equality only. Missing or empty on both sides counts 0. The
+    edit distance is computed only where ``worth`` holds; elsewhere it counts 0.
     """
     longest = F.greatest(F.length(a), F.length(b))
     shortest_editable = int(round(1.0 / (1.0 - threshold)))
     edits = F.levenshtein(a, b) / longest.cast("double")
+    skipped = longest < shortest_editable
+    if worth is not None:
+        skipped = skipped | ~worth
     return (
         F.when(a.isNull() | b.isNull() | (longest == 0), 0.0)
         .when(a == b, 1.0)
-        .when(longest < shortest_editable, 0.0)
+        .when(skipped, 0.0)
         .when(1.0 - edits >= threshold, 1.0)
         .otherwise(0.0)
     )

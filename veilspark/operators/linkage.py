@@ -5,9 +5,11 @@ compared field by field; each field adds a similarity between 0 and 1, and a pai
 if the sum exceeds 1 and reaches ``min_score``. With a blocking column only records of
 the same block are compared.
 
-Blocks are skewed, and within a block all pairs would be compared. Neither happens here:
+Blocks are skewed, and comparing all pairs of a block is quadratic in it. So:
 
-1. Both sides are reduced to distinct rows with a weight.
+1. Both sides are reduced to distinct rows with a weight. A block with few originals is
+   compared directly: at most ``DIRECT_BLOCK`` comparisons per protected row, which costs
+   less than what follows. All other blocks go on.
 2. *Enough*: certain sets of agreeing fields are enough for a link whatever the others
    say. If two or more originals share such a set with a protected row, the row has more
    than one link and is settled by a count, without forming a pair. This is what happens
@@ -38,6 +40,8 @@ from veilspark.operators.equivalence import choose_block
 from veilspark.operators.near_text import long_text_columns, near_text_pairs
 from veilspark.operators.schema import align_types, column_class
 
+# Blocks with more originals than this are matched by keys instead of pair by pair.
+DIRECT_BLOCK = 256
 # Families larger than this are replaced by a partition of the fields into groups, of
 # which at least one has to agree.
 MAX_KEY_SETS = 24
@@ -103,8 +107,6 @@ class LinkageRule:
         whole = abs(room - lost) < 1e-12
         kept = len(compared) - lost
         subsets = lambda size: [c for c in combinations(compared, size)]
-        if kept == 0:
-            return [KeySet((), 0.0)], [KeySet((), None)]
         many = math.comb(len(compared), kept)
         if whole and lost:
             many += math.comb(len(compared), kept + 1)
@@ -258,14 +260,18 @@ def _cells(i: int, reach: float, width: float, left: bool) -> str:
     With ``2 * reach <= width`` all values within ``reach`` lie in two cells at most.
     """
     if not left:
-        return f"array(CAST(floor(f{i} / {width!r}D) AS STRING))"
-    ends = [f"CAST(floor((f{i} {sign} {reach!r}D) / {width!r}D) AS STRING)" for sign in "-+"]
+        return f"array(floor(f{i} / {width!r}D))"
+    ends = [f"floor((f{i} {sign} {reach!r}D) / {width!r}D)" for sign in "-+"]
     return f"array_distinct(array({', '.join(ends)}))"
 
 
 def _cover_keys(rule: LinkageRule, n: int, s: KeySet, left: bool) -> str:
-    """Array of ``(n, key)`` under which a row is filed (original) or looked up."""
-    parts, cells = [], []
+    """Array of ``(n, key)`` under which a row is filed (original) or looked up.
+
+    Keys are hashes: rows that share one by accident are told apart by their values.
+    """
+    b = _block_position(rule)
+    parts, cells = [str(n)] + ([] if b is None else [f"f{b}"]), []
     limit = MAX_EQUAL_CELLS if s.slack == 0.0 else MAX_NEAR_CELLS
     for i in s.fields:
         f = rule.fields[i]
@@ -274,10 +280,11 @@ def _cover_keys(rule: LinkageRule, n: int, s: KeySet, left: bool) -> str:
         elif len(cells) < limit:
             reach, width = (1e-8, 1e-6) if s.slack == 0.0 else (2.0, 4.0)
             cells.append(_cells(i, reach * f.scale, width * f.scale, left))
-    keys = f"array({_key(rule, n, parts)})"
+    keys = f"array(xxhash64({', '.join(parts)}))"
     for c in cells:
         # Every key extended by every cell.
-        keys = f"flatten(transform({keys}, k -> transform({c}, c -> concat(k, array(c)))))"
+        keys = f"flatten(transform({keys}, k -> transform({c}, c -> xxhash64(k, c))))"
+    keys = f"array_distinct({keys})" if cells and left else keys
     return _when_filled(rule, s, f"transform({keys}, k -> struct({n} AS n, k AS key))")
 
 
@@ -295,74 +302,142 @@ def _cover_rows(
     the original side files each row once per key set.
     """
     values = [f"f{i}" for i in range(len(rule.fields))]
-    plain, special = [], []
+    # Key sets that use the same long texts share one expansion of the rows.
+    by_texts: dict[tuple[int, ...], list[str]] = {}
     for n, s in enumerate(sets):
-        (special if left and any(i in near for i in s.fields) else plain).append((n, s))
+        texts = tuple(i for i in s.fields if left and i in near)
+        by_texts.setdefault(texts, []).append(_cover_keys(rule, n, s, left))
 
     frames = []
-    if plain:
-        listed = ", ".join(_cover_keys(rule, n, s, left) for n, s in plain)
-        keys = F.explode(F.expr(f"flatten(array_compact(array({listed})))"))
-        frames.append(df.select(*values, *carried, keys.alias("x")).select("x.n", "x.key", *values, *carried))
-    for n, s in special:
-        rows = df
-        own = {}
-        for i in s.fields:
-            if i in near:
-                # Replace the value by itself and by each similar value in turn.
-                own[i] = f"own_{i}"
-                kept = rows.withColumn(own[i], F.col(f"f{i}"))
-                others = kept.join(near[i], F.col(own[i]) == F.col("lv"))
-                others = others.withColumn(f"f{i}", F.col("rv")).drop("lv", "rv")
-                rows = kept.unionByName(others)
+    for texts, keys in by_texts.items():
+        rows, own = df, {}
+        for i in texts:
+            # Replace the value by itself and by each similar value in turn.
+            own[i] = f"own_{i}"
+            kept = rows.withColumn(own[i], F.col(f"f{i}"))
+            others = kept.join(near[i], F.col(own[i]) == F.col("lv"))
+            others = others.withColumn(f"f{i}", F.col("rv")).drop("lv", "rv")
+            rows = kept.unionByName(others)
+        filed = F.explode(F.expr(f"flatten(array_compact(array({', '.join(keys)})))"))
         restored = [F.col(own.get(i, v)).alias(v) for i, v in enumerate(values)]
-        keys = F.explode(F.expr(_cover_keys(rule, n, s, left)))
         frames.append(
-            rows.withColumn("x", keys).select("x.n", "x.key", *restored, *carried)
+            rows.select(filed.alias("x"), *restored, *carried).select("x.n", "x.key", *values, *carried)
         )
     return reduce(DataFrame.unionByName, frames)
 
 
-def _candidate_pairs(
+def _sided(df: DataFrame, rule: LinkageRule, side: str, carried: Sequence[str], *keep: str) -> DataFrame:
+    names = [*[f"f{i}" for i in range(len(rule.fields))], *carried]
+    return df.select(*keep, *[F.col(c).alias(f"{side}_{c}") for c in names])
+
+
+def _similarities(rule: LinkageRule) -> list[Column]:
+    """Similarity of every field of a met pair.
+
+    The edit distance is computed only where it can still lift the pair to the threshold;
+    elsewhere the pair fails whatever it is, and 0 stands for it.
+    """
+    b = _block_position(rule)
+    cheap, sims = {}, []
+    for i, f in enumerate(rule.fields):
+        if i == b:
+            # Equal by the join; an empty text agrees with nothing.
+            cheap[i] = F.lit(1.0) if f.numeric else F.when(F.col(f"l_f{i}") != "", 1.0).otherwise(0.0)
+        elif f.numeric:
+            cheap[i] = numeric_similarity(F.col(f"l_f{i}"), F.col(f"r_f{i}"), f.scale)
+    texts = [i for i in range(len(rule.fields)) if i not in cheap]
+    bounds = [
+        F.expr(f"CASE WHEN l_f{i} = r_f{i} OR greatest(length(l_f{i}), length(r_f{i})) >= 10 THEN 1D ELSE 0D END")
+        for i in texts
+    ]
+    reachable = reduce(lambda x, y: x + y, [*cheap.values(), *bounds])
+    needed = 1.0 if rule.indexed else max(rule.min_score, 1.0)
+    worth = reachable >= F.lit(needed - _EPS)
+    for i in range(len(rule.fields)):
+        sims.append(
+            cheap[i] if i in cheap else text_similarity(F.col(f"l_f{i}"), F.col(f"r_f{i}"), worth=worth)
+        )
+    return [c.alias(f"s{i}") for i, c in enumerate(sims)]
+
+
+def _linked(met: DataFrame, rule: LinkageRule) -> DataFrame:
+    """Scored pairs that link, of pairs with their similarities ``s0, s1, ...``."""
+    total = F.expr(f"round({' + '.join(f's{i}' for i in range(len(rule.fields)))}, 9)")
+    position = F.col("l_p") + F.col("r_p") if rule.indexed else F.lit(0.0)
+    scored = met.withColumn("similarity", total).withColumn("score", F.col("similarity") + position)
+    return scored.where((F.col("similarity") > 1) & (F.col("score") >= F.lit(float(rule.min_score))))
+
+
+def _pairs_by_block(
+    left: DataFrame, right: DataFrame, rule: LinkageRule, left_cols: Sequence[str], right_cols: Sequence[str]
+) -> DataFrame:
+    """Linked pairs of small blocks: all pairs of a block are compared."""
+    b = _block_position(rule)
+    a, o = _sided(left, rule, "l", left_cols), _sided(right, rule, "r", right_cols)
+    met = a.join(o, F.col(f"l_f{b}") == F.col(f"r_f{b}"))
+    return _linked(met.select("*", *_similarities(rule)), rule)
+
+
+def _pairs_by_keys(
     left: DataFrame, right: DataFrame, rule: LinkageRule, cover: Sequence[KeySet],
     left_cols: Sequence[str], right_cols: Sequence[str], near: dict[int, DataFrame],
 ) -> DataFrame:
-    """Linked pairs, each once, with ``score``; ``left_cols``/``right_cols`` are carried."""
-    values = [f"f{i}" for i in range(len(rule.fields))]
+    """Linked pairs that meet under a cover key, each once."""
     b = _block_position(rule)
     if b is not None:
         left, right = (d.where(F.col(f"f{b}").isNotNull()) for d in (left, right))
     a = _cover_rows(left, rule, cover, left_cols, True, near)
     o = _cover_rows(right, rule, cover, right_cols, False, {})
-    a = a.select("n", "key", *[F.col(v).alias(f"l_{v}") for v in values], *[F.col(c).alias(f"l_{c}") for c in left_cols])
-    o = o.select("key", *[F.col(v).alias(f"r_{v}") for v in values], *[F.col(c).alias(f"r_{c}") for c in right_cols])
-    met = a.join(o, "key")
-
-    sims = []
-    for i, f in enumerate(rule.fields):
-        x, y = F.col(f"l_f{i}"), F.col(f"r_f{i}")
-        if i == b:
-            # Equal by the join; an empty text agrees with nothing.
-            sims.append(F.lit(1.0) if f.numeric else F.when(x != "", 1.0).otherwise(0.0))
-        elif f.numeric:
-            sims.append(numeric_similarity(x, y, f.scale))
-        else:
-            sims.append(text_similarity(x, y))
-    scored = met.select("*", *[s.alias(f"s{i}") for i, s in enumerate(sims)])
+    met = _sided(a, rule, "l", left_cols, "n", "key").join(_sided(o, rule, "r", right_cols, "key"), "key")
+    if b is not None:
+        met = met.where(F.col(f"l_f{b}") == F.col(f"r_f{b}"))
+    scored = met.select("*", *_similarities(rule))
 
     def satisfied(s: KeySet) -> str:
         tests = []
         for i in s.fields:
             equal = rule.fields[i].numeric and s.slack == 0.0
             tests.append(f"s{i} > {1.0 - _EPS if equal else 0.0!r}D")
-        return " AND ".join(tests) or "true"
+        return " AND ".join(tests)
 
     first = F.expr(f"CASE {' '.join(f'WHEN {satisfied(s)} THEN {n}' for n, s in enumerate(cover))} END")
-    total = F.expr(f"round({' + '.join(f's{i}' for i in range(len(sims)))}, 9)")
-    pairs = scored.where(F.col("n") == first).withColumn("similarity", total)
-    linked = (F.col("similarity") > 1) & (F.col("score") >= F.lit(float(rule.min_score)))
-    position = F.col("l_p") + F.col("r_p") if rule.indexed else F.lit(0.0)
-    return pairs.withColumn("score", F.col("similarity") + position).where(linked)
+    return _linked(scored.where(F.col("n") == first), rule)
+
+
+def _crowded_blocks(right: DataFrame, rule: LinkageRule) -> tuple[bool, bool, DataFrame | None]:
+    """Are there small blocks, are there large ones, and which are the large ones?"""
+    b = _block_position(rule)
+    if b is None:
+        return False, True, None
+    sizes = right.select(f"f{b}").groupBy(f"f{b}").agg(F.count(F.lit(1)).alias("n"))
+    small = F.count_if(F.col("n") <= DIRECT_BLOCK).alias("small")
+    large = F.count_if(F.col("n") > DIRECT_BLOCK).alias("large")
+    row = sizes.where(F.col(f"f{b}").isNotNull()).agg(small, large).first()
+    return row["small"] > 0, row["large"] > 0, sizes.where(F.col("n") > DIRECT_BLOCK).select(f"f{b}")
+
+
+def _all_pairs(
+    left: DataFrame, right: DataFrame, rule: LinkageRule, blocks: tuple, near: dict[int, DataFrame],
+    left_cols: Sequence[str], right_cols: Sequence[str], settle: bool,
+) -> DataFrame:
+    """Linked pairs of all blocks; with ``settle`` rows that a count settles are left out."""
+    enough, cover = rule.key_sets()
+    small, large, which = blocks
+    if not large:
+        return _pairs_by_block(left, right, rule, left_cols, right_cols)
+    found = []
+    if small:
+        on = which.columns
+        found.append(
+            _pairs_by_block(
+                left.join(which, on, "left_anti"), right.join(which, on, "left_anti"), rule, left_cols, right_cols
+            )
+        )
+        left, right = left.join(which, on, "left_semi"), right.join(which, on, "left_semi")
+    rest = unresolved_rows(left, right, rule, enough) if settle else left
+    keyed = _pairs_by_keys(rest, right, rule, cover, left_cols, right_cols, near)
+    found.append(keyed.select(*found[0].columns) if found else keyed)
+    return reduce(DataFrame.unionByName, found)
 
 
 def _near_tables(
@@ -370,7 +445,6 @@ def _near_tables(
 ) -> dict[int, DataFrame]:
     """Similar but unequal values of the long text fields that occur in keys."""
     used = {i for s in cover for i in s.fields if not rule.fields[i].numeric}
-    left, right = _comparable(left, rule), _comparable(right, rule)
     long = long_text_columns(left, right, [f"f{i}" for i in sorted(used)])
     found = {}
     for c, longest in long.items():
@@ -431,14 +505,15 @@ def linkage_risk(
         protected, original, fields, block, min_score, score, indexer, id_cols, scale
     )
     total = protected.agg(F.count(F.lit(1)).alias("n"))
-    enough, cover = rule.key_sets()
+    _, cover = rule.key_sets()
     if not cover:
         return total.select(F.when(F.col("n") > 0, 0.0).alias(name))
-    near = _near_tables(left, right, rule, cover)
+    plain = _comparable(left, rule), _comparable(right, rule)
+    blocks = _crowded_blocks(plain[1], rule)
+    near = _near_tables(*plain, rule, cover) if blocks[1] else {}
     left = _side(left, rule, id_cols)
     right = _side(right, rule, id_cols)
-    open_rows = unresolved_rows(left, right, rule, enough)
-    pairs = _candidate_pairs(open_rows, right, rule, cover, ["p", "w"], ["p", "w"], near)
+    pairs = _all_pairs(left, right, rule, blocks, near, ["p", "w"], ["p", "w"], True)
     keys = [f"l_f{i}" for i in range(len(rule.fields))] + ["l_p", "l_w"]
     single = (
         pairs.groupBy(*keys)
@@ -472,8 +547,6 @@ def linked_pairs(
     ids = [f"id{i}" for i in range(len(id_cols))]
     named = [F.col(c).alias(n) for c, n in zip(id_cols, ids)]
     top = max(math.ceil(rule.min_score), 1)
-    near = _near_tables(left, right, rule, cover)
-
     def rows(df: DataFrame) -> DataFrame:
         if rule.indexed:
             df = _with_position(df, id_cols, top)
@@ -482,9 +555,15 @@ def linked_pairs(
 
     left, right = rows(left), rows(right)
     if not cover:
-        left, cover = left.limit(0), [KeySet((), None)]
+        # No pair can reach the threshold.
+        left, blocks, near = left.limit(0), (True, False, None), {}
+        block = block or fields[0]
+        rule = linkage_rule(protected, original, fields, block, min_score, score, "block", scale)
+    else:
+        blocks = _crowded_blocks(right, rule)
+        near = _near_tables(left, right, rule, cover) if blocks[1] else {}
     carried = [*ids, "p"]
-    pairs = _candidate_pairs(left, right, rule, cover, carried, carried, near)
+    pairs = _all_pairs(left, right, rule, blocks, near, carried, carried, False)
     return pairs.select(
         *[F.col(f"l_{i}").alias(f"{c}_protected") for i, c in zip(ids, id_cols)],
         *[F.col(f"r_{i}").alias(f"{c}_original") for i, c in zip(ids, id_cols)],

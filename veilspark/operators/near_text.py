@@ -29,18 +29,22 @@ def near_text_pairs(left: DataFrame, right: DataFrame, col: str, longest: int) -
     all values.
     """
     edits = longest // CHARACTERS_PER_EDIT
-    lv = _levels(left.select(F.col(col).alias("v")), edits)
-    rv = _levels(right.select(F.col(col).alias("v")), edits)
+    # A value unfolds into many keys, so a few bytes of values are a lot of work: a fixed
+    # number of partitions keeps adaptive execution from merging them by size. (Hashing
+    # the hash asks for a partitioning that distinct has not left already.)
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lv, rv = (
+        _levels(side.select(F.col(col).alias("v")).repartition(parts, F.xxhash64("v")), edits)
+        for side in (left, right)
+    )
     pairs = _meet(_deletion_keys(lv), _deletion_keys(rv))
     if edits > DELETION_EDITS:
         pairs = pairs.unionByName(_meet(_probe_keys(lv), _piece_keys(rv)))
-    edits = F.levenshtein("lv", "rv")
-    longest = F.greatest(F.length("lv"), F.length("rv"))
-    return (
-        pairs.where(F.col("lv") != F.col("rv"))
-        .distinct()
-        .where(1.0 - edits / longest.cast("double") >= 0.9)
-    )
+    distance = F.levenshtein("lv", "rv")
+    size = F.greatest(F.length("lv"), F.length("rv")).cast("double")
+    # Verified before duplicates are dropped: most pairs that meet are not similar.
+    similar = pairs.where(F.col("lv") != F.col("rv")).where(1.0 - distance / size >= 0.9)
+    return similar.distinct()
 
 
 def long_text_columns(left: DataFrame, right: DataFrame, cols: list[str]) -> dict[str, int]:
