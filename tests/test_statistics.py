@@ -183,3 +183,27 @@ def test_prepare_features(spark):
     done = features.prepare(df, "y", ["id"])
     assert set(done.feature_names) == {"x", "kind_a", "kind_b"}
     assert {r["label"] for r in done.table.select("label").distinct().collect()} == {0.0, 1.0}
+
+
+def test_collection_is_written_one_by_one(spark, part, tmp_path):
+    from veilspark.plans.deidentify import evaluate_collection
+
+    fields = ["p_brand", "p_size"]
+    df = part.select("p_partkey", *fields)
+    study = study_of(df, None, ["p_partkey"], min_score=2, seed="s", approximate=True)
+
+    def write(ds_id, done):
+        for number, variant in enumerate(done.variants.values()):
+            tables.write_variant(variant, str(tmp_path), ds_id, number)
+
+    risk = evaluate_collection({0: (df, study), 1: (df.limit(50), study)}, write, techniques=["globalrec"])
+    assert sorted(r["ds_id"] for r in risk.collect()) == [0, 1]
+    assert tables.read_variant(spark, str(tmp_path), 1, 0).count() == 50
+
+
+def test_settled_noise_is_the_same_noise(part):
+    from veilspark.operators.noise import fit_noise
+
+    policy = fit_noise(part, ["p_partkey"], "s", ["p_retailprice"], ["p_brand"])
+    same = tables_equal(policy.transform(part), policy.settled().transform(part), ["p_partkey"])
+    assert same.first()["equal"]

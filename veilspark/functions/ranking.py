@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SINGLE_TASK_LIMIT = 50_000
-HASH_BUCKETS = 4096
+# Hex digits of the hash that name a slice: 65,536 slices per group.
+SLICE_DIGITS = 4
 
 
 def average_rank(
@@ -37,10 +38,10 @@ def hashed_row_number(
     """
     digest = F.md5(F.concat_ws("|", F.lit(seed), *[F.col(i).cast("string") for i in ids]))
     keyed = df.withColumn("__h", digest).withColumn(
-        "__slice", F.conv(F.substring("__h", 1, 3), 16, 10).cast("int")
+        "__slice", F.conv(F.substring("__h", 1, SLICE_DIGITS), 16, 10).cast("int")
     )
     sizes = keyed.groupBy(group, "__slice").agg(F.count(F.lit(1)).alias("__n"))
-    # At most HASH_BUCKETS rows per group reach these windows.
+    # At most one row per slice of a group reaches these windows.
     upto = Window.partitionBy(group).orderBy("__slice").rowsBetween(
         Window.unboundedPreceding, -1
     )

@@ -587,12 +587,15 @@ def rl_value(
     score: str = "similarity",
     id_cols: Sequence[str] = (),
     scale: dict[str, float] | None = None,
+    approximate: bool = False,
 ) -> tuple[float | None, str]:
     """``(rl, blocking column)`` with the block chosen from the protected table.
 
     A one-valued block singles nobody out: the risk is 0 and nothing is compared.
+    ``approximate`` counts distinct values by sketch when choosing the block, which
+    spares very wide or very long tables a shuffle per column.
     """
-    block, stats = choose_block(protected, fields)
+    block, stats = choose_block(protected, fields, approximate)
     if stats.distinct[block] == 1:
         return 0.0, block
     found = linkage_risk(

@@ -37,8 +37,8 @@ QUICK_GRIDS = {
     "RF": {"trees": (10, 20), "depth": (4,)},
     "Bag": {"trees": (5, 10)},
     "XGB": {"trees": (5, 10), "depth": (3,), "rate": (0.1,)},
-    "LogR": {"c": (1e-4, 1.0), "iterations": (50,)},
-    "NN": {"layout": (0, 1), "alpha": (1e-4,), "iterations": (30,)},
+    "LogR": {"c": (1e-4, 1.0), "iterations": (15,)},
+    "NN": {"layout": (0, 1), "alpha": (1e-4,), "iterations": (10,)},
 }
 BINARY_ONLY = ("XGB",)
 MAX_DEPTH = 30

@@ -2,7 +2,8 @@
 
 Suppression, fences, rounding, recoding and decimals are stateless projections once
 fitted, so the batch policy is the streaming policy. Noise joins its table of class
-diameters, a stream-static join.
+diameters, a stream-static join; ``NoisePolicy.settled`` writes that table out first, so
+no micro-batch measures the classes again.
 """
 
 from __future__ import annotations
