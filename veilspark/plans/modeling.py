@@ -40,8 +40,10 @@ QUICK_GRIDS = {
     "LogR": {"c": (1e-4, 1.0), "iterations": (15,)},
     "NN": {"layout": (0, 1), "alpha": (1e-4,), "iterations": (10,)},
 }
-BINARY_ONLY = ("XGB",)
 MAX_DEPTH = 30
+# Training passes over its rows many times; tasks with fewer rows than this are mostly
+# overhead, so small training sets are gathered in fewer partitions.
+ROWS_PER_TASK = 10_000
 
 
 def grid(model: str, size: str = "quick") -> list[dict[str, float]]:
@@ -95,6 +97,11 @@ class CrossValidation:
     model: str
 
 
+def gathered(train: DataFrame, rows: int) -> DataFrame:
+    """No more partitions than the rows are worth; large tables stay as they are."""
+    return train.coalesce(max(-(-rows // ROWS_PER_TASK), 1))
+
+
 def _params_column(params: dict):
     return F.create_map(*[F.lit(str(x)) for item in params.items() for x in item])
 
@@ -120,6 +127,7 @@ def cross_validate(
         F.sum("n").alias("rows"), F.count(F.lit(1)).alias("classes")
     ).first()
     features = len(train.select("features").first()[0])
+    train = gathered(train, sizes["rows"])
 
     def run(task: tuple[int, int]) -> list[tuple]:
         number, fold = task
@@ -162,7 +170,8 @@ def hold_out(
     """Refit the best parameters on all training rows and score the test rows."""
     classes = train.select("label").distinct().count()
     features = len(train.select("features").first()[0])
-    fitted = estimator(model, params, features, classes, train.count(), seed).fit(train)
+    rows = train.count()
+    fitted = estimator(model, params, features, classes, rows, seed).fit(gathered(train, rows))
     counts = confusion(fitted.transform(test).withColumn("model", F.lit(model)), ["model"])
     return metrics(counts, ["model"])
 
