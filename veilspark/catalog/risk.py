@@ -165,6 +165,18 @@ def rl_orders_rounded(spark, sf):
     return rounded(linkage_risk(protected, orders, names(ORDER_FIELDS), "o_custkey", 3), "rl")
 
 
+@query(
+    "rl_orders_hot_blocks",
+    f"WITH x AS (SELECT * REPLACE ({duck.round_to('o_totalprice', 5.0)} AS o_totalprice) FROM orders) "
+    f"SELECT round(({duck.rl('x', 'orders', ORDER_FIELDS, 'l.o_orderstatus = r.o_orderstatus', 3, 'o_orderkey')}), 6) AS rl",
+)
+def rl_orders_hot_blocks(spark, sf):
+    """Each block holds a third of all orders; their pairs are never formed."""
+    orders = table(spark, sf, "orders").select("o_orderkey", *names(ORDER_FIELDS))
+    protected = fit_rounding(orders, ["o_totalprice"], 5.0).transform(orders)
+    return rounded(linkage_risk(protected, orders, names(ORDER_FIELDS), "o_orderstatus", 3), "rl")
+
+
 _LINE_CLASSES = ", ".join(LINE_QI)
 
 
