@@ -13,6 +13,14 @@ FIELDS = ["city", "job", "age", "pts"]
 SCHEMA = "city string, job string, age int, pts int, id int"
 
 
+@pytest.fixture(scope="module", autouse=True)
+def interpreted(spark):
+    """Tables of a few rows: compiling the plans takes longer than running them."""
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+    yield
+    spark.conf.unset("spark.sql.codegen.wholeStage")
+
+
 @pytest.fixture(scope="module")
 def worked(spark):
     original = spark.createDataFrame(
@@ -106,9 +114,11 @@ RANDOM_SCHEMA = "b string, t string, i int, d double, k int"
 
 
 @pytest.mark.parametrize(
-    "block, min_score", [("b", 1), ("b", 2.5), ("b", 4), ("k", 3), ("i", 2), ("b", 5), (None, 2.5)]
+    "block, min_score", [("b", 1), ("b", 2.5), ("k", 3), (None, 2.5)]
 )
 def test_against_brute_force(spark, way, block, min_score):
+    if block is None and linkage.DIRECT_BLOCK:
+        pytest.skip("without a block there is one way only")
     rng = random.Random(7 * min_score + len(block or ""))
     left, right = random_rows(rng, 60), random_rows(rng, 50)
     names = ["b", "t", "i", "d", "k"]
