@@ -31,14 +31,15 @@ class Settings:
     positives: int = 3000  # bound of confirmed toxic texts that are learnt from
     unlabelled: int = 9000  # bound of unlabelled texts that are learnt from
     bits: int = 18  # hashed features
-    rare: int = 5  # features of fewer confirmed texts are left out
+    rare: int = 3  # features of fewer confirmed texts are left out
     lift: float = 4.0  # so many times as common in confirmed texts as in the others, at least
-    sure: float = 6.0  # and so many standard errors apart
+    sure: float = 4.0  # and so many standard errors apart
     beginnings: tuple[int, ...] = (4, 5, 6)  # bytes
     epochs: int = 40
     batch: int = 500
     rate: float = 0.05
     shrink: float = 1e-4  # pull of the weights to zero
+    start: float = 0.5  # share of a feature's log ratio that it starts from
     seed: int = 11
 
 
@@ -86,8 +87,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def _telling(texts: list[tuple[np.ndarray, np.ndarray]], positive: np.ndarray, s: Settings) -> np.ndarray:
-    """Features that stand out in confirmed texts against unlabelled ones."""
+def _telling(
+    texts: list[tuple[np.ndarray, np.ndarray]], positive: np.ndarray, s: Settings
+) -> tuple[np.ndarray, np.ndarray]:
+    """Features that stand out in confirmed texts against unlabelled ones, and log ratios of all."""
     seen = np.zeros((2, 1 << s.bits))
     for (f, _), is_p in zip(texts, positive):
         seen[int(is_p), f] += 1
@@ -95,17 +98,18 @@ def _telling(texts: list[tuple[np.ndarray, np.ndarray]], positive: np.ndarray, s
     in_p, in_u = seen[1] / n_p, seen[0] / n_u
     both = (seen[0] + seen[1] + 1) / (n_p + n_u + 1)
     error = np.sqrt(both * (1 - np.minimum(both, 0.999)) * (1 / n_p + 1 / n_u))
-    return (seen[1] >= s.rare) & (in_p >= s.lift * in_u) & (in_p - in_u >= s.sure * error)
+    telling = (seen[1] >= s.rare) & (in_p >= s.lift * in_u) & (in_p - in_u >= s.sure * error)
+    return telling, np.log((seen[1] + 0.5) / (n_p + 1)) - np.log((seen[0] + 0.5) / (n_u + 1))
 
 
 def learn(texts: list[tuple[np.ndarray, np.ndarray]], positive: np.ndarray, prior: float, s: Settings) -> Model:
     """Fit on sparse texts; ``positive`` marks the confirmed ones, all others are unlabelled."""
     n_features = 1 << s.bits
-    usable = _telling(texts, positive, s)
+    usable, ratio = _telling(texts, positive, s)
     number = np.cumsum(usable) - 1
     kept = [(number[f[usable[f]]], np.log1p(t[usable[f]])) for f, t in texts]
     p, u = np.flatnonzero(positive), np.flatnonzero(~positive)
-    w, b = np.zeros(int(usable.sum())), np.log(prior / (1 - prior))
+    w, b = s.start * ratio[usable], np.log(prior / (1 - prior))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     rng = np.random.default_rng(s.seed)
     rounds = max(1, -(-len(u) // s.batch))
