@@ -11,26 +11,25 @@ from veilspark.llm.storage import kept
 def smallest_reachable(links: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``links(a, b)``; root is the smallest node reachable.
 
-    Every round points each node to the smallest node that it or its neighbours know, and
-    replaces links by links to that node, so long chains shrink by a factor each round. Only
-    links are shuffled; each round is a written table. A null end is no node.
+    Each round moves links twice: from a node to its larger neighbours, they go to the smallest
+    node it knows; then from a node to its smaller neighbours, they go to the smallest of
+    these. Links never grow in number, and paths shrink by a factor each round. Only links are
+    shuffled; each round is a written table. A null end is no node.
     """
-    now = kept(links.filter("a is not null and b is not null and a <> b").select("a", "b").distinct(), "components")
+    now = kept(
+        links.filter("a is not null and b is not null and a <> b")
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .distinct(),
+        "components",
+    )
     while True:
-        ways = now.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
-            now.select(F.col("b").alias("node"), F.col("a").alias("other"))
-        )
-        low = ways.groupBy("node").agg(F.min("other").alias("low")).withColumn("low", F.least("node", "low"))
-        # Larger neighbours go to the smallest one; so does the node itself.
-        moved = (
-            ways.join(low, "node")
-            .filter("other > node")
-            .select(F.col("low").alias("a"), F.col("other").alias("b"))
-            .unionByName(low.filter("low < node").select(F.col("low").alias("a"), F.col("node").alias("b")))
-            .filter("a <> b")
-            .distinct()
-        )
-        step = kept(moved, "components")
+        ways = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = ways.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low"))
+        large = now.join(low, "a").select(F.col("low").alias("a"), "b").distinct()
+        least = large.groupBy("b").agg(F.min("a").alias("m"))
+        small = large.join(least, "b")
+        small = small.select("m", F.explode(F.array("a", "b")).alias("b")).filter("m <> b")
+        step = kept(small.select(F.col("m").alias("a"), "b").distinct(), "components")
         # Done when every node hangs on one root and no root hangs on another.
         ends = step.select(F.col("b").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(
             step.select(F.col("a").alias("node")).distinct().select("node", F.lit(0).alias("hangs"), F.lit(1).alias("holds"))
