@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from veilspark.llm.pu_toxicity import toxicity
-from veilspark.llm.pu_toxicity import fold
+from veilspark.llm import license_scan, secret_tags, url_rules
+from veilspark.llm.contamination import contamination
+from veilspark.llm.license_scan import license_notices
+from veilspark.llm.prefix_bpe import encode_texts
+from veilspark.llm.pu_toxicity import fold, toxicity
 from veilspark.llm.tensored_minhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,10 +28,115 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def joined(parts) -> F.Column:
+    """An array of strings as one string."""
+    return F.array_join(parts, ",")
+
+
+@query
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL judged by the base rules and the pattern rules."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = url_rules.rule_table(spark, url_rules.BASE_RULES + url_rules.PATTERN_RULES)
+    judged = url_rules.judge_urls(pages, rules)
+    rule = F.when(F.col("tier") == 0, F.col("rule")).alias("rule")
+    return judged.select("page_id", "host", "path", rule, "verdict")
+
+
+_REST = "CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END"
+_HOST = f"translate(regexp_extract({_REST}, '^([^/?#]*)', 1), '{url_rules.UPPER}', '{url_rules.LOWER}')"
+ORACLE["op1_url_filters"] = f"""
+WITH parts AS (
+  SELECT page_id, coalesce({_HOST}, '') AS host,
+         coalesce(regexp_extract({_REST}, '^[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+judged AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM parts)
+SELECT page_id, host, path, rule, CASE
+  WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
+  WHEN rule IS NOT NULL THEN 'allow'
+  WHEN regexp_matches(host || path, '(?i)(^|[^a-z0-9])({"|".join(url_rules.UNWANTED)})([^a-z0-9]|$)') THEN 'block'
+  ELSE 'allow' END AS verdict
+FROM judged"""
+
+
+@query
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: base patterns, and what the random field adds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_tags.find_secrets(docs, secret_tags.fit(docs)).drop("text")
+    base = F.filter("spans", lambda s: s["kind"] != "tagged")
+
+    def count(kind: str) -> F.Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def written(spans) -> F.Column:
+        return joined(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+
+    return found.select(
+        "doc_id",
+        count("assign"),
+        count("access"),
+        count("hex"),
+        F.sha2(written(base), 256).alias("base_sha256"),
+        written("spans").alias("spans"),
+    )
+
+
 @query
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of ``documents``."""
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("class_id")
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_texts(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = contamination(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(joined("items"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+_WORDS = "list_filter(string_split_regex(translate(coalesce(text, ''), '{0}', '{1}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')".format(
+    url_rules.UPPER, url_rules.LOWER
+)
+ORACLE["op8_decontamination"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i : i + 9], ' ') AS body
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT n FROM win),
+places AS (
+  SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS body
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d JOIN lens ON len(w) >= n)),
+found AS (SELECT r, i, places.n, item FROM places JOIN win ON places.body = win.body AND places.n = win.n),
+hits AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM found) GROUP BY r),
+named AS (
+  SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM found GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (r) LEFT JOIN named USING (r)"""
 
 
 @query
@@ -35,3 +145,41 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity(docs, table(spark, sf_dir, "labels"))
     return scored.select("doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted")
+
+
+@query
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every document; spans are in words, end exclusive."""
+    found = license_notices(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    span = F.transform("spans", lambda s: F.concat_ws(":", s["license"], s["start"].cast("string"), s["end"].cast("string")))
+    return found.select(
+        "doc_id", F.size("licenses").cast("long").alias("n_licenses"), joined("licenses").alias("licenses"), "best", joined(span).alias("spans")
+    )
+
+
+def _license_sql() -> str:
+    rows = []
+    for i, t in enumerate(license_scan.NOTICES):
+        w = license_scan.word_list(t.text)
+        rows.append(f"({i}, '{t.license}', '{' '.join(w)}', {license_scan.length_class(len(w))})")
+    raw = "list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
+    return f"""
+WITH t(tid, license, body, class) AS (VALUES {', '.join(rows)}),
+ts AS (SELECT DISTINCT tid, license, class, array_to_string(w[i : i + 4], ' ') AS s
+       FROM (SELECT tid, license, class, string_split(body, ' ') AS w, unnest(range(1, greatest(len(string_split(body, ' ')) - 3, 2))) AS i FROM t)),
+tn AS (SELECT tid, count(*) AS n FROM ts GROUP BY tid),
+d AS (SELECT row_number() OVER () AS r, doc_id, {raw} AS w FROM documents),
+ds AS (SELECT r, i - 1 AS p, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) > 4)),
+hit AS (SELECT r, p, tid, license, class, s, class // 4 AS step, class + class // 4 - 4 AS width FROM ds JOIN ts USING (s)),
+inw AS (SELECT *, unnest(range(greatest(0, CAST(ceil((p - width + 1) / step) AS BIGINT)), p // step + 1)) AS k FROM hit),
+win AS (SELECT r, tid, license, k, count(DISTINCT s) / any_value(n) AS c, min(p) AS a, max(p) + 5 AS b FROM inw JOIN tn USING (tid) GROUP BY r, tid, license, k),
+good AS (SELECT DISTINCT r, tid, license, c, a, b FROM win WHERE c >= 0.75),
+big AS (SELECT DISTINCT r, a, b, license FROM good g WHERE NOT EXISTS (
+  SELECT 1 FROM good h WHERE h.r = g.r AND h.tid = g.tid AND h.a <= g.a AND h.b >= g.b AND (h.a <> g.a OR h.b <> g.b))),
+sp AS (SELECT r, string_agg(license || ':' || a || ':' || b, ',' ORDER BY a, b, license) AS spans FROM big GROUP BY r),
+li AS (SELECT r, count(DISTINCT license) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, max(c) AS best FROM good GROUP BY r)
+SELECT doc_id, coalesce(n, 0) AS n_licenses, coalesce(licenses, '') AS licenses, coalesce(best, 0.0) AS best, coalesce(spans, '') AS spans
+FROM d LEFT JOIN li USING (r) LEFT JOIN sp USING (r)"""
+
+
+ORACLE["op10_licenses"] = _license_sql()

@@ -195,10 +195,12 @@ def _links(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
         pivots *= 4
 
 
-def near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", with_keys: bool = False
+) -> DataFrame:
     """One row per row of ``docs``: ``id_col, n_shingles, component_id, kept``.
 
-    ``class_id`` names the rows whose shingle sets are equal, null without shingles.
+    ``with_keys`` adds ``group_id`` (null without shingles) and the text's keys ``t1, t2``.
     """
     t1, t2 = text_key(F.col(text_col))
     named = docs.select(F.col(id_col).alias("id"), t1.alias("t1"), t2.alias("t2"), F.col(text_col).alias("text"))
@@ -229,18 +231,19 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "do
     )
     roots = smallest_reachable(_links(members, sets, s))
     component = classes.select("node", "smallest").join(roots, "node").groupBy("root").agg(F.min("smallest").alias("component"))
-    known = kept(roots.join(component, "root").select("node", "component"), "near-components")
+    known = kept(roots.join(component, "root").select("node", "root", "component"), "near-components")
     own = (
         classes.select("k1", "k2", "node", "smallest")
         .join(known, "node", "left")
-        .select("k1", "k2", F.col("node").alias("class_id"), F.coalesce("component", "smallest").alias("of_class"))
+        .select("k1", "k2", F.coalesce("root", "node").alias("group_id"), F.coalesce("component", "smallest").alias("of_class"))
     )
-    result = signed.select("id", "n_shingles", "k1", "k2").join(own, ["k1", "k2"], "left")
-    component_id = F.when(F.col("n_shingles") > 0, F.col("of_class")).otherwise(F.col("id"))
+    result = signed.select("id", "t1", "t2", "n_shingles", "k1", "k2").join(own, ["k1", "k2"], "left")
+    has = F.col("n_shingles") > 0
+    component_id = F.when(has, F.col("of_class")).otherwise(F.col("id"))
     return result.select(
         F.col("id").alias(id_col),
         "n_shingles",
         component_id.alias("component_id"),
         F.coalesce(F.col("id") == component_id, component_id.isNull()).alias("kept"),
-        "class_id",
+        *([F.when(has, F.col("group_id")).alias("group_id"), "t1", "t2"] if with_keys else []),
     )
