@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import license_scan, secret_tags, url_rules
+from veilspark.llm import license_scan, secret_tags, token_files, url_rules
 from veilspark.llm.contamination import contamination
 from veilspark.llm.license_scan import license_notices
 from veilspark.llm.prefix_bpe import encode_texts
@@ -88,6 +88,14 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token ids, written to sequence files and read back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = token_files.write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read_tokens(index).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of ``documents``."""
