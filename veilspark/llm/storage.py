@@ -52,13 +52,12 @@ def parts_for(rows: int, each: int) -> int:
     return max(1, math.ceil(rows / each))
 
 
-def in_tasks(df: DataFrame, function: Callable, schema: StructType | str) -> DataFrame:
-    """``df.mapInArrow(function, schema)`` after giving the executors this package.
+def ship_code(spark: SparkSession) -> None:
+    """Give the executors this package, once per session, the way ``--py-files`` would.
 
-    Python workers of a cluster do not see the driver's import path, so the package goes to
-    them once per session the way ``--py-files`` would send it.
+    Python workers of a cluster do not see the driver's import path.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if getattr(context, "_veilspark_sent", None) is None:
         root = Path(veilspark.__file__).parent
         archive = Path(tempfile.mkdtemp(prefix="veilspark-code-")) / "veilspark_code.zip"
@@ -67,4 +66,9 @@ def in_tasks(df: DataFrame, function: Callable, schema: StructType | str) -> Dat
                 z.write(path, path.relative_to(root.parent))
         context.addPyFile(str(archive))
         context._veilspark_sent = str(archive)
+
+
+def in_tasks(df: DataFrame, function: Callable, schema: StructType | str) -> DataFrame:
+    """``df.mapInArrow(function, schema)`` with this package at hand."""
+    ship_code(df.sparkSession)
     return df.mapInArrow(function, schema)
