@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from veilspark.llm import license_scan, secret_tags, token_files, url_rules
 from veilspark.llm.contamination import contamination
+from veilspark.llm.gated_lm import score_texts
 from veilspark.llm.impact_search import top_k
 from veilspark.llm.license_scan import license_notices
 from veilspark.llm.prefix_bpe import encode_texts
@@ -129,6 +130,12 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of every document, learnt from nine tenths of them."""
+    return score_texts(table(spark, sf_dir, "documents"), fold(10) == 0)
+
+
 @query
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""
