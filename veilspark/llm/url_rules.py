@@ -122,18 +122,18 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
         .filter(F.regexp_like("place", F.col("regex")))
         .groupBy("url")
         .agg(F.min(rank).alias("best"))
-        .select(F.col("url").alias("decided_url"), "best")
+        .select(F.col("url").alias("__decided_url"), F.col("best").alias("__best"))
     )
     return (
-        pages.join(decided, F.col("url") == F.col("decided_url"), "left")
+        pages.join(decided, F.col("url") == F.col("__decided_url"), "left")
         .withColumns(
             {
                 "host": host,
                 "path": path,
-                "rule": F.col("best.name"),
-                "tier": F.col("best.tier"),
-                "verdict": F.coalesce("best.verdict", F.lit(default)),
+                "rule": F.col("__best.name"),
+                "tier": F.col("__best.tier"),
+                "verdict": F.coalesce("__best.verdict", F.lit(default)),
             }
         )
-        .drop("decided_url", "best")
+        .drop("__decided_url", "__best")
     )
