@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -211,8 +212,8 @@ def test_licenses_against_brute_force(spark, edge_rows):
 def test_bands_promise_a_high_collision_probability():
     for c in (8, 16, 32, 64, 256):
         bands = L.class_bands(c, 5, 0.75, 1e-6)
-        worst = min(max(1, round(0.75 * t + 0.499)) / (c + c // 4 - 4 + t) for t in range(1 if c == 8 else c // 2 - 3, c - 3))
-        assert (1 - worst) ** bands < 1e-5 and bands < 200
+        worst = min(math.ceil(0.75 * t) / (c + c // 4 - 4 + t - math.ceil(0.75 * t)) for t in range(1 if c == 8 else c // 2 - 3, c - 3))
+        assert (1 - worst) ** bands < 1.001e-6 and bands < 200
 
 
 def toxic_corpus(n, seed):
