@@ -9,10 +9,11 @@ beyond. Candidates are confirmed on the full shingle sets; components of confirm
 the groups.
 
 Texts with equal shingle sets are one class from the start, so copies never meet. Inside a
-table key no pairs are listed at first: in every round a few texts of a key (pivots, four times
+table key no pairs are listed at first: in every round, of which there is at least one, a few texts of a key (pivots, four times
 as many each round) are compared with the others of the key that are not yet known to be in
-their component, and then leave the key. When the pairs still open are about as few as the
-members, they are compared outright.
+their component, and then leave the key. When few enough pairs are open for each member, they
+are compared outright. A pair is only listed if bit maps of both sets allow the similarity:
+every bit of one map that the other lacks is a shingle that the other lacks.
 Every pair of texts that share a table is thus either compared or already connected.
 
 Defined results: a null or empty text and one without words has no shingles, links with
@@ -42,10 +43,12 @@ class Settings:
     similarity: tuple[int, int] = (75, 100)  # numerator and denominator of the Jaccard threshold
     tables: int = 20  # keys of each collection
     rows: int = 3  # minhashes of each key
-    open_pairs: int = 4  # pairs for each member of a key that may be compared outright
+    open_pairs: int = 256  # pairs for each member of a key that may be compared outright
     seed: int = 5
 
 
+MAP_WORDS = 16
+MAPS = [f"m{i}" for i in range(MAP_WORDS)]
 _SIGNED = "t1 long, t2 long, k1 long, k2 long, n_shingles long, first array<long>, second array<long>"
 
 
@@ -93,8 +96,15 @@ def _sets(s: Settings, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             distinct, at = W.distinct_within(*W.shingles_of(W.words_of(data, offsets), s.shingle))
             k1, k2 = W.set_keys(distinct, at)
             lists = pa.LargeListArray.from_arrays(pa.array(at), pa.array(W.as_long(distinct))).cast(pa.list_(pa.int64()))
+            bits = np.uint64(1) << (distinct & np.uint64(63))
+            word = (distinct >> np.uint64(6)) & np.uint64(MAP_WORDS - 1)
+            maps = []
+            for i in range(MAP_WORDS):
+                own = np.append(np.where(word == i, bits, np.uint64(0)), np.uint64(0))
+                maps.append(W.as_long(np.bitwise_or.reduceat(own, at[:-1]) * (np.diff(at) > 0)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(W.as_long(k1)), pa.array(W.as_long(k2)), lists], names=["k1", "k2", "shingles"]
+                [pa.array(W.as_long(k1)), pa.array(W.as_long(k2)), lists, *map(pa.array, maps)],
+                names=["k1", "k2", "shingles", *MAPS],
             )
 
 
@@ -130,10 +140,17 @@ def _table_members(classes: DataFrame) -> DataFrame:
     return members.join(several, "bucket")
 
 
-def _possible(s: Settings, a: str, b: str):
-    """Sizes that allow the similarity: the smaller set has at least its share of the larger."""
+def _possible(s: Settings):
+    """Whether sizes and bit maps of two members allow the similarity; a necessary condition."""
     p, q = s.similarity
-    return (F.col(a) * q >= F.col(b) * p) & (F.col(b) * q >= F.col(a) * p)
+
+    def most(n: str, mine: str, other: str):
+        lacking = [F.bit_count(F.col(f"{mine}{m}").bitwiseAND(F.bitwise_not(f"{other}{m}"))) for m in MAPS]
+        return F.col(n) - sum(lacking[1:], lacking[0])
+
+    common = F.least(most("na", "a", "b"), most("nb", "b", "a"))
+    sizes = (F.col("na") * q >= F.col("nb") * p) & (F.col("nb") * q >= F.col("na") * p)
+    return sizes & (common * (p + q) >= (F.col("na") + F.col("nb")) * p)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
@@ -154,6 +171,7 @@ def _links(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """Confirmed links that connect all classes which similar pairs of the tables connect."""
     links = members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     label, pivots = None, 1
+    maps = sets.select("node", *MAPS)
     while True:
         if label is None:
             now = members.withColumn("group", F.col("node"))
@@ -176,15 +194,19 @@ def _links(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
         if total[0] is None:
             return links
         open_now = now.join(load.select("bucket", "pivot", "m"), "bucket")
-        last = total[1] <= s.open_pairs * total[0]
+        last = label is not None and total[1] <= s.open_pairs * total[0]
         share = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(1 << 30)).cast("double") / (1 << 30)
         is_pivot = (F.col("node") == F.col("pivot")) | (share * F.col("m") < pivots - 1)
         open_now = open_now.withColumn("is_pivot", is_pivot)
-        one = open_now.select("bucket", F.col("node").alias("a"), F.col("group").alias("ga"), F.col("n").alias("na"), "is_pivot")
+        mapped = open_now.join(maps, "node")
+
+        def side(x: str) -> list:
+            return [F.col(c).alias(f"{x}{c}") for c in MAPS] + [F.col("node").alias(x), F.col("group").alias(f"g{x}"), F.col("n").alias(f"n{x}")]
+
+        one = mapped.select("bucket", "is_pivot", *side("a"))
         if not last:
             one = one.filter("is_pivot")
-        two = open_now.select("bucket", F.col("node").alias("b"), F.col("group").alias("gb"), F.col("n").alias("nb"))
-        pairs = one.join(two, "bucket").filter((F.col("ga") != F.col("gb")) & _possible(s, "na", "nb"))
+        pairs = one.join(mapped.select("bucket", *side("b")), "bucket").filter((F.col("ga") != F.col("gb")) & _possible(s))
         pairs = pairs.filter("a < b") if last else pairs
         pairs = kept(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
         links = kept(links.unionByName(_confirmed(pairs, sets, s)), "near-links")
@@ -223,10 +245,10 @@ def near_duplicates(
     wanted = kept(classes.join(members.select("node").distinct(), "node", "left_semi").select("t1", "t2", "k1", "k2", "node"), "near-wanted")
     texts = named.select("t1", "t2", "text").join(small_side(wanted.select("t1", "t2"), 16), ["t1", "t2"], "left_semi")
     sets = kept(
-        in_tasks(texts.select("text"), lambda it: _sets(s, it), "k1 long, k2 long, shingles array<long>")
+        in_tasks(texts.select("text"), lambda it: _sets(s, it), "k1 long, k2 long, shingles array<long>, " + ", ".join(f"{m} long" for m in MAPS))
         .dropDuplicates(["k1", "k2"])
         .join(wanted.select("k1", "k2", "node"), ["k1", "k2"])
-        .select("node", "shingles"),
+        .select("node", "shingles", *MAPS),
         "near-sets",
     )
     roots = smallest_reachable(_links(members, sets, s))
