@@ -240,3 +240,42 @@ def test_one_valued_block_has_no_risk(spark):
 def test_empty_table(spark, way):
     df = spark.createDataFrame([], "a string, b int")
     assert linkage_risk(df, df, ["a", "b"], "a").first()[0] is None
+
+
+def reference_rl(rows, others, min_score):
+    """Brute force over a text block, a whole number and a double."""
+    single = 0
+    for b, n, x in rows:
+        links = 0
+        for c, m, y in others:
+            if b is None or b != c:
+                continue
+            score = 1.0
+            if n is not None and m is not None:
+                score += max(0.0, 1 - abs(n - m) / 2)
+            if x is not None and y is not None and math.isfinite(x) and math.isfinite(y):
+                score += max(0.0, 1 - abs(x - y) / 2)
+            links += round(score, 9) > 1 and round(score, 9) >= min_score
+        single += links == 1
+    return 100 * single / len(rows)
+
+
+@pytest.mark.parametrize("min_score", [1.5, 1.9, 2.0, 2.5, 3.0])
+def test_extreme_numbers_link_the_same_both_ways(spark, way, min_score):
+    rng = random.Random(int(10 * min_score))
+    whole = [0, 1, -1, 5, 2**40, 2**53, 2**53 + 1, 2**60 + 7, -(2**62), 2**63 - 1, -(2**63), None]
+    real = [0.0, -0.0, 1.5, 2.0, 1e9, 2.0**51, 2.0**51 + 1, 2.0**52, 2.0**53, 1e25, 3e25, 1e300, -1e25, math.inf, -math.inf, math.nan, None]
+
+    def near(v):
+        if v is None or isinstance(v, float) and not math.isfinite(v):
+            return v
+        moved = v + rng.choice([0, 0, 1, -1, 2])
+        return max(-(2**63), min(2**63 - 1, moved)) if isinstance(v, int) else float(moved)
+
+    originals = [("b", rng.choice(whole), rng.choice(real)) for _ in range(60)]
+    protected = [(b, near(n), near(x)) for b, n, x in originals]
+    schema = "b string, n bigint, x double"
+    a, o = spark.createDataFrame(protected, schema), spark.createDataFrame(originals, schema)
+    found = linkage_risk(a, o, ["b", "n", "x"], "b", min_score).first()[0]
+    plain = [[(b, n, None if x is not None and math.isnan(x) else x) for b, n, x in rows] for rows in (protected, originals)]
+    assert found == pytest.approx(reference_rl(*plain, min_score), abs=1e-9)

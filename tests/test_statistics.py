@@ -11,7 +11,7 @@ from veilspark.operators.rounding import fit_rounding
 from veilspark.plans import bayes, features, reports
 from veilspark.plans.deidentify import apply_combination, evaluate, study_of
 from veilspark.plans.metrics import confusion, metrics
-from veilspark.plans.modeling import FULL_GRIDS, execute_runs, grid, hidden_layers
+from veilspark.plans.modeling import FULL_GRIDS, grid, hidden_layers
 from veilspark.sources import tables
 from veilspark.streaming.policies import protect_stream, run_available
 
@@ -124,28 +124,17 @@ def test_failed_scoring_is_a_status(spark, part, monkeypatch):
     from veilspark.plans import deidentify
 
     def broken(*_):
-        raise RuntimeError("no linkage today")
+        raise ValueError("no linkage today")
 
     monkeypatch.setattr(deidentify, "rl_value", broken)
     df = part.select("p_partkey", "p_brand", "p_size")
     done = deidentify.evaluate(df, study_of(df, None, ["p_partkey"], seed="s"), ["globalrec"])
     row = done.risk.first()
+    assert "no linkage today" in row["status"]
+    assert [r["status"] for r in deidentify.risk_report(done.risk).where("comb = 'O'").collect()] == ["original"]
     assert row["rl"] is None and row["status"].startswith("failed") and row["fk"] is not None
 
 
-def test_failed_runs_are_listed(spark):
-    plan = spark.createDataFrame([("ds1", 0), ("ds2", 0)], "ds string, rep int")
-    kept = []
-
-    def run(ds, rep):
-        if ds == "ds1":
-            raise ValueError("bad file")
-        return (ds, rep)
-
-    failed = execute_runs(plan, run, kept.append).collect()
-    assert kept == [("ds2", 0)] and [r["ds"] for r in failed] == ["ds1"] and "bad file" in failed[0]["error"]
-
-
 def test_tables_as_bags_and_by_id(spark):
     a = spark.createDataFrame([(1, "x"), (1, "x"), (2, None)], "k int, v string")
     b = spark.createDataFrame([(1, "x"), (2, None), (1, "x")], "k int, v string")
@@ -159,7 +148,10 @@ def test_tables_as_bags_and_by_id(spark):
 def test_merging_batches_keeps_a_row_once(spark):
     a = spark.createDataFrame([(1, 1, 0.5)], "ds_id int, variant_id int, rl double")
     b = spark.createDataFrame([(1, 1, 0.5), (2, 1, 0.7)], "ds_id int, variant_id int, rl double")
-    assert tables.merge_batches([a, b], ["ds_id", "variant_id"]).count() == 2
+    b = b.withColumn("rl", F.col("rl") * 2)
+    for batches, rl in (([a, b], 1.0), ([b, a], 0.5)):
+        merged = tables.merge_batches(batches, ["ds_id", "variant_id"])
+        assert {r["ds_id"]: r["rl"] for r in merged.collect()} == {1: rl, 2: 1.4}
 
 
 def test_shared_folder_comes_from_the_session(spark):
@@ -181,10 +173,17 @@ def test_prepare_features(spark):
     rows = [(i, f"name{i:03d}", "ab"[i % 2], float(i % 4), i, "yn"[i % 3 == 0]) for i in range(60)]
     df = spark.createDataFrame(rows, "id int, name string, kind string, x double, key int, y string")
     done = features.prepare(df, "y", ["id"])
-    assert set(done.feature_names) == {"x", "kind_a", "kind_b"}
+    assert set(done.feature_names) == {"x", "kind_vec"}
+    assert len(done.table.first()["features"]) == 3
     assert {r["label"] for r in done.table.select("label").distinct().collect()} == {0.0, 1.0}
 
 
+def test_null_has_no_level(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "b"), (4, "a")], "id int, c string")
+    found = {r["id"]: list(r["v"].toArray()) for r in features.one_hot_vector(df, "c", "v").collect()}
+    assert found == {1: [1.0, 0.0], 2: [0.0, 0.0], 3: [0.0, 1.0], 4: [1.0, 0.0]}
+
+
 def test_collection_is_written_one_by_one(spark, part, tmp_path):
     from veilspark.plans.deidentify import evaluate_collection
 

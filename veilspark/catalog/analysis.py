@@ -117,20 +117,25 @@ def set_operations_combos(spark, sf):
 
 @query(
     "comb_order",
-    f"{WITH}, s AS (SELECT DISTINCT solution FROM combos_v) "
+    f"{WITH}, s AS (SELECT DISTINCT solution FROM combos_v UNION ALL SELECT 'O') "
     "SELECT solution, row_number() OVER (ORDER BY length(solution), lower(solution))::INTEGER AS ord FROM s",
 )
 def comb_order(spark, sf):
-    return reports.in_solution_order(combos_view(spark, sf).select("solution").distinct(), "solution")
+    names = combos_view(spark, sf).select("solution").distinct()
+    originals = names.limit(1).select(F.lit("O").alias("solution"))
+    return reports.in_solution_order(names.unionByName(originals), "solution")
 
 
 @query(
     "comb_top5",
-    f"{WITH}, m AS (SELECT comb, round(avg(rl), 6) AS rl FROM risk_v GROUP BY comb) "
+    f"{WITH}, m AS (SELECT comb, round(avg(rl), 6) AS rl FROM risk_v GROUP BY comb "
+    "UNION ALL SELECT 'O', round(avg(initial_fk), 6) FROM risk_v) "
     "SELECT comb, rl FROM m ORDER BY length(comb), lower(comb) LIMIT 5",
 )
 def comb_top5(spark, sf):
-    means = risk_view(spark, sf).groupBy("comb").agg(F.avg("rl").alias("rl"))
+    risk = risk_view(spark, sf)
+    means = risk.groupBy("comb").agg(F.avg("rl").alias("rl"))
+    means = means.unionByName(risk.agg(F.lit("O").alias("comb"), F.avg("initial_fk").alias("rl")))
     top = reports.in_solution_order(means, "comb").orderBy("ord").limit(5)
     return rounded(top.drop("ord"), "rl")
 
@@ -235,12 +240,12 @@ _POISSON = "CASE " + " ".join(f"WHEN u + 0.5e0 < {p!r}::DOUBLE THEN {k}" for k,
 
 @query(
     "risk_bootstrap_means",
-    f"{_DIFFS}, b AS (SELECT d.*, replicate FROM d, (SELECT unnest(range(1, 21)) AS replicate) WHERE diff IS NOT NULL), "
+    f"{_DIFFS}, b AS (SELECT d.*, replicate FROM d, (SELECT unnest(range(1, 101)) AS replicate) WHERE diff IS NOT NULL), "
     f"u AS (SELECT *, {duck.uniform('boot', 'replicate', 'comparison', 'ds_id', 'variant_id')} AS u FROM b), w AS (SELECT *, {_POISSON} AS w FROM u) "
     "SELECT comb, comparison, replicate::INTEGER AS replicate, round(sum(w * diff) / nullif(sum(w), 0), 6) AS mean FROM w GROUP BY ALL",
 )
 def risk_bootstrap_means(spark, sf):
-    found = reports.bootstrap_means(risk_view(spark, sf), _complete(spark, sf), ["ds_id", "variant_id"], "boot", 20)
+    found = reports.bootstrap_means(risk_view(spark, sf), _complete(spark, sf), ["ds_id", "variant_id"], "boot")
     return rounded(found, "mean")
 
 

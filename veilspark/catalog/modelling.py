@@ -79,6 +79,32 @@ def encode_onehot_vector(spark, sf):
     return coded.select("p_partkey", position.cast("bigint").alias("position"))
 
 
+@query(
+    "encode_onehot_nulls",
+    "WITH b AS (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_brand END AS few, "
+    "CASE WHEN p_size % 7 = 0 THEN NULL ELSE concat(p_brand, '-', p_size) END AS many FROM part) SELECT p_partkey, "
+    + ", ".join(
+        f"(CASE WHEN {c} IS NULL THEN -1 ELSE dense_rank() OVER (ORDER BY {c} NULLS LAST) - 1 END)::BIGINT AS {c}, "
+        f"(SELECT count(DISTINCT {c}) FROM b)::BIGINT AS {c}_size"
+        for c in ("few", "many")
+    )
+    + " FROM b",
+)
+def encode_onehot_nulls(spark, sf):
+    """Nulls have no 1 anywhere, whether a column has few levels or hundreds."""
+    from pyspark.ml.functions import vector_to_array
+
+    few = F.when(F.col("p_size") % 5 != 0, F.col("p_brand"))
+    many = F.when(F.col("p_size") % 7 != 0, F.concat_ws("-", "p_brand", F.col("p_size").cast("string")))
+    coded = table(spark, sf, "part").select("p_partkey", few.alias("few"), many.alias("many"))
+    for c in ("few", "many"):
+        coded = features.one_hot_vector(coded, c, f"{c}_v")
+        array = vector_to_array(f"{c}_v")
+        position = (F.array_position(array, F.lit(1.0)) - 1).cast("bigint")
+        coded = coded.withColumns({c: position, f"{c}_size": F.size(array).cast("bigint")})
+    return coded.select("p_partkey", "few", "few_size", "many", "many_size")
+
+
 @query(
     "drop_near_unique",
     "SELECT p_size, count(*)::BIGINT AS n FROM part "

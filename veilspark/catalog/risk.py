@@ -177,6 +177,44 @@ def rl_orders_hot_blocks(spark, sf):
     return rounded(linkage_risk(protected, orders, names(ORDER_FIELDS), "o_orderstatus", 3), "rl")
 
 
+_HASHED = "SELECT event_id, event_type, {hash} AS h, value FROM events"
+_HASHED_DUCK = _HASHED.format(hash="('0x' || substr(md5(event_id::VARCHAR), 1, 15))::BIGINT")
+
+
+@query(
+    "rl_events_hashed_ids",
+    f"WITH o AS ({_HASHED_DUCK}), x AS (SELECT * REPLACE ({duck.round_to('value', 5.0)} AS value) FROM o), "
+    "p AS (SELECT l.event_id AS k FROM x l JOIN o r ON l.event_type = r.event_type "
+    "WHERE round(1e0 + greatest(0e0, 1e0 - abs(l.h::HUGEINT - r.h::HUGEINT)::DOUBLE / 2e0) "
+    "+ greatest(0e0, 1e0 - abs(l.value - r.value) / 2e0), 9) >= 1.9e0), "
+    "c AS (SELECT k FROM p GROUP BY k HAVING count(*) = 1) "
+    "SELECT round(100e0 * (SELECT count(*) FROM c) / (SELECT count(*) FROM x), 6) AS rl",
+)
+def rl_events_hashed_ids(spark, sf):
+    """A 60-bit hash is told apart to the last digit, in blocks of a fifth of all rows."""
+    events = table(spark, sf, "events")
+    h = F.conv(F.substring(F.md5(F.col("event_id").cast("string")), 1, 15), 16, 10).cast("bigint")
+    events = events.select("event_id", "event_type", h.alias("h"), "value")
+    protected = fit_rounding(events, ["value"], 5.0).transform(events)
+    return rounded(linkage_risk(protected, events, ["event_type", "h", "value"], "event_type", 1.9), "rl")
+
+
+@query(
+    "rl_orders_infinite",
+    "WITH o AS (SELECT o_orderkey, o_orderstatus, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 'Infinity'::DOUBLE "
+    "ELSE o_totalprice END AS x FROM orders), p AS (SELECT l.o_orderkey AS k FROM o l JOIN o r ON l.o_orderstatus = r.o_orderstatus "
+    "WHERE round(1e0 + greatest(0e0, 1e0 - abs(l.o_custkey - r.o_custkey)::DOUBLE / 2e0) + CASE WHEN isfinite(l.x) AND isfinite(r.x) "
+    "THEN greatest(0e0, 1e0 - abs(l.x - r.x) / 2e0) ELSE 0e0 END, 9) >= 2e0), "
+    "c AS (SELECT k FROM p GROUP BY k HAVING count(*) = 1) "
+    "SELECT round(100e0 * (SELECT count(*) FROM c) / (SELECT count(*) FROM o), 6) AS rl",
+)
+def rl_orders_infinite(spark, sf):
+    """An infinite number agrees with nothing, not even with another one."""
+    x = F.when(F.col("o_orderkey") % 3 == 0, float("inf")).otherwise(F.col("o_totalprice")).alias("x")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_custkey", x)
+    return rounded(linkage_risk(orders, orders, ["o_orderstatus", "o_custkey", "x"], "o_orderstatus", 2), "rl")
+
+
 _LINE_CLASSES = ", ".join(LINE_QI)
 
 

@@ -88,12 +88,12 @@ def risk_table_overwritten(spark, sf):
 
 @query(
     "cv_results_appended",
-    f"{WITH} SELECT ds, model, rep, max({F1}) AS best FROM perf_v WHERE rep < 3 GROUP BY ALL",
+    f"{WITH} SELECT ds, model, rep, max({F1}) AS best FROM perf_v GROUP BY ALL",
 )
 def cv_results_appended(spark, sf):
     path = new_path(spark, "cv_results")
     perf = perf_view(spark, sf).select("ds", "model", "rep", F1)
-    for rep in range(3):
+    for rep in range(5):
         tables.append_results(perf.where(F.col("rep") == rep), path)
     return tables.read_results(spark, path).groupBy("ds", "model", "rep").agg(F.max(F1).alias("best"))
 

@@ -10,7 +10,8 @@ from veilspark.catalog.risk import CUSTOMER_FIELDS, LINE_QI, PART_FIELDS, PART_Q
 from veilspark.operators.compare import changed_values, tables_equal
 from veilspark.operators.equivalence import unique_share
 from veilspark.operators.fences import fit_fences, outlier_counts
-from veilspark.operators.noise import fit_noise, noise_errors
+from veilspark.operators.equivalence import cardinalities
+from veilspark.operators.noise import class_diameters, fit_noise, noise_errors
 from veilspark.operators.recoding import fit_recoding, integer_stats
 from veilspark.operators.rounding import fit_decimals, fit_rounding
 from veilspark.operators.schema import align_types, column_class, narrow_types, split_target
@@ -360,3 +361,38 @@ def lineitem_recoded_fk(spark, sf):
     lines = narrow_types(table(spark, sf, "lineitem").select(*LINE_QI))
     recoded = fit_recoding(lines, ["l_quantity"], 0.5).transform(lines)
     return rounded(unique_share(recoded, LINE_QI), "fk")
+
+
+_NAN_DUCK = "WITH e AS (SELECT event_type, CASE WHEN event_id % 7 <> 0 THEN value END AS v FROM events)"
+
+
+def _with_nan(spark, sf):
+    v = F.when(F.col("event_id") % 7 != 0, F.col("value")).otherwise(float("nan"))
+    return table(spark, sf, "events").select("event_type", v.alias("v"))
+
+
+@query(
+    "outlier_counts_nan",
+    f"{_NAN_DUCK}, q AS (SELECT quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.75) AS b FROM e) "
+    "SELECT 'v' AS \"column\", round(a - 1.5e0 * (b - a), 6) AS lower, round(b + 1.5e0 * (b - a), 6) AS upper, "
+    "(SELECT count(*) FROM e, q WHERE v <= a - 1.5e0 * (b - a) OR v >= b + 1.5e0 * (b - a))::BIGINT AS outliers FROM q",
+)
+def outlier_counts_nan(spark, sf):
+    """Not-a-number moves no quartile and is no outlier."""
+    events = _with_nan(spark, sf)
+    return rounded(outlier_counts(events, fit_fences(events, ["v"])), "lower", "upper")
+
+
+@query(
+    "diameters_nan",
+    f"{_NAN_DUCK} SELECT event_type, round(max(v) - min(v), 6) AS diam_v FROM e GROUP BY event_type",
+)
+def diameters_nan(spark, sf):
+    """Not-a-number does not spoil the diameter of its class."""
+    return rounded(class_diameters(_with_nan(spark, sf), ["v"], ["event_type"]), "diam_v")
+
+
+@query("cardinality_nan", f"{_NAN_DUCK} SELECT count(DISTINCT v)::BIGINT AS distinct_v, count(*)::BIGINT AS n FROM e")
+def cardinality_nan(spark, sf):
+    found = cardinalities(_with_nan(spark, sf), ["v"])
+    return spark.range(1).select(F.lit(found.distinct["v"]).cast("bigint").alias("distinct_v"), F.lit(found.rows).cast("bigint").alias("n"))

@@ -55,14 +55,23 @@ def hash_uniform(seed: str, *keys: Column) -> Column:
     return (head.cast("double") + 0.5) / F.lit(float(2**52)) - 0.5
 
 
+def missing_if_nan(value: Column) -> Column:
+    """A double, with null for not-a-number."""
+    return F.when(~F.isnan(value), value)
+
+
 def laplace_noise(u: Column, scale: Column) -> Column:
     """Laplace draw with the given scale from a uniform in (-0.5, 0.5)."""
     return -scale * F.signum(u) * F.log(1.0 - 2.0 * F.abs(u))
 
 
-def numeric_similarity(a: Column, b: Column, scale: float = 1.0) -> Column:
-    """Linear similarity: 1 at equality, 0 from a distance of ``2 * scale`` on."""
-    score = F.greatest(F.lit(0.0), 1.0 - F.abs(a - b) / F.lit(2.0 * scale))
+def numeric_similarity(a: Column, b: Column, scale: float = 1.0, integer: bool = False) -> Column:
+    """Linear similarity: 1 at equality, 0 from a distance of ``2 * scale`` on.
+
+    Whole numbers are subtracted as such; a distance beyond 64 bits is none that is similar.
+    """
+    apart = F.coalesce(F.try_subtract(a, b).cast("double"), F.when(a.isNotNull() & b.isNotNull(), float("inf"))) if integer else a - b
+    score = F.greatest(F.lit(0.0), 1.0 - F.abs(apart) / F.lit(2.0 * scale))
     return F.coalesce(F.nanvl(score, F.lit(0.0)), F.lit(0.0))
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
+from veilspark.functions.expressions import missing_if_nan
 from veilspark.functions.relations import join_on_class, ratio
 
 # countDistinct replicates a row once per column before the partial aggregation, so wide
@@ -21,6 +23,12 @@ class Cardinalities:
     distinct: dict[str, int]
 
 
+def present(df: DataFrame, name: str) -> Column:
+    """The column, with null for not-a-number."""
+    real = isinstance(df.schema[name].dataType, (FloatType, DoubleType))
+    return missing_if_nan(F.col(name)) if real else F.col(name)
+
+
 def cardinalities(
     df: DataFrame, cols: Sequence[str] | None = None, approximate: bool = False
 ) -> Cardinalities:
@@ -32,7 +40,7 @@ def cardinalities(
     for start in range(0, len(chosen), max(width, 1)):
         part = chosen[start : start + width]
         found = df.agg(
-            F.count(F.lit(1)).alias("__rows"), *[count(F.col(c)).alias(c) for c in part]
+            F.count(F.lit(1)).alias("__rows"), *[count(present(df, c)).alias(c) for c in part]
         ).first()
         rows = found["__rows"]
         distinct.update({c: found[c] for c in part})

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.functions.expressions import missing_if_nan
 from veilspark.functions.quantiles import quantiles
 from veilspark.operators.policy import Policy
 from veilspark.operators.schema import column_class, numeric_columns
@@ -25,12 +26,12 @@ class FencePolicy(Policy):
             data_type = df.schema[name].dataType
             if column_class(data_type) not in ("integer", "float") or low == high:
                 continue
-            value = F.col(name)
+            value = F.col(name) if column_class(data_type) == "integer" else missing_if_nan(F.col(name))
             # A cast to an integer type truncates toward zero, as wanted for the fence.
             out[name] = (
                 F.when(value <= F.lit(low), F.lit(low).cast(data_type))
                 .when(value >= F.lit(high), F.lit(high).cast(data_type))
-                .otherwise(value)
+                .otherwise(F.col(name))
             )
         return out
 
@@ -39,7 +40,8 @@ class FencePolicy(Policy):
         low, high = self.fences[name]
         if low == high:
             return F.lit(False)
-        beyond = (F.col(name) <= F.lit(low)) | (F.col(name) >= F.lit(high))
+        value = missing_if_nan(F.col(name).cast("double"))
+        beyond = (value <= F.lit(low)) | (value >= F.lit(high))
         return F.coalesce(beyond, F.lit(False))
 
 
@@ -52,7 +54,7 @@ def quartiles(
     if approximate:
         probs = F.array(F.lit(0.25), F.lit(0.75))
         row = df.agg(
-            *[F.percentile_approx(F.col(c).cast("double"), probs, F.lit(accuracy)).alias(c) for c in cols]
+            *[F.percentile_approx(missing_if_nan(F.col(c).cast("double")), probs, F.lit(accuracy)).alias(c) for c in cols]
         ).first()
     else:
         row = quantiles(df, cols, (0.25, 0.75)).first()

@@ -49,6 +49,10 @@ MAX_KEY_SETS = 24
 # partners can lie in. More fields than this are left to the comparison of the values.
 MAX_NEAR_CELLS = 2
 MAX_EQUAL_CELLS = 4
+# Numbers this many cells away from zero are keyed by themselves: a cell would be narrower
+# than what a double can tell apart, and counting cells would lose its precision.
+MAX_CELL = 2.0**40
+MAX_COUNTED = 2.0**50
 # Scores are compared at nine decimals, so equal numbers may differ by a rounding error.
 _EPS = 1e-9
 
@@ -58,6 +62,7 @@ class Field:
     name: str
     numeric: bool
     scale: float = 1.0
+    integer: bool = False
 
 
 @dataclass(frozen=True)
@@ -157,7 +162,8 @@ def linkage_rule(
         raise ValueError(f"unknown fields: {missing or [block]}")
     types = {f.name: column_class(f.dataType) for f in protected.schema}
     chosen = tuple(
-        Field(f, types[f] in ("integer", "float"), (scale or {}).get(f, 1.0)) for f in fields
+        Field(f, types[f] in ("integer", "float"), (scale or {}).get(f, 1.0), types[f] == "integer")
+        for f in fields
     )
     if min_score is None:
         n = len(chosen)
@@ -168,11 +174,13 @@ def linkage_rule(
 
 
 def _comparable(df: DataFrame, rule: LinkageRule, extra: Sequence[str] = ()) -> DataFrame:
-    """Fields as ``f0, f1, ...``: numbers as doubles (NaN as null), the rest as text."""
+    """Fields as ``f0, f1, ...``: whole numbers as bigint, others as doubles (NaN as null), the rest as text."""
     cols = []
     for i, f in enumerate(rule.fields):
         c = F.col(f.name)
-        if f.numeric:
+        if f.integer:
+            c = c.cast("bigint")
+        elif f.numeric:
             c = c.cast("double")
             c = F.when(~F.isnan(c), c + F.lit(0.0))
         else:
@@ -216,8 +224,13 @@ def _side(df: DataFrame, rule: LinkageRule, id_cols: Sequence[str]) -> DataFrame
 
 
 def _filled(rule: LinkageRule, i: int) -> str:
-    """The field can agree with something: not null, and not an empty text."""
-    return f"f{i} IS NOT NULL" if rule.fields[i].numeric else f"(f{i} IS NOT NULL AND f{i} <> '')"
+    """The field can agree with something: not null, not infinite, and not an empty text."""
+    f = rule.fields[i]
+    if f.integer:
+        return f"f{i} IS NOT NULL"
+    if f.numeric:
+        return f"(f{i} > -double('infinity') AND f{i} < double('infinity'))"
+    return f"(f{i} IS NOT NULL AND f{i} <> '')"
 
 
 def _block_position(rule: LinkageRule) -> int | None:
@@ -246,23 +259,43 @@ def _enough_keys(rule: LinkageRule, sets: Sequence[KeySet]) -> Column:
         for i in s.fields:
             value = f"f{i}"
             if rule.fields[i].numeric and s.slack:
-                # Two values in one cell lose less than slack / len(numbers).
-                cell = 2.0 * rule.fields[i].scale * s.slack / len(numbers)
-                value = f"floor(f{i} / {cell!r}D)"
+                # Two values in one cell lose less than slack / len(numbers); the cell is a
+                # little narrower than that, for the rounding of the division.
+                cell = 0.999 * 2.0 * rule.fields[i].scale * s.slack / len(numbers)
+                value = f"if({_countable(i, cell)}, concat('c', floor(f{i} / {cell!r}D)), concat('v', f{i}))"
             parts.append(f"CAST({value} AS STRING)")
         keys.append(_when_filled(rule, s, _key(rule, n, parts)))
     return F.expr(f"array_compact(array({', '.join(keys)}))")
 
 
-def _cells(i: int, reach: float, width: float, left: bool) -> str:
+def _countable(i: int, width: float) -> str:
+    """Cells of this width can be counted exactly for the value."""
+    return f"abs(CAST(f{i} AS DOUBLE)) < {min(MAX_CELL * width, MAX_CELL)!r}D"
+
+
+def _cells(i: int, reach: float, width: float, left: bool, whole: bool) -> str:
     """Cells the partners of a value can lie in, or the one cell a value is filed under.
 
-    With ``2 * reach <= width`` all values within ``reach`` lie in two cells at most.
+    With ``2 * reach <= width`` all values within ``reach`` lie in two or three neighbouring
+    cells. Doubles too large to count cells exactly are filed by their single-precision
+    rounding, which is coarser than ``reach`` there. Whole numbers never leave bigint.
     """
+    f = f"f{i}"
+    if whole:
+        r, w = math.floor(reach), max(1, math.ceil(width))
+        if not left:
+            return f"array({f} div {w}L)"
+        lowest, highest = "CAST('-9223372036854775808' AS BIGINT)", "9223372036854775807L"
+        low = f"if({f} < {lowest} + {r}L, {lowest}, {f} - {r}L)"
+        high = f"if({f} > {highest} - {r}L, {highest}, {f} + {r}L)"
+        return f"array_distinct(array(({low}) div {w}L, ({high}) div {w}L))"
+    most = MAX_COUNTED * width
     if not left:
-        return f"array(floor(f{i} / {width!r}D))"
-    ends = [f"floor((f{i} {sign} {reach!r}D) / {width!r}D)" for sign in "-+"]
-    return f"array_distinct(array({', '.join(ends)}))"
+        return f"array(if(abs({f}) < {most!r}D, floor({f} / {width!r}D), xxhash64(CAST({f} AS FLOAT))))"
+    ends = [f"({f} {sign} {reach!r}D)" for sign in "-+"]
+    cells = f"sequence({', '.join(f'floor({e} / {width!r}D)' for e in ends)})"
+    both = [f"floor({e} / {width!r}D)" for e in (ends[0], f, ends[1])] + [f"xxhash64(CAST({e} AS FLOAT))" for e in ends]
+    return f"if(abs({f}) < {most / 2!r}D, {cells}, array_distinct(array({', '.join(both)})))"
 
 
 def _cover_keys(rule: LinkageRule, n: int, s: KeySet, left: bool) -> str:
@@ -279,7 +312,7 @@ def _cover_keys(rule: LinkageRule, n: int, s: KeySet, left: bool) -> str:
             parts.append(f"f{i}")
         elif len(cells) < limit:
             reach, width = (1e-8, 1e-6) if s.slack == 0.0 else (2.0, 4.0)
-            cells.append(_cells(i, reach * f.scale, width * f.scale, left))
+            cells.append(_cells(i, reach * f.scale, width * f.scale, left, f.integer))
     keys = f"array(xxhash64({', '.join(parts)}))"
     for c in cells:
         # Every key extended by every cell.
@@ -344,7 +377,7 @@ def _similarities(rule: LinkageRule) -> list[Column]:
             # Equal by the join; an empty text agrees with nothing.
             cheap[i] = F.lit(1.0) if f.numeric else F.when(F.col(f"l_f{i}") != "", 1.0).otherwise(0.0)
         elif f.numeric:
-            cheap[i] = numeric_similarity(F.col(f"l_f{i}"), F.col(f"r_f{i}"), f.scale)
+            cheap[i] = numeric_similarity(F.col(f"l_f{i}"), F.col(f"r_f{i}"), f.scale, f.integer)
     texts = [i for i in range(len(rule.fields)) if i not in cheap]
     bounds = [
         F.expr(f"CASE WHEN l_f{i} = r_f{i} OR greatest(length(l_f{i}), length(r_f{i})) >= 10 THEN 1D ELSE 0D END")

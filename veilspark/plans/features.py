@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +20,6 @@ from veilspark.operators.schema import columns_of, integral_columns, numeric_col
 MANY_LEVELS = 0.7
 NEAR_UNIQUE = 0.9
 
-ONE_HOT_LIMIT = 200
-
 
 def replace_by_code(df: DataFrame, col: str) -> DataFrame:
     """Text column replaced by the position of its value in sort order (null stays null)."""
@@ -56,32 +55,39 @@ def drop_near_unique(df: DataFrame, cols: Sequence[str], share: float = NEAR_UNI
     return df.drop(*near_unique_columns(df, cols, share))
 
 
-def levels_of(df: DataFrame, col: str, limit: int = ONE_HOT_LIMIT) -> list[str]:
-    """Sorted levels of a text column; refuses more than ``limit`` of them."""
-    found = df.select(col).where(F.col(col).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"{col} has more than {limit} levels; use one_hot_vector instead")
+def levels_of(df: DataFrame, col: str) -> list[str]:
+    """Sorted levels of a text column."""
+    found = df.select(col).where(F.col(col).isNotNull()).distinct().collect()
     return sorted(r[0] for r in found)
 
 
-def one_hot_columns(df: DataFrame, cols: Sequence[str], limit: int = ONE_HOT_LIMIT) -> DataFrame:
-    """One 0/1 column ``<col>_<level>`` per level; all levels are kept."""
+def one_hot_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """One 0/1 column ``<col>_<level>`` per level; null has none. For levels that can name columns.
+
+    Models take :func:`one_hot_vector`, whose schema does not grow with the levels.
+    """
     added = {
         f"{c}_{level}": F.coalesce((F.col(c) == level).cast("int"), F.lit(0))
         for c in cols
-        for level in levels_of(df, c, limit)
+        for level in levels_of(df, c)
     }
     return df.withColumns(added).drop(*cols)
 
 
 def one_hot_vector(df: DataFrame, col: str, output: str) -> DataFrame:
-    """Sparse one-hot vector, for any number of levels: codes are joined, not collected."""
-    codes = dense_codes(df, col, "__code")
+    """Sparse one-hot vector, for any number of levels: codes are joined, not collected.
+
+    Null has a code behind those of the levels, which the vector leaves out: all zero.
+    """
+    codes = dense_codes(df.where(F.col(col).isNotNull()), col, "__code")
     size = codes.count()
     joined = join_on_class(df, codes, [col], "left")
     coded = joined.withColumn("__index", F.coalesce(F.col("__code"), F.lit(size)).cast("double"))
-    encoder = OneHotEncoder(inputCol="__index", outputCol=output, dropLast=False)
-    return encoder.fit(coded).transform(coded).drop("__code", "__index", col)
+    if not size:
+        return coded.withColumn(output, array_to_vector(F.array().cast("array<double>"))).drop("__code", "__index", col)
+    # What is kept as invalid is the last category, and the last one is dropped.
+    encoder = OneHotEncoder(inputCol="__index", outputCol=output, dropLast=True, handleInvalid="keep")
+    return encoder.fit(coded.where(F.col("__code").isNotNull())).transform(coded).drop("__code", "__index", col)
 
 
 def encode_target(df: DataFrame, target: str, name: str = "label") -> DataFrame:
@@ -106,11 +112,8 @@ def prepare(df: DataFrame, target: str, id_cols: Sequence[str]) -> Prepared:
     cols = [c for c in cols if c in df.columns]
     numbers = numeric_columns(df, within=cols)
     texts = [c for c in cols if c not in numbers]
-    few = {c: n <= ONE_HOT_LIMIT for c, n in cardinalities(df, texts).distinct.items()} if texts else {}
-    before = set(df.columns)
-    df = one_hot_columns(df, [c for c in texts if few[c]])
-    inputs = [*numbers, *[c for c in df.columns if c not in before]]
-    for c in [c for c in texts if not few[c]]:
+    inputs = list(numbers)
+    for c in texts:
         df = one_hot_vector(df, c, f"{c}_vec")
         inputs.append(f"{c}_vec")
     df = encode_target(df, target)

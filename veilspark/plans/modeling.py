@@ -6,7 +6,7 @@ folds are reduced to confusion counts, and all metrics come from those.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
@@ -127,13 +127,14 @@ def cross_validate(
         F.sum("n").alias("rows"), F.count(F.lit(1)).alias("classes")
     ).first()
     features = len(train.select("features").first()[0])
+    in_fold = {r["fold"]: r["count"] for r in train.groupBy("fold").count().collect()}
     train = gathered(train, sizes["rows"])
 
     def run(task: tuple[int, int]) -> list[tuple]:
         number, fold = task
         inside, outside = train.where(F.col("fold") != fold), train.where(F.col("fold") == fold)
         fitted = estimator(
-            model, parameters[number], features, sizes["classes"], sizes["rows"], seed
+            model, parameters[number], features, sizes["classes"], sizes["rows"] - in_fold.get(fold, 0), seed
         ).fit(inside)
         parts = [fitted.transform(outside).withColumn("part", F.lit("test"))]
         if train_scores:
@@ -211,16 +212,3 @@ def run_plan(datasets: DataFrame, repetitions: int = 5, key: str = "ds") -> Data
 def open_runs(plan: DataFrame, done: DataFrame, key: str = "ds") -> DataFrame:
     """Runs of the plan without a result yet."""
     return plan.join(done.select(key, "rep").distinct(), [key, "rep"], "left_anti")
-
-
-def execute_runs(
-    plan: DataFrame, run: Callable[[str, int], DataFrame], store: Callable[[DataFrame], None], key: str = "ds"
-) -> DataFrame:
-    """Run the plan; a run that fails is listed with its error and ends nothing else."""
-    failed = []
-    for row in plan.orderBy(key, "rep").toLocalIterator():
-        try:
-            store(run(row[key], row["rep"]))
-        except Exception as error:  # the next run has nothing to do with this one
-            failed.append((str(row[key]), row["rep"], f"{type(error).__name__}: {error}"[:2000]))
-    return plan.sparkSession.createDataFrame(failed, f"{key} string, rep int, error string")

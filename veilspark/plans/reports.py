@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions.expressions import (
@@ -21,6 +21,7 @@ from veilspark.functions.expressions import (
     compact_solution,
     display_model,
     hash_uniform,
+    missing_if_nan,
     percentage_difference,
     poisson_one,
 )
@@ -128,7 +129,8 @@ def risk_means(risk: DataFrame, complete: DataFrame) -> DataFrame:
 
 
 def summary(df: DataFrame, col: str) -> DataFrame:
-    """``statistic, value`` rows as a table summary gives them, with exact quartiles."""
+    """``statistic, value`` rows as a table summary gives them, with exact quartiles; NaN is missing."""
+    df = df.select(missing_if_nan(F.col(col).cast("double")).alias(col))
     moments = df.agg(
         F.count(col).cast("double").alias("count"),
         F.avg(col).alias("mean"),
@@ -146,14 +148,15 @@ def summary(df: DataFrame, col: str) -> DataFrame:
 
 
 def in_solution_order(df: DataFrame, col: str, name: str = "ord") -> DataFrame:
-    """Number the combinations by (length, lower case).
+    """Number the combinations that occur by (length, lower case, name); null stays null.
 
-    Names come from a fixed list of 31, so the order is a lookup.
+    The distinct names are few and ranked apart; rows are joined to their ranks.
     """
-    names = solution_names()
-    keyed = sorted(names, key=lambda s: (len(s), s.lower()))
-    lookup = F.create_map(*[x for i, s in enumerate(keyed, start=1) for x in (F.lit(s), F.lit(i))])
-    return df.withColumn(name, lookup[F.col(col)])
+    names = df.select(F.col(col).alias("__name")).where(F.col(col).isNotNull()).distinct()
+    order = Window.orderBy(F.length("__name"), F.lower("__name"), "__name")
+    ranks = names.withColumn(name, F.row_number().over(order))
+    joined = df.drop(name).join(ranks, F.col(col) == F.col("__name"), "left")
+    return joined.drop("__name")
 
 
 def rank_pivot(means: DataFrame, row: str, column: str, values: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
@@ -276,7 +279,7 @@ def box_statistics(
     df: DataFrame, groups: Sequence[str], value: str, reach: float = 1.5, method: str = "auto"
 ) -> DataFrame:
     """Quartiles, whiskers and outliers per group: what a box plot draws."""
-    rows = df.select(*groups, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
+    rows = df.select(*groups, missing_if_nan(F.col(value).cast("double")).alias("v")).where(F.col("v").isNotNull())
     q = quantiles(rows, ["v"], (0.25, 0.5, 0.75), groups, method).select(
         *groups, *[F.col("v")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))]
     )

@@ -69,9 +69,18 @@ def append_results(df: DataFrame, path: str) -> None:
 
 
 def merge_batches(batches: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
-    """Partial results in one table; a row that several batches hold is kept once."""
-    merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), batches)
-    return merged.dropDuplicates(list(keys))
+    """Partial results in one table; of a row that several batches hold, the last batch's stays.
+
+    Rows of one batch with equal keys that differ are told apart by a hash of all columns.
+    """
+    numbered = [b.withColumn("__batch", F.lit(i)) for i, b in enumerate(batches)]
+    merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), numbered)
+    rest = [c for c in merged.columns if c not in (*keys, "__batch")]
+    newest = F.max_by(F.struct(*rest), F.struct("__batch", F.xxhash64(*rest))).alias("__row")
+    if not rest:
+        return merged.select(*keys).distinct()
+    kept = merged.groupBy(*keys).agg(newest)
+    return kept.select(*[F.col(c) if c in keys else F.col("__row")[c].alias(c) for c in merged.columns if c != "__batch"])
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, sep: str = ",") -> DataFrame:
