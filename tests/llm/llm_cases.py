@@ -1,7 +1,10 @@
+"""Fixtures of these tests: documents with every awkward case."""
+
 import random
 
 import pytest
 
+SMALL = "/root/testdata/sf0.001"
 CLASHING = "best string, start int, k1 long, node long, words int, h int, place int, score string, spans string, verdict int, items int"
 
 

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from llm_cases import edge_rows, edges, no_docs  # noqa: F401
 from veilspark.llm import contamination as C
 from veilspark.llm import license_scan as L
 from veilspark.llm import pu_toxicity as P

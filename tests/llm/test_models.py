@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from llm_cases import edge_rows, edges, no_docs  # noqa: F401
 from veilspark.llm import gated_lm as G
 from veilspark.llm import impact_search as I
 from veilspark.llm.pu_toxicity import fold

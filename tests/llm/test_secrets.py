@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 
+from llm_cases import edge_rows, edges, no_docs  # noqa: F401
 from veilspark.llm import secret_tags as S
 
 

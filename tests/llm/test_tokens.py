@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from llm_cases import edge_rows, edges, no_docs  # noqa: F401
 from veilspark.llm import prefix_bpe as B
 from veilspark.llm import token_files as T
 
