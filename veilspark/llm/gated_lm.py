@@ -49,8 +49,8 @@ class Settings:
     batch: int = 128  # texts trained together
     rounds: int = 2
     rate: float = 0.02
-    score_tokens: int = 300_000  # tokens whose states are held at once
-    read_tokens: int = 3_000_000  # of the texts that are read side by side; a longer text is read alone
+    score_tokens: int = 150_000  # tokens whose states are held at once
+    read_tokens: int = 1_500_000  # of the texts that are read side by side; a longer text is read alone
     seed: int = 3
 
 
