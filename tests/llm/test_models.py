@@ -28,7 +28,7 @@ def brute_top(rows, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("settings", [I.Settings(), I.Settings(shard_rows=20, block_queries=1), I.Settings(k=40, level_bits=0, rounds=3)])
+@pytest.mark.parametrize("settings", [I.Settings(), I.Settings(shard_rows=20, block_queries=1), I.Settings(k=40, level_bits=0, fall=0.9, outright=1000)])
 def test_top_k_against_brute_force(spark, settings):
     rng = random.Random(3)
     rows = [(i, [rng.gauss(0, 0.3) for _ in range(8)]) for i in range(300)]

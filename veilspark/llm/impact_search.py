@@ -38,7 +38,8 @@ class Settings:
     shard_rows: int = 16_384
     block_queries: int = 256
     level_bits: int = 2  # postings whose values agree but for these bits are one segment
-    rounds: int = 24  # steps of descending impact
+    fall: float = 0.4  # of the impact from step to step
+    outright: int = 6  # a shard's rows divided by this may be scored exactly to end a query
 
 
 class ShardIndex:
@@ -46,8 +47,8 @@ class ShardIndex:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, s: Settings):
         self.ids, self.x, self.s = ids, x, s
-        self.order = np.argsort(x, axis=0, kind="stable").T.astype(np.int32).copy()
-        self.values = np.take_along_axis(x.T, self.order.astype(np.int64), axis=1)
+        self.order = np.argsort(x, axis=0, kind="stable").T.copy()
+        self.values = np.take_along_axis(x.T, self.order, axis=1)
         self.low, self.high = x.min(axis=0), x.max(axis=0)
         self.segments = []
         for v in self.values:
@@ -81,13 +82,15 @@ class ShardIndex:
         floor = int(np.where(q > 0, q * self.low, q * self.high).sum())
         reach = np.abs(q) * (self.high - self.low)
         used = q != 0
-        gained, unread = np.zeros(n, dtype=np.int64), np.full(n, int(used.sum()), dtype=np.int64)
+        # One number per row: what it has gained, and above that how many postings were read.
+        one = 1 << max(1, int(reach.sum()).bit_length())
+        total = np.zeros(n, dtype=np.int64 if one * (len(q) + 1) < 1 << 63 else object)
         exact = np.full(n, np.iinfo(np.int64).min)
         scored = own.copy()
         done = np.zeros(len(q), dtype=np.int64)
         impact = int(reach.max()) if len(reach) else 0
-        step = max(1, -(-impact // self.s.rounds))
         while True:
+            impact = int(impact * self.s.fall)
             cuts = self._cuts(q, impact)
             for j in np.flatnonzero(cuts > done).tolist():
                 a, b = int(done[j]), int(cuts[j])
@@ -96,11 +99,10 @@ class ShardIndex:
                     rows, v = self.order[j, n - b : n - a], (self.values[j, n - b : n - a] - self.low[j]) * w
                 else:
                     rows, v = self.order[j, a:b], (self.values[j, a:b] - self.high[j]) * w
-                gained[rows] += v
-                unread[rows] -= 1
+                total[rows] += v + one
                 done[j] = b
             # A posting not read yet has an impact below ``impact``.
-            bound = gained + unread * max(0, impact - 1) + floor
+            bound = (total % one + (int(used.sum()) - total // one) * max(0, impact - 1) + floor).astype(np.int64)
             bound[scored] = np.iinfo(np.int64).min
             lead = np.argpartition(-bound, min(4 * k, n - 1))[: 4 * k] if n > 4 * k else np.arange(n)
             lead = lead[~scored[lead]]
@@ -115,11 +117,10 @@ class ShardIndex:
                 bound[scored] = np.iinfo(np.int64).min
                 open_rows = np.flatnonzero(bound >= threshold)
                 # Stop on proof, or when it is cheaper to score the possible members than to read on.
-                if len(open_rows) <= max(8 * k, n // 64) or impact <= 0:
+                if len(open_rows) <= max(8 * k, n // self.s.outright) or impact <= 0:
                     exact[open_rows] = self.x[open_rows] @ q
                     scored[open_rows] = True
                     break
-            impact = max(0, impact - step)
         known = np.flatnonzero(scored & ~own)
         best = known[np.lexsort((self.ids[known], -exact[known]))][:k]
         return self.ids[best], exact[best]
