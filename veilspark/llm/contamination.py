@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.shingle_postings import plain, postings, shingle_hashes, split_words
-from veilspark.llm.storage import kept, small_side, text_key
+from veilspark.llm.storage import BROADCAST_BYTES, kept, small_side, text_key
 
 RESULTS = ("n_words", "n_hit", "items", "contaminated")
 
@@ -67,11 +67,13 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
     )
     places = kept(places, "window-places")
     grouped = kept(places.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "length", "body", "items")).alias("places")), "window-texts")
-    few = places.select("k1").limit(1 << 16).count() < 1 << 16
+    size = places.agg(F.sum(F.length("body") + F.size("items") * 16 + 64)).first()[0] or 0
     k1, k2 = text_key(F.col("text"))
-    texts = docs.withColumns({"__k1": k1, "__k2": k2, "__words": split_words(F.col("text"))})
+    texts = docs.withColumns({"__k1": k1, "__k2": k2})
     side = grouped.withColumnsRenamed({"k1": "__k1", "k2": "__k2", "places": "__places"})
-    met = texts.join(F.broadcast(side) if few else side, ["__k1", "__k2"], "left")
+    # Beyond the bound the texts are shuffled, and cut into words only after that.
+    met = texts.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, ["__k1", "__k2"], "left")
+    met = met.withColumn("__words", split_words(F.col("text")))
     exact = F.filter(
         "__places",
         lambda p: (p["start"] + p["length"] <= F.size("__words"))
