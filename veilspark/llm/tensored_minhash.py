@@ -9,11 +9,12 @@ beyond. Candidates are confirmed on the full shingle sets; components of confirm
 the groups.
 
 Texts with equal shingle sets are one class from the start, so copies never meet. Inside a
-table key no pairs are listed at first: in every round, of which there is at least one, a few texts of a key (pivots, four times
+table key no pairs are listed at first: in every round a few texts of a key (pivots, four times
 as many each round) are compared with the others of the key that are not yet known to be in
 their component, and then leave the key. When few enough pairs are open for each member, they
 are compared outright. A pair is only listed if bit maps of both sets allow the similarity:
-every bit of one map that the other lacks is a shingle that the other lacks.
+every bit of one map that the other lacks is a shingle that the other lacks; and it is listed
+only under the first table that both share.
 Every pair of texts that share a table is thus either compared or already connected.
 
 Defined results: a null or empty text and one without words has no shingles, links with
@@ -43,6 +44,7 @@ class Settings:
     similarity: tuple[int, int] = (75, 100)  # numerator and denominator of the Jaccard threshold
     tables: int = 20  # keys of each collection
     rows: int = 3  # minhashes of each key
+    first_rounds: int = 3  # of pivots in the diagonal tables
     open_pairs: int = 256  # pairs for each member of a key that may be compared outright
     seed: int = 5
 
@@ -109,7 +111,9 @@ def _sets(s: Settings, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 
 def _table_members(classes: DataFrame) -> DataFrame:
-    """``(bucket, node, n)``: the tensored keys that at least two classes share.
+    """``(bucket, i, j, node, n)``: the tensored keys that at least two classes share.
+
+    ``i`` and ``j`` are the numbers of the two keys that a table pairs.
 
     A key of one collection that no other class has cannot be half of a shared table key, so
     such keys are dropped before pairs of keys are formed.
@@ -123,19 +127,19 @@ def _table_members(classes: DataFrame) -> DataFrame:
                 F.transform("second", lambda x, i: F.struct(F.lit(True).alias("second"), i.alias("at"), x.alias("key"))),
             )
         ).alias("half"),
-    ).select("node", "n", F.col("half.second").alias("second"), F.xxhash64("half.second", "half.at", "half.key").alias("key"))
+    ).select("node", "n", "half.second", "half.at", F.xxhash64("half.second", "half.at", "half.key").alias("key"))
     shared = halves.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
     both = (
         halves.join(shared, "key")
         .groupBy("node", "n")
         .agg(
-            F.collect_list(F.when(~F.col("second"), F.col("key"))).alias("a"),
-            F.collect_list(F.when(F.col("second"), F.col("key"))).alias("b"),
+            F.collect_list(F.when(~F.col("second"), F.struct("at", "key"))).alias("a"),
+            F.collect_list(F.when(F.col("second"), F.struct("at", "key"))).alias("b"),
         )
         .filter("size(a) > 0 and size(b) > 0")
     )
     tables = both.select("node", "n", "b", F.explode("a").alias("x")).select("node", "n", "x", F.explode("b").alias("y"))
-    members = tables.select(F.xxhash64("x", "y").alias("bucket"), "node", "n")
+    members = tables.select(F.xxhash64("x.key", "y.key").alias("bucket"), F.col("x.at").alias("i"), F.col("y.at").alias("j"), "node", "n")
     several = members.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1").select("bucket")
     return members.join(several, "bucket")
 
@@ -153,6 +157,21 @@ def _possible(s: Settings):
     return sizes & (common * (p + q) >= (F.col("na") + F.col("nb")) * p)
 
 
+def _first_common(s: Settings, diagonal: bool):
+    """Whether a table is the first of all, or of the diagonal ones, that two members share.
+
+    A pair is so listed under one of its tables only. Tags are 31 bits of each key.
+    """
+    m = s.tables
+
+    def equal(at: int):
+        return F.zip_with(F.slice("atags", at, m), F.slice("btags", at, m), lambda x, y: x == y)
+
+    if diagonal:
+        return F.array_position(F.zip_with(equal(1), equal(m + 1), lambda x, y: x & y), True) == F.col("i") + 1
+    return (F.array_position(equal(1), True) == F.col("i") + 1) & (F.array_position(equal(m + 1), True) == F.col("j") + 1)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """The pairs ``(a, b)`` whose full sets are similar enough."""
     p, q = s.similarity
@@ -167,12 +186,16 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     )
 
 
-def _links(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """Confirmed links that connect all classes which similar pairs of the tables connect."""
-    links = members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    label, pivots = None, 1
-    maps = sets.select("node", *MAPS)
-    while True:
+def _rounds(
+    members: DataFrame, sets: DataFrame, s: Settings, links: DataFrame, label: DataFrame | None, diagonal: bool
+) -> tuple[DataFrame, DataFrame | None]:
+    """Links found so far with those of more rounds, and the components they make.
+
+    In the diagonal tables there are ``s.first_rounds`` of pivots, in all tables they go on to the end.
+    """
+    pivots, done = 1, 0
+    maps = sets.select("node", *MAPS, "tags")
+    while not diagonal or done < s.first_rounds:
         if label is None:
             now = members.withColumn("group", F.col("node"))
         else:
@@ -192,29 +215,41 @@ def _links(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
         )
         total = load.agg(F.sum("m"), F.sum((F.col("m").cast("double") * F.col("m") - F.col("squares")) / 2)).first()
         if total[0] is None:
-            return links
+            break
         open_now = now.join(load.select("bucket", "pivot", "m"), "bucket")
-        last = label is not None and total[1] <= s.open_pairs * total[0]
+        last = not diagonal and total[1] <= s.open_pairs * total[0]
         share = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(1 << 30)).cast("double") / (1 << 30)
         is_pivot = (F.col("node") == F.col("pivot")) | (share * F.col("m") < pivots - 1)
         open_now = open_now.withColumn("is_pivot", is_pivot)
         mapped = open_now.join(maps, "node")
 
         def side(x: str) -> list:
-            return [F.col(c).alias(f"{x}{c}") for c in MAPS] + [F.col("node").alias(x), F.col("group").alias(f"g{x}"), F.col("n").alias(f"n{x}")]
+            return [F.col(c).alias(f"{x}{c}") for c in [*MAPS, "tags"]] + [F.col("node").alias(x), F.col("group").alias(f"g{x}"), F.col("n").alias(f"n{x}")]
 
-        one = mapped.select("bucket", "is_pivot", *side("a"))
+        one = mapped.select("bucket", "is_pivot", "i", "j", *side("a"))
         if not last:
             one = one.filter("is_pivot")
-        pairs = one.join(mapped.select("bucket", *side("b")), "bucket").filter((F.col("ga") != F.col("gb")) & _possible(s))
+        pairs = one.join(mapped.select("bucket", *side("b")), "bucket").filter((F.col("ga") != F.col("gb")) & _possible(s) & _first_common(s, diagonal))
         pairs = pairs.filter("a < b") if last else pairs
         pairs = kept(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
         links = kept(links.unionByName(_confirmed(pairs, sets, s)), "near-links")
         if last:
-            return links
+            break
         label = smallest_reachable(links).select("node", F.col("root").alias("group"))
-        members = kept(open_now.filter("not is_pivot").select("bucket", "node", "n"), "near-members")
-        pivots *= 4
+        members = kept(open_now.filter("not is_pivot").select("bucket", "i", "j", "node", "n"), "near-members")
+        pivots, done = pivots * 4, done + 1
+    return links, label
+
+
+def _links(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """Confirmed links that connect all classes which similar pairs of the tables connect.
+
+    A similar pair shares dozens of tables, so a few rounds over the diagonal ones connect
+    most of what belongs together; then only keys that still hold several groups matter.
+    """
+    none = members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    links, label = _rounds(members.filter("i = j"), sets, s, none, None, True)
+    return _rounds(members, sets, s, links, label, False)[0]
 
 
 def near_duplicates(
@@ -242,13 +277,14 @@ def near_duplicates(
         "near-classes",
     )
     members = kept(_table_members(classes), "near-members")
-    wanted = kept(classes.join(members.select("node").distinct(), "node", "left_semi").select("t1", "t2", "k1", "k2", "node"), "near-wanted")
+    tags = F.transform(F.concat("first", "second"), lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int"))
+    wanted = kept(classes.join(members.select("node").distinct(), "node", "left_semi").select("t1", "t2", "k1", "k2", "node", tags.alias("tags")), "near-wanted")
     texts = named.select("t1", "t2", "text").join(small_side(wanted.select("t1", "t2"), 16), ["t1", "t2"], "left_semi")
     sets = kept(
         in_tasks(texts.select("text"), lambda it: _sets(s, it), "k1 long, k2 long, shingles array<long>, " + ", ".join(f"{m} long" for m in MAPS))
         .dropDuplicates(["k1", "k2"])
-        .join(wanted.select("k1", "k2", "node"), ["k1", "k2"])
-        .select("node", "shingles", *MAPS),
+        .join(wanted.select("k1", "k2", "node", "tags"), ["k1", "k2"])
+        .select("node", "shingles", "tags", *MAPS),
         "near-sets",
     )
     roots = smallest_reachable(_links(members, sets, s))
