@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +143,20 @@ def test_state_carries_across_windows():
     whole = G.score_units(model, unit, first)
     small = G.GatedModel(G.Lexicon(**{**lex.__dict__, "settings": G.Settings(**{**lex.settings.__dict__, "score_tokens": 3})}), model.vector)
     assert np.allclose(whole, G.score_units(small, unit, first), atol=1e-3)
+
+
+def test_whole_texts_are_learnt():
+    lex = lexicon()
+    texts = [" ".join(f"w{i % 37}" for i in range(n)) for n in (0, 1, 31, 32, 33, 700, 5000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([*texts, None]), pa.array(range(8), pa.int64())], names=["text", "place"])
+    got = [u for b in G._stretches(lex, [batch]) for u in b.column("units").to_pylist()]
+    end = int(lex.units[0])
+    want = []
+    for t in [*texts, ""]:
+        data = np.frombuffer(t.encode(), dtype=np.uint8)
+        w = G.W.words_of(data, np.array([0, len(data)]))
+        want += [*(G.find(lex, w)[1].tolist() if t else []), end]
+    assert [u for stretch in got for u in stretch[1:]] == want
+    trainer = G.Trainer(G.GatedModel.started(lex), 0.01)
+    trainer.read([np.array(u) for u in got])
+    assert trainer.tokens == len(want)

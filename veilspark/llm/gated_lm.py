@@ -5,10 +5,11 @@ words and, for the others, groups by their first two bytes are the units of a re
 with one gated layer and a class-factored softmax; a word outside the unit list has the
 probability of its group times its share of the group by the counts, so every text has a
 proper probability. The model starts from the counts (output biases) and is trained by
-truncated backpropagation in numpy, inside tasks: every training text gives a stretch of
-``train_words`` words, read in windows whose states carry over; each task trains on its own
-share and the tasks' weights are averaged, ``rounds`` times. What is gathered thus grows with
-the corpus, while the model keeps its size.
+truncated backpropagation in numpy, inside tasks: every training text is read whole, in windows
+whose states carry over (a text of more than ``stretch_words`` words in several stretches, each
+with its own start state); each task trains on its own share of the stretches and the tasks'
+weights are averaged, ``rounds`` times. What is gathered thus grows with the corpus, while the
+model keeps its size.
 
 Scoring reads every whole text in windows of ``window`` words with the state carried across,
 so memory does not grow with a text. Words outside a bounded list of frequent ones are looked
@@ -44,7 +45,7 @@ class Settings:
     groups: int = 32  # of them, groups of rarer words
     classes: int = 32  # of the softmax
     hidden: int = 16
-    train_words: int = 32  # of every training text
+    stretch_words: int = 1024  # of a training text that one start state is carried through; a longer text gives several
     window: int = 16  # words of a truncated backpropagation
     batch: int = 128  # texts trained together
     rounds: int = 2
@@ -279,20 +280,22 @@ class Trainer:
 
     def read(self, stretches: list[np.ndarray]) -> None:
         s = self.model.s
-        for a in range(0, len(stretches), s.batch):
-            some = stretches[a : a + s.batch]
-            width = max(len(x) for x in some) - 1
+        # Stretches of about equal length together, the longest first, in any order of batches.
+        by_length = sorted(stretches, key=len, reverse=True)
+        starts = np.arange(0, len(by_length), s.batch)
+        for a in np.random.default_rng(s.seed).permutation(starts):
+            some = by_length[a : a + s.batch]
+            steps = np.array([len(x) - 1 for x in some])
+            width = int(steps[0])
             units = np.zeros((width + 1, len(some)), dtype=np.int64)
             live = np.zeros((width + 1, len(some)), dtype=bool)
             for i, x in enumerate(some):
                 units[: len(x), i], live[: len(x), i] = x, True
             h = np.zeros((len(some), s.hidden), dtype=np.float32)
             for t in range(0, width, s.window):
-                to = min(width, t + s.window)
-                alive = live[t + 1 : to + 1]
-                if not alive.any():
-                    break
-                grad, h, _ = self.model.train_window(units[t:to], units[t + 1 : to + 1], alive, h)
+                to, n = min(width, t + s.window), int((steps > t).sum())
+                alive = live[t + 1 : to + 1, :n]
+                grad, h, _ = self.model.train_window(units[t:to, :n], units[t + 1 : to + 1, :n], alive, h[:n])
                 self.tokens += int(alive.sum())
                 self._move(grad)
 
@@ -337,27 +340,36 @@ def score_units(model: GatedModel, unit: np.ndarray, first: np.ndarray) -> np.nd
 
 
 def _stretches(lex: Lexicon, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every word and end of every text, once, in stretches that begin with the unit before them."""
     s = lex.settings
     end = int(lex.units[np.searchsorted(lex.hashes, END)])
     for batch in batches:
-        lists = []
         place = batch.column("place").to_numpy(zero_copy_only=False)
         for a, b, data, offsets in W.slices(batch.column("text")):
+            lists, places, numbers = [], [], []
             w = W.words_of(data, offsets)
             unit = find(lex, w)[1] if len(w.hash) else np.zeros(0, np.int64)
             for i in range(b - a):
-                own = np.append(np.append(end, unit[w.first[i] : w.first[i + 1]]), end)
-                at = int(place[a + i] % max(1, len(own) - s.train_words))
-                lists.append(own[at : at + s.train_words + 1].astype(np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int32()))], names=["units"])
+                own = np.concatenate([[end], unit[w.first[i] : w.first[i + 1]], [end]]).astype(np.int32)
+                for number, at in enumerate(range(0, len(own) - 1, s.stretch_words)):
+                    lists.append(own[at : at + s.stretch_words + 1])
+                    places.append(place[a + i])
+                    numbers.append(number)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(lists, pa.list_(pa.int32())), pa.array(places, pa.int64()), pa.array(numbers, pa.int32())],
+                names=["units", "place", "number"],
+            )
 
 
 def fit(docs: DataFrame, lex: Lexicon) -> np.ndarray:
-    """Train on a stretch of every text of ``docs``; the weights."""
+    """Train on the whole of every text of ``docs``; the weights."""
     s, context = lex.settings, docs.sparkSession.sparkContext
     sent = context.broadcast(lex)
-    placed = docs.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("place"))
-    stretches = kept(in_tasks(placed, lambda it: _stretches(sent.value, it), "units array<int>"), "lm-stretches")
+    placed = docs.select("text", F.xxhash64("doc_id", "text").alias("place"))
+    stretches = in_tasks(placed, lambda it: _stretches(sent.value, it), "units array<int>, place long, number int")
+    # The stretches of a long text go to many tasks.
+    keys = ["place", "number"]
+    stretches = kept(stretches.repartition(*keys).sortWithinPartitions(*keys).select("units"), "lm-stretches")
     vector = GatedModel.started(lex).vector
     for number in range(s.rounds):
         weights = context.broadcast(vector)
