@@ -100,3 +100,28 @@ def test_edge_cases(spark, edges, no_docs):
 def test_mask_of_overlapping_spans():
     assert S.mask("0123456789", [("a", 1, 4), ("b", 3, 6), ("c", 3, 4), ("d", 8, 9)]) == "0[SECRET]67[SECRET]9"
     assert re.sub(r"\[SECRET\]", "", S.mask("ab", [("a", 0, 2)])) == ""
+
+
+def test_rare_secrets_are_learnt_wherever_they_are(spark):
+    """One text in 10,000 holds a secret, none of them among those with the smallest hashes of their ids."""
+    from pyspark.sql import functions as F
+
+    ids = [r.id for r in spark.range(30_000).orderBy(F.desc(F.xxhash64("id"))).limit(3).collect()]
+    secret = F.concat(F.lit("see the note password="), F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 18), F.lit(" and go on"))
+    text = F.when(F.col("id").isin(ids), secret).otherwise("nothing to see here, move along")
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), text.alias("text"))
+    crf = S.fit(docs.repartition(4))
+    assert crf is not None
+    again = S.fit(docs.repartition(7))
+    assert np.array_equal(crf.weights, again.weights) and crf.context == again.context
+
+
+def test_one_text_does_not_fill_the_sample():
+    import pyarrow as pa
+
+    many = " ".join(f"word password=abcdef{i:06d}" for i in range(500))
+    texts = [many] + [f"some text token=zyxwvuts{i}" for i in range(500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(501), pa.int64()), pa.array(texts)], names=["order", "text"])
+    [got] = S._windows(S.Settings(windows=100), [batch])
+    marked = [o for m, o in zip(got.column("marked").to_pylist(), got.column("order").to_pylist()) if m]
+    assert len(marked) == 100 and 20 < sum(o > 0 for o in marked) < 80

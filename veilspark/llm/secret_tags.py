@@ -3,14 +3,14 @@
 The field tags blank-separated tokens as secret begin, inside or outside. Features are the
 token's shape, the shapes and context words of both neighbours, and traits of the file. It is
 trained in numpy on a bounded sample of windows in which the base patterns mark the secrets
-(``Settings.documents`` texts are looked at, ``Settings.windows`` windows of each kind are
-learnt), and decoded by Viterbi over every whole text. A token whose outside score leads by
+(all texts are looked at, and the ``Settings.windows`` windows of each kind with the smallest
+hashes are learnt), and decoded by Viterbi over every whole text. A token whose outside score leads by
 more than any change of transitions can return is outside in every best path, so only the
 runs between such tokens need the recursion; the result is that of the full recursion.
 
 Base spans are always kept; tagged spans are added where they touch none of them.
 
-Defined results: a null or empty text has no spans; without any base span in the sample
+Defined results: a null or empty text has no spans; without any base span in the texts
 nothing is learnt and nothing added. Offsets count code points, ends are exclusive. Repeated
 rows get equal spans. Extra columns pass through; a column named ``spans`` is replaced.
 """
@@ -45,7 +45,6 @@ OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 
 @dataclass(frozen=True)
 class Settings:
-    documents: int = 8000  # texts that windows are taken from
     windows: int = 1500  # of each kind: around base spans, and at random
     reach: int = 12  # tokens on either side
     context: int = 300  # words near secrets that are features by themselves
@@ -141,25 +140,62 @@ def spans_to_tags(starts: list[int], ends: list[int], spans: list[Span]) -> np.n
     return tags
 
 
+def _rank(order: int, number: int) -> int:
+    """A hash of a window by its text's ``order`` and its number, so that no text has all small ones."""
+    x = (order + (number + 1) * 0x9E3779B97F4A7C15) & (2**64 - 1)
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & (2**64 - 1)
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & (2**64 - 1)
+    return (x ^ (x >> 31)) >> 1
+
+
+class Smallest:
+    """The ``size`` smallest of the rows that are added."""
+
+    def __init__(self, size: int):
+        self.size, self.rows, self.last = size, [], None
+
+    def wants(self, rank: int) -> bool:
+        return self.last is None or rank <= self.last
+
+    def add(self, row: tuple) -> None:
+        self.rows.append(row)
+        if len(self.rows) >= 2 * self.size:
+            self.cut()
+
+    def cut(self) -> list[tuple]:
+        self.rows = sorted(self.rows)[: self.size]
+        if len(self.rows) == self.size:
+            self.last = self.rows[-1][0]
+        return self.rows
+
+
 def _windows(s: Settings, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of all texts of a task, the windows of each kind with the smallest hashes."""
+    found = {True: Smallest(s.windows), False: Smallest(s.windows)}
     for batch in batches:
-        rows = []
         for order, value in zip(batch.column("order").to_pylist(), batch.column("text")):
             text = value.as_py() or ""
+            spans = base_spans(text)
+            at_random = _rank(order, -1)
+            if not spans and not found[False].wants(at_random):
+                continue
             places = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
             if not places:
                 continue
             starts, ends = [p[0] for p in places], [p[1] for p in places]
-            tags = spans_to_tags(starts, ends, base_spans(text))
+            tags = spans_to_tags(starts, ends, spans)
             of_file = list(file_traits([""] * len(places), text))
-            centres = [(int(t), True) for t in np.flatnonzero(tags == BEGIN)] + [(abs(order) % len(places), False)]
-            for centre, marked in centres:
-                a, b = max(0, centre - s.reach), min(len(places), centre + s.reach + 1)
-                tokens = [text[x:y][: s.looked_at] for x, y in places[a:b]]
-                rows.append((marked, order, centre, tokens, tags[a:b].tolist(), of_file))
-        names = ["marked", "order", "centre", "tokens", "tags", "of_file"]
-        kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.string())]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+            centres = [(_rank(order, int(t)), int(t), True) for t in np.flatnonzero(tags == BEGIN)]
+            centres.append((at_random, abs(order) % len(places), False))
+            for rank, centre, marked in centres:
+                if found[marked].wants(rank):
+                    a, b = max(0, centre - s.reach), min(len(places), centre + s.reach + 1)
+                    tokens = [text[x:y][: s.looked_at] for x, y in places[a:b]]
+                    found[marked].add((rank, order, centre, tokens, tags[a:b].tolist(), of_file))
+    rows = [(marked, *r) for marked, some in found.items() for r in some.cut()]
+    names = ["marked", "rank", "order", "centre", "tokens", "tags", "of_file"]
+    kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.string())]
+    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
 
 def _forward_backward(e: np.ndarray, live: np.ndarray, moves: np.ndarray, first: np.ndarray):
@@ -322,17 +358,13 @@ def tagged_spans(text: str, tagger: Tagger, base: list[Span]) -> list[Span]:
 
 
 def fit(docs: DataFrame, s: Settings = Settings()) -> Crf | None:
-    """Learn from windows of the ``s.documents`` texts with the smallest hashes of their ids."""
-    order = F.xxhash64("doc_id")
-    last = docs.select(order.alias("h")).orderBy("h").limit(s.documents).agg(F.max("h")).first()[0]
-    if last is None:
-        return None
-    sample = docs.filter(order <= last).select(order.alias("order"), "text")
-    schema = "marked boolean, order long, centre long, tokens array<string>, tags array<long>, of_file array<string>"
-    windows = kept(in_tasks(sample, lambda it: _windows(s, it), schema), "secret-windows")
+    """Learn from the windows of each kind with the smallest hashes, of all texts."""
+    placed = docs.select(F.xxhash64("doc_id").alias("order"), "text")
+    schema = "marked boolean, rank long, order long, centre long, tokens array<string>, tags array<long>, of_file array<string>"
+    windows = kept(in_tasks(placed, lambda it: _windows(s, it), schema), "secret-windows")
     rows = []
     for marked in (True, False):
-        some = windows.filter(F.col("marked") == marked).orderBy("order", "centre", "tokens").limit(s.windows)
+        some = windows.filter(F.col("marked") == marked).orderBy("rank", "order", "centre", "tokens").limit(s.windows)
         rows += [(list(r.tokens), list(r.tags), list(r.of_file)) for r in some.collect()]
     return learn(rows, s)
 
