@@ -210,6 +210,31 @@ def test_licenses_against_brute_force(spark, edge_rows):
     assert L.license_notices(df, []).filter("best > 0").count() == 0
 
 
+def test_notices_that_differ_in_a_word_are_told_apart(spark):
+    gnu = "This {0} is free software{3} you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published by the Free Software Foundation{3} either version {2} of the License, or (at your option) any later version."
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: * Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. * Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. {0}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES"
+    third = "* Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+    cases = [
+        (gnu.format("program", "", "2", ";"), "GPL-2.0"),
+        (gnu.format("program", "", "3", ","), "GPL-3.0"),
+        (gnu.format("library", "Lesser ", "2.1", ";"), "LGPL-2.1"),
+        (gnu.format("library", "Library ", "2", ";"), "LGPL-2.0"),
+        (gnu.format("program", "Lesser ", "3", ","), "LGPL-3.0"),
+        (gnu.format("program", "Affero ", "3", ","), "AGPL-3.0"),
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+        ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+        (bsd.format(""), "BSD-2-Clause"),
+        (bsd.format(third), "BSD-3-Clause"),
+        ("Permission is hereby granted. The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "MIT"),
+        ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at", "EPL-2.0"),
+        (gnu.format("program", "", "2", ";") + " some other words between the two " * 4 + gnu.format("program", "", "3", ","), "GPL-2.0,GPL-3.0"),
+    ]
+    df = spark.createDataFrame([(i, "x y z " + t + " and so on") for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: ",".join(r.licenses) for r in L.license_notices(df, L.NOTICES + L.FURTHER).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
+
+
 def test_bands_promise_a_high_collision_probability():
     for c in (8, 16, 32, 64, 256):
         bands = L.class_bands(c, 5, 0.75, 1e-6)

@@ -185,7 +185,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices in every document; spans are in words, end exclusive."""
-    found = license_notices(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    notices = license_scan.NOTICES + license_scan.FURTHER
+    found = license_notices(table(spark, sf_dir, "documents").select("doc_id", "text"), notices)
     span = F.transform("spans", lambda s: F.concat_ws(":", s["license"], s["start"].cast("string"), s["end"].cast("string")))
     return found.select(
         "doc_id", F.size("licenses").cast("long").alias("n_licenses"), joined("licenses").alias("licenses"), "best", joined(span).alias("spans")

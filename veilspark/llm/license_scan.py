@@ -11,6 +11,10 @@ template's distinct shingles.
 A minhash of a window can only equal one of a template if the smallest shingle is common to
 both; windows without any shingle of a template of their class are therefore never formed.
 
+Where spans of several licences overlap by more than half of the shorter one, the one that has
+the most shingles of its template in common is named, so that a notice that differs from another
+in a word counts as itself, and a whole notice as more than its opening. Equal ones are all named.
+
 Defined results: null and empty texts match nothing; a template without words never matches;
 a template shorter than a shingle is one shingle of all its words. Repeated rows each get the
 result of their text. Extra columns pass through; columns named like results are replaced.
@@ -23,7 +27,7 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.llm.shingle_postings import postings, shingle_hashes, split_words
@@ -58,6 +62,40 @@ NOTICES = (
     Template("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
 
+_GNU = (
+    ("GPL-1.0", "", "1"),
+    ("GPL-2.0", "", "2"),
+    ("GPL-3.0", "", "3"),
+    ("LGPL-2.0", "Library ", "2"),
+    ("LGPL-2.1", "Lesser ", "2.1"),
+    ("LGPL-3.0", "Lesser ", "3"),
+    ("AGPL-1.0", "Affero ", "1"),
+    ("AGPL-3.0", "Affero ", "3"),
+)
+_GNU_FORMS = (
+    "This work is licensed under the GNU {0}General Public License, version {1}.",
+    "Licensed under the GNU {0}General Public License, version {1}.",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0}General Public License as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version",
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {0}General Public License version {1} as published by the Free Software Foundation",
+)
+_BSD_2 = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_BSD_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS"
+FURTHER = (
+    *(Template(name, form.format(kind, version)) for name, kind, version in _GNU for form in _GNU_FORMS),
+    Template("BSD-2-Clause", _BSD_2 + _BSD_END),
+    Template("BSD-3-Clause", f"{_BSD_2}3. {_BSD_NAMES}{_BSD_END}"),
+    Template("BSD-3-Clause", _BSD_NAMES),
+    Template("MIT", "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"),
+    Template("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    Template("MIT", "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE"),
+    Template("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License"),
+    Template("Apache-2.0", "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form"),
+    Template("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at"),
+    Template("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"),
+)
+"""More notices, among them some that differ from others in a word only; the SQL twin does not know these."""
+
 
 def word_list(text: str) -> list[str]:
     """Words of a template, as the documents are split."""
@@ -106,6 +144,13 @@ def minhashes(shingles: str, bands: str, kind: str):
     )
 
 
+def _outdone(x: Column, y: Column) -> Column:
+    """Another licence has more in common with much the same stretch."""
+    both = F.least(x["end"], y["end"]) - F.greatest(x["start"], y["start"])
+    shorter = F.least(x["end"] - x["start"], y["end"] - y["start"])
+    return (x["license"] != y["license"]) & (y["common"] > x["common"]) & (2 * both > shorter)
+
+
 def license_notices(
     docs: DataFrame, templates: Sequence[Template] = NOTICES, share: float = 0.75, miss: float = 1e-6
 ) -> DataFrame:
@@ -176,25 +221,28 @@ def license_notices(
             "tid",
             "license",
             "containment",
+            F.size(common).alias("common"),
             (F.col("from") + F.array_position(inside, True) - 1).cast("int").alias("start"),
             (F.col("from") + F.size("held") - F.array_position(F.reverse(inside), True) + F.col("size")).cast("int").alias("end"),
         )
         .distinct()
     )
     per_template = matches.groupBy("k1", "k2", "tid", "license").agg(
-        F.max("containment").alias("containment"), F.collect_set(F.struct("start", "end", "license")).alias("all")
+        F.collect_set(F.struct("common", "containment", "start", "end", "license")).alias("all")
     )
     largest = F.filter(
         "all",
         lambda x: ~F.exists("all", lambda y: (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & ((y["start"] != x["start"]) | (y["end"] != x["end"]))),
     )
+    per_text = per_template.withColumn("all", largest).groupBy("k1", "k2").agg(F.sort_array(F.flatten(F.collect_list("all")), asc=False).alias("all"))
+    named = F.aggregate("all", F.expr("slice(all, 1, 0)"), lambda taken, x: F.when(F.exists(taken, lambda y: _outdone(x, y)), taken).otherwise(F.concat(taken, F.array(x))))
     found_in = kept(
-        per_template.withColumn("all", largest)
-        .groupBy("k1", "k2")
-        .agg(
-            F.array_sort(F.collect_set("license")).alias("licenses"),
-            F.max("containment").alias("best"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("all")))).alias("spans"),
+        per_text.withColumn("all", named).select(
+            "k1",
+            "k2",
+            F.array_sort(F.array_distinct("all.license")).alias("licenses"),
+            F.array_max("all.containment").alias("best"),
+            F.array_sort(F.array_distinct(F.transform("all", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["license"].alias("license"))))).alias("spans"),
         ),
         "license-matches",
     )
