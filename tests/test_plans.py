@@ -42,3 +42,20 @@ def test_only_needed_columns_are_read(spark):
 def test_no_window_over_data_groups(spark, name):
     plan = plan_of(entry.queries()[name](spark, SMALL)).split("== Physical Plan ==")[1]
     assert "Window [" not in plan
+
+
+def test_whole_grids_and_all_learners(spark, monkeypatch):
+    from veilspark.catalog import modelling
+    from veilspark.plans import modeling
+
+    assert {m: len(modeling.grid(m)) for m in modeling.FULL_GRIDS} == {"RF": 12, "Bag": 3, "XGB": 36, "LogR": 6, "NN": 42}
+    searched, fits = [], []
+    small = {m: modeling.grid(m, "quick")[:1] for m in modeling.FULL_GRIDS}
+    small["NN"] = [{"layout": 1, "alpha": a, "iterations": 5} for a in (5e-3, 1e-3, 1e-4)]
+    make = modeling.estimator
+    monkeypatch.setattr(modeling, "grid", lambda m, size="full": (searched.append((m, size)), small[m])[1])
+    monkeypatch.setattr(modeling, "estimator", lambda m, *a: (fits.append(m), make(m, *a))[1])
+    held = modelling.cv_holdout(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.model for r in held) == sorted(small)
+    assert sorted(searched) == sorted((m, "full") for m in small)
+    assert fits.count("NN") == 5 + 1

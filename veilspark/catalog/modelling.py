@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.catalog.analysis import WITH
@@ -220,17 +223,18 @@ def run_plan(spark, sf):
 # --- training: rows only --------------------------------------------------------------
 
 
-def _cross_validated(spark, sf, model: str):
+def _folds(spark, sf):
     prepared = features.prepare(labelled_documents(spark, sf).drop("toxic"), "quality", ["doc_id"])
     split = features.stratified_split(prepared.table, "label", ["doc_id"], SEED)
     train = features.stratified_folds(split.where(~F.col("is_test")), "label", ["doc_id"], SEED).persist()
-    return prepared, train, split.where("is_test"), modeling.cross_validate(prepared, train, model)
+    return prepared, train, split.where("is_test")
 
 
 def _register_cv(name: str, model: str) -> None:
     @query(name)
     def run(spark, sf):
-        _, train, _, cv = _cross_validated(spark, sf, model)
+        prepared, train, _ = _folds(spark, sf)
+        cv = modeling.cross_validate(prepared, train, model)
         train.unpersist()
         score_columns = [c for c in cv.scores.columns if c.startswith("mean_")]
         scores = cv.scores.withColumn("params", F.to_json("params")).drop("number")
@@ -249,7 +253,9 @@ for _name, _model in (
 
 @query("cv_holdout")
 def cv_holdout(spark, sf):
-    prepared, train, test, cv = _cross_validated(spark, sf, "LogR")
-    found = modeling.hold_out(prepared, train, test, cv.model, cv.best)
+    """The best of every learner's grid, refitted and scored on the test rows."""
+    prepared, train, test = _folds(spark, sf)
+    found = [modeling.cross_validate(prepared, train, m) for m in modeling.FULL_GRIDS]
+    finals = reduce(DataFrame.unionByName, [modeling.hold_out(prepared, train, test, cv.model, cv.best) for cv in found])
     train.unpersist()
-    return rounded(found, *_METRICS)
+    return rounded(finals, *_METRICS)

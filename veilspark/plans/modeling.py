@@ -32,7 +32,7 @@ FULL_GRIDS = {
     "LogR": {"c": (1e-4, 1.0, 1e4), "iterations": (10_000, 100_000)},
     "NN": {"layout": (0, 1, 2, 3, 4, 5, 6), "alpha": (5e-3, 1e-3, 1e-4), "iterations": (10_000, 100_000)},
 }
-# Small grids of the same shape, for routine runs.
+# Small grids of the same shape, for trial runs.
 QUICK_GRIDS = {
     "RF": {"trees": (10, 20), "depth": (4,)},
     "Bag": {"trees": (5, 10)},
@@ -46,7 +46,7 @@ MAX_DEPTH = 30
 ROWS_PER_TASK = 10_000
 
 
-def grid(model: str, size: str = "quick") -> list[dict[str, float]]:
+def grid(model: str, size: str = "full") -> list[dict[str, float]]:
     """Parameter sets of one learner, in a fixed order."""
     chosen = {"quick": QUICK_GRIDS, "full": FULL_GRIDS}[size][model]
     return [dict(zip(chosen, values)) for values in product(*chosen.values())]
@@ -88,6 +88,13 @@ def estimator(model: str, params: dict, features: int, classes: int, rows: int,
     raise ValueError(f"unknown learner {model!r}")
 
 
+def fitted_as(model: str, params: dict, features: int) -> tuple:
+    """What the learner depends on: a network on its layers and iterations, others on all parameters."""
+    if model == "NN":
+        return tuple(hidden_layers(params["layout"], features)), params["iterations"]
+    return tuple(sorted(params.items()))
+
+
 @dataclass(frozen=True)
 class CrossValidation:
     """Scores per parameter set, and the set with the best balanced accuracy."""
@@ -119,7 +126,8 @@ def cross_validate(
     """Train every parameter set on every fold and score all of them.
 
     ``train`` has ``features``, ``label`` and ``fold``. Runs are submitted a few at a
-    time; each gives back confusion counts, which are bounded by classes squared.
+    time; each gives back confusion counts, which are bounded by classes squared. Sets that
+    give the same learner are fitted once.
     """
     parameters = list(parameters or grid(model))
     spark = train.sparkSession
@@ -147,8 +155,11 @@ def cross_validate(
             for r in confusion(predicted, ["part"]).collect()
         ]
 
-    tasks = [(n, f) for n in range(len(parameters)) for f in range(folds)]
-    rows = [r for found in at_once(spark, run, tasks, parallel) for r in found]
+    same = [fitted_as(model, p, features) for p in parameters]
+    firsts = [same.index(x) for x in same]
+    tasks = [(n, f) for n in sorted(set(firsts)) for f in range(folds)]
+    fitted_rows = [r for found in at_once(spark, run, tasks, parallel) for r in found]
+    rows = [(n, *r[1:]) for n, first in enumerate(firsts) for r in fitted_rows if r[0] == first]
     counts = spark.createDataFrame(
         rows, "number int, fold int, part string, label double, prediction double, n bigint"
     )
@@ -183,7 +194,7 @@ def evaluate_models(
     models: Sequence[str],
     seed: str,
     rep: int = 0,
-    size: str = "quick",
+    size: str = "full",
     folds: int = 5,
 ) -> tuple[DataFrame, DataFrame]:
     """Split, cross-validate and hold out for one repetition: ``(cv_results, hold_out)``."""
