@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -13,7 +14,10 @@ from veilspark.llm.contamination import contamination
 from veilspark.llm.gated_lm import score_texts
 from veilspark.llm.impact_search import top_k
 from veilspark.llm.license_scan import license_notices
+from veilspark.llm.line_dedup import without_shared_lines
+from veilspark.llm.part_codes import compress
 from veilspark.llm.prefix_bpe import encode_texts
+from veilspark.llm.prefix_trie import prefix_trie, rebuilt, turn_lists
 from veilspark.llm.pu_toxicity import fold, toxicity
 from veilspark.llm.tensored_minhash import near_duplicates
 
@@ -219,3 +223,104 @@ FROM d LEFT JOIN li USING (r) LEFT JOIN sp USING (r)"""
 
 
 ORACLE["op10_licenses"] = _license_sql()
+
+
+@query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as eight codebook indexes."""
+    coded, books = compress(table(spark, sf_dir, "embeddings"))
+    numbers = "" if books is None else ",".join(map(str, books.ravel().tolist()))
+    return coded.select(
+        F.col("id").alias("vec_id"),
+        F.lower(F.hex("code")).alias("code"),
+        "error",
+        "label_error",
+        F.lit(hashlib.sha256(numbers.encode()).hexdigest()).alias("codebooks_sha256"),
+    )
+
+
+def _codes_sql(rounds: int = 6) -> str:
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+a{k} AS (
+  SELECT r, p, arg_min(e, (d, e)) AS e, min(d) AS d
+  FROM (SELECT r, parts.p, e, CAST(list_sum(list_transform(range(1, len(parts.x) + 1), lambda i: (parts.x[i] - c.x[i]) * (parts.x[i] - c.x[i]))) AS BIGINT) AS d
+        FROM parts JOIN b{k} c USING (p)) GROUP BY r, p)""")
+        if k < rounds:
+            steps.append(f"""
+m{k} AS (
+  SELECT p, e, list(v ORDER BY i) AS x
+  FROM (SELECT p, e, i, sum(x[i]) // count(*) - CASE WHEN sum(x[i]) % count(*) < 0 THEN 1 ELSE 0 END AS v
+        FROM (SELECT p, e, x, unnest(range(1, len(x) + 1)) AS i FROM parts JOIN a{k} USING (r, p)) GROUP BY p, e, i) GROUP BY p, e),
+b{k + 1} AS (SELECT p, e, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN m{k} m USING (p, e))""")
+    return f"""
+WITH v AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS r, vec_id, label,
+         list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT r, p, x[p * (len(x) // 8) + 1 : (p + 1) * (len(x) // 8)] AS x FROM (SELECT r, x, unnest(range(8)) AS p FROM v)),
+b0 AS (SELECT p, r - 1 AS e, x FROM parts WHERE r <= 16),{",".join(steps)},
+coded AS (SELECT r, string_agg(printf('%02x', CAST(e AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256
+FROM v JOIN coded USING (r)"""
+
+
+ORACLE["op11_vector_codes"] = _codes_sql()
+
+
+@query
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that a document before it holds."""
+    done = without_shared_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLE["op12_line_dedup"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (
+  SELECT r, doc_id, i, l[i] AS line,
+         translate(trim(l[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{url_rules.UPPER}', '{url_rules.LOWER}') AS key
+  FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM d)),
+shared AS (
+  SELECT key, min(doc_id) AS owner FROM lines WHERE length(key) >= 10 GROUP BY key
+  HAVING count(DISTINCT doc_id) + CASE WHEN count(*) > count(doc_id) THEN 1 ELSE 0 END >= 2),
+marked AS (SELECT r, i, line, owner IS NOT NULL AND doc_id IS DISTINCT FROM owner AS lost FROM lines LEFT JOIN shared USING (key)),
+done AS (
+  SELECT r, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped, string_agg(line, chr(10) ORDER BY i) FILTER (NOT lost) AS kept
+  FROM marked GROUP BY r)
+SELECT doc_id, n_lines, n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM d JOIN done USING (r)"""
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of all rebuilt conversations."""
+    return prefix_trie(rebuilt(turn_lists(table(spark, sf_dir, "conversations"))))
+
+
+# CRC-32 of a decimal: each digit is followed by eight markers, one per bit to be shifted out.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(conv AS VARCHAR), ''),
+  lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) ELSE xor(s >> 1, 3988292384 * (s & 1)) END))"""
+ORACLE["op13_prefix_trie"] = f"""
+WITH t AS (SELECT conv_id AS conv, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, text) AS turns FROM t GROUP BY conv),
+c AS (
+  SELECT o.conv, coalesce(b.turns[1 : h], []) || o.turns[h + 1 :] AS turns
+  FROM (SELECT *, CAST({_CRC} % 4 AS INTEGER) AS h FROM own) o LEFT JOIN own b ON b.conv = o.conv - o.conv % 20),
+p AS (SELECT conv, turns, len(turns) AS l, d, turns[1 : d] AS path FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM c)),
+node AS (
+  SELECT d, path, min(conv) AS conv_id, count(*) AS n, coalesce(string_agg(CAST(conv AS VARCHAR), ',' ORDER BY conv) FILTER (l = d), '') AS ends
+  FROM p GROUP BY d, path),
+own_saved AS (
+  SELECT *, CASE WHEN d = 0 THEN 0 ELSE (n - 1) * len(regexp_extract_all(path[d].text, '[^\x20\x09-\x0D]+')) END AS saved,
+         path[1 : d - 1] AS up FROM node),
+kids AS (SELECT up AS path, d - 1 AS d, count(*) AS children FROM own_saved WHERE d > 0 GROUP BY 1, 2),
+tree AS (SELECT s.*, coalesce(children, 0) AS children FROM own_saved s LEFT JOIN kids USING (d, path)),
+below AS (
+  SELECT a AS d, path[1 : a] AS path, sum(saved) AS saved, count(*) FILTER (children = 0) AS leaves
+  FROM (SELECT path, saved, children, unnest(range(0, d + 1)) AS a FROM tree) GROUP BY 1, 2)
+SELECT t.conv_id, CAST(t.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, t.n AS n_convs, t.children AS n_children, b.leaves AS n_leaves,
+       CAST(b.saved AS BIGINT) AS saved_tokens, sha256(t.ends) AS ends_sha256
+FROM tree t JOIN below b USING (d, path) LEFT JOIN node u ON t.d > 0 AND u.d = t.d - 1 AND u.path = t.up"""
