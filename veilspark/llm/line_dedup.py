@@ -42,7 +42,9 @@ def line_key(line: Column) -> Column:
 
 def hashed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """``(id, t, pos, h1, h2)`` of the lines long enough of ``docs(id, text)``; ``t`` hashes the text."""
-    each = docs.select("id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), F.posexplode(line_list(F.col("text"))).alias("pos", "line"))
+    # The text is hashed before its lines are exploded, once and not for every line.
+    whole = docs.select("id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), line_list(F.col("text")).alias("lines"))
+    each = whole.select("id", "t", F.posexplode("lines").alias("pos", "line"))
     keys = each.select("id", "t", "pos", line_key(F.col("line")).alias("key")).filter(F.length("key") >= min_chars)
     return keys.select("id", "t", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
