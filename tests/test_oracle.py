@@ -9,7 +9,7 @@ from veilspark.catalog import registered
 
 QUERIES, ORACLE = registered.QUERIES, registered.ORACLE
 ROWS_ONLY = {
-    "risk_table_customer_all", "sign_test_mc", "cv_random_forest", "cv_bagging", "cv_boosting",
+    "sign_test_mc", "cv_random_forest", "cv_bagging", "cv_boosting",
     "cv_logistic", "cv_network", "cv_holdout",
 }
 

@@ -59,21 +59,3 @@ def test_whole_grids_and_all_learners(spark, monkeypatch):
     assert sorted(r.model for r in held) == sorted(small)
     assert sorted(searched) == sorted((m, "full") for m in small)
     assert fits.count("NN") == 5 + 1
-
-
-def test_registered_study_takes_all_techniques_and_searches_epsilon(monkeypatch):
-    from veilspark.catalog import searches
-    from veilspark.plans.deidentify import Study
-
-    asked = []
-
-    def evaluate(df, study, techniques=None):
-        asked.append((study.epsilon, techniques))
-        raise StopIteration
-
-    monkeypatch.setattr(searches, "table", lambda *a: None)
-    monkeypatch.setattr(searches, "study_of", lambda df, qi, ids, **options: Study(tuple(qi), tuple(ids), **options))
-    monkeypatch.setattr(searches, "evaluate", evaluate)
-    with pytest.raises(StopIteration):
-        searches.risk_table_customer_all(None, "")
-    assert asked == [(None, None)]

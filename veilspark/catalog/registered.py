@@ -7,6 +7,7 @@ from veilspark.catalog import (  # noqa: F401
     searches,
     signtests,
     storage,
+    studies,
     techniques,
 )
 from veilspark.catalog.base import ORACLE, QUERIES  # noqa: F401

@@ -235,13 +235,13 @@ def _risk_table_sql() -> str:
         ctes = duck.searched_rl(f"{name}_s", name, "part", PART_FIELDS, 3, "p_partkey")
         scored.append(
             f"SELECT 0 AS ds_id, '{comb}' AS comb, round({fk.format(t='part')}, 6) AS initial_fk, round({fk.format(t=name)}, 6) AS fk, "
-            f"round(risk, 6) AS rl, round(100e0 * abs(risk - {fk.format(t='part')}) / nullif({fk.format(t='part')}, 0), 6) AS diff "
+            f"round(risk, 6) AS rl, round(100e0 * abs(risk - {fk.format(t='part')}) / nullif({fk.format(t='part')}, 0), 6) AS diff, 'ok' AS status "
             f"FROM (WITH {ctes} SELECT * FROM {name}_s_rl)"
         )
     return (
         f"WITH rc AS ({_ROUND_CANDIDATES}), rb AS (SELECT min(parameter) AS b FROM rc WHERE risk = (SELECT min(risk) FROM rc)), "
         f"v_r AS MATERIALIZED ({chosen}), {recoded('v_g', 'part')}, {recoded('v_rg', 'v_r')} "
-        f"{' UNION ALL '.join(scored)} UNION ALL SELECT 0, 'O', round({fk.format(t='part')}, 6), NULL, NULL, NULL"
+        f"{' UNION ALL '.join(scored)} UNION ALL SELECT 0, 'O', round({fk.format(t='part')}, 6), NULL, NULL, NULL, 'original'"
     )
 
 
@@ -252,13 +252,3 @@ def risk_table_part(spark, sf):
     study = study_of(part, PART, ["p_partkey"], min_score=3, seed=FIXED_SEED)
     done = evaluate(part, study, ["round", "globalrec"])
     return rounded(risk_report(done.risk), "initial_fk", "fk", "rl", "diff")
-
-
-@query("risk_table_customer_all")
-def risk_table_customer_all(spark, sf):
-    """All five techniques with the search for epsilon; rows only, the chain is too long for one SQL."""
-    customer = table(spark, sf, "customer")
-    fields = ["c_nationkey", "c_acctbal", "c_mktsegment"]
-    study = study_of(customer, fields, ["c_custkey"], min_score=2.5, seed=FIXED_SEED)
-    done = evaluate(customer, study)
-    return rounded(risk_report(done.risk), "initial_fk", "fk", "rl", "diff")

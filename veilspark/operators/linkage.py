@@ -63,6 +63,7 @@ class Field:
     numeric: bool
     scale: float = 1.0
     integer: bool = False
+    tagged: bool = False  # a block of several datasets: value, zero character, dataset
 
 
 @dataclass(frozen=True)
@@ -230,6 +231,8 @@ def _filled(rule: LinkageRule, i: int) -> str:
         return f"f{i} IS NOT NULL"
     if f.numeric:
         return f"(f{i} > -double('infinity') AND f{i} < double('infinity'))"
+    if f.tagged:
+        return f"(f{i} IS NOT NULL AND NOT startswith(f{i}, char(0)))"
     return f"(f{i} IS NOT NULL AND f{i} <> '')"
 
 
@@ -375,7 +378,7 @@ def _similarities(rule: LinkageRule) -> list[Column]:
     for i, f in enumerate(rule.fields):
         if i == b:
             # Equal by the join; an empty text agrees with nothing.
-            cheap[i] = F.lit(1.0) if f.numeric else F.when(F.col(f"l_f{i}") != "", 1.0).otherwise(0.0)
+            cheap[i] = F.lit(1.0) if f.numeric else F.expr(f"CASE WHEN {_filled(rule, i).replace(f'f{i}', f'l_f{i}')} THEN 1D ELSE 0D END")
         elif f.numeric:
             cheap[i] = numeric_similarity(F.col(f"l_f{i}"), F.col(f"r_f{i}"), f.scale, f.integer)
     texts = [i for i in range(len(rule.fields)) if i not in cheap]
@@ -518,6 +521,32 @@ def unresolved_rows(
     return left.join(settled, on, "left_anti")
 
 
+def _alone(left: DataFrame, right: DataFrame, rule: LinkageRule, blocks: tuple, near: dict[int, DataFrame]) -> DataFrame:
+    """Distinct protected rows that link to exactly one original, with their weight ``l_w``."""
+    pairs = _all_pairs(left, right, rule, blocks, near, ["p", "w"], ["p", "w"], True)
+    keys = [f"l_f{i}" for i in range(len(rule.fields))] + ["l_p", "l_w"]
+    return pairs.groupBy(*keys).agg(F.sum("r_w").alias("links")).where(F.col("links") == 1)
+
+
+def tagged_links(protected: DataFrame, original: DataFrame, rule: LinkageRule) -> DataFrame:
+    """``(tag, n)``: how many protected rows of each tag link to exactly one original.
+
+    ``protected`` holds several versions of a table under the column ``tag``. Rows that are
+    equal in several versions are compared once, for all their tags; the original is filed once.
+    """
+    _, cover = rule.key_sets()
+    plain = _comparable(protected, rule, ["tag"]), _comparable(original, rule)
+    values = [f"f{i}" for i in range(len(rule.fields))]
+    if not cover:
+        return plain[0].groupBy("tag").agg(F.lit(0).cast("bigint").alias("n"))
+    blocks = _crowded_blocks(plain[1], rule)
+    near = _near_tables(*plain, rule, cover) if blocks[1] else {}
+    each = plain[0].groupBy(*values, "tag").agg(F.count(F.lit(1)).alias("w"))
+    left = each.groupBy(*values).agg(F.sort_array(F.collect_list(F.struct("tag", "w"))).alias("w"))
+    alone = _alone(left.withColumn("p", F.lit(0.0)), _side(original, rule, ()), rule, blocks, near)
+    return alone.select(F.explode("l_w").alias("x")).groupBy("x.tag").agg(F.sum("x.w").alias("n"))
+
+
 def linkage_risk(
     protected: DataFrame,
     original: DataFrame,
@@ -544,16 +573,8 @@ def linkage_risk(
     plain = _comparable(left, rule), _comparable(right, rule)
     blocks = _crowded_blocks(plain[1], rule)
     near = _near_tables(*plain, rule, cover) if blocks[1] else {}
-    left = _side(left, rule, id_cols)
-    right = _side(right, rule, id_cols)
-    pairs = _all_pairs(left, right, rule, blocks, near, ["p", "w"], ["p", "w"], True)
-    keys = [f"l_f{i}" for i in range(len(rule.fields))] + ["l_p", "l_w"]
-    single = (
-        pairs.groupBy(*keys)
-        .agg(F.sum("r_w").alias("links"))
-        .where(F.col("links") == 1)
-        .agg(F.coalesce(F.sum("l_w"), F.lit(0)).alias("at_risk"))
-    )
+    single = _alone(_side(left, rule, id_cols), _side(right, rule, id_cols), rule, blocks, near)
+    single = single.agg(F.coalesce(F.sum("l_w"), F.lit(0)).alias("at_risk"))
     # Two one-row aggregates side by side.
     both = single.select("at_risk", F.lit(None).cast("bigint").alias("n")).unionByName(
         total.select(F.lit(None).cast("bigint").alias("at_risk"), "n")
