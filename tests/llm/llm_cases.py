@@ -5,7 +5,7 @@ import random
 import pytest
 
 SMALL = "/root/testdata/sf0.001"
-CLASHING = "best string, start int, k1 long, node long, words int, h int, place int, score string, spans string, verdict int, items int"
+CLASHING = "best string, start int, k1 long, node long, words int, h int, place int, score string, spans string, verdict int, items int, __k1 string, __k2 long, __words int, __places int, __exact int, __url int, __best int"
 
 
 def noise_words(rng, n):

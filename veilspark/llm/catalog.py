@@ -199,25 +199,35 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _license_sql() -> str:
     rows = []
-    for i, t in enumerate(license_scan.NOTICES):
+    for i, t in enumerate(license_scan.NOTICES + license_scan.FURTHER):
         w = license_scan.word_list(t.text)
+        assert len(w) >= license_scan.SHINGLE
         rows.append(f"({i}, '{t.license}', '{' '.join(w)}', {license_scan.length_class(len(w))})")
-    raw = "list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
     return f"""
-WITH t(tid, license, body, class) AS (VALUES {', '.join(rows)}),
+WITH RECURSIVE t(tid, license, body, class) AS (VALUES {', '.join(rows)}),
 ts AS (SELECT DISTINCT tid, license, class, array_to_string(w[i : i + 4], ' ') AS s
        FROM (SELECT tid, license, class, string_split(body, ' ') AS w, unnest(range(1, greatest(len(string_split(body, ' ')) - 3, 2))) AS i FROM t)),
 tn AS (SELECT tid, count(*) AS n FROM ts GROUP BY tid),
-d AS (SELECT row_number() OVER () AS r, doc_id, {raw} AS w FROM documents),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
 ds AS (SELECT r, i - 1 AS p, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) > 4)),
 hit AS (SELECT r, p, tid, license, class, s, class // 4 AS step, class + class // 4 - 4 AS width FROM ds JOIN ts USING (s)),
 inw AS (SELECT *, unnest(range(greatest(0, CAST(ceil((p - width + 1) / step) AS BIGINT)), p // step + 1)) AS k FROM hit),
-win AS (SELECT r, tid, license, k, count(DISTINCT s) / any_value(n) AS c, min(p) AS a, max(p) + 5 AS b FROM inw JOIN tn USING (tid) GROUP BY r, tid, license, k),
-good AS (SELECT DISTINCT r, tid, license, c, a, b FROM win WHERE c >= 0.75),
-big AS (SELECT DISTINCT r, a, b, license FROM good g WHERE NOT EXISTS (
-  SELECT 1 FROM good h WHERE h.r = g.r AND h.tid = g.tid AND h.a <= g.a AND h.b >= g.b AND (h.a <> g.a OR h.b <> g.b))),
-sp AS (SELECT r, string_agg(license || ':' || a || ':' || b, ',' ORDER BY a, b, license) AS spans FROM big GROUP BY r),
-li AS (SELECT r, count(DISTINCT license) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, max(c) AS best FROM good GROUP BY r)
+win AS (SELECT r, tid, license, k, count(DISTINCT s) AS common, count(DISTINCT s) / any_value(n) AS c, min(p) AS a, max(p) + 5 AS b FROM inw JOIN tn USING (tid) GROUP BY r, tid, license, k),
+good AS (SELECT DISTINCT r, license, common, c, a, b FROM win WHERE c >= 0.75),
+big AS (SELECT r, a, b, license, common, c FROM good g WHERE NOT EXISTS (
+  SELECT 1 FROM good h WHERE h.r = g.r AND h.license = g.license AND h.a <= g.a AND h.b >= g.b AND (h.a <> g.a OR h.b <> g.b))),
+ranked AS (
+  SELECT r, row_number() OVER (PARTITION BY r ORDER BY common DESC, c DESC, a DESC, b DESC, license DESC) AS i,
+         {{'a': a, 'b': b, 'license': license, 'common': common, 'c': c}} AS x FROM big),
+settled(r, i, taken) AS (
+  SELECT r, 1::BIGINT, [x] FROM ranked WHERE i = 1
+  UNION ALL
+  SELECT s.r, k.i, CASE WHEN len(list_filter(taken, lambda y: y.license <> k.x.license AND y.common > k.x.common
+    AND 2 * (least(k.x.b, y.b) - greatest(k.x.a, y.a)) > least(k.x.b - k.x.a, y.b - y.a))) > 0 THEN taken ELSE list_append(taken, k.x) END
+  FROM settled s JOIN ranked k ON k.r = s.r AND k.i = s.i + 1),
+done AS (SELECT r, unnest(arg_max(taken, i), recursive := true) FROM settled GROUP BY r),
+sp AS (SELECT r, string_agg(license || ':' || a || ':' || b, ',' ORDER BY a, b, license) AS spans FROM (SELECT DISTINCT r, a, b, license FROM done) GROUP BY r),
+li AS (SELECT r, count(DISTINCT license) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, max(c) AS best FROM done GROUP BY r)
 SELECT doc_id, coalesce(n, 0) AS n_licenses, coalesce(licenses, '') AS licenses, coalesce(best, 0.0) AS best, coalesce(spans, '') AS spans
 FROM d LEFT JOIN li USING (r) LEFT JOIN sp USING (r)"""
 

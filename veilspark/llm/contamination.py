@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.shingle_postings import plain, postings, shingle_hashes, split_words
-from veilspark.llm.storage import BROADCAST_BYTES, kept, small_side, text_key
+from veilspark.llm.storage import BROADCAST_BYTES, free_names, kept, small_side, text_key
 
 RESULTS = ("n_words", "n_hit", "items", "contaminated")
 
@@ -35,7 +35,7 @@ def item_windows(items: DataFrame, window: int, shingle: int) -> DataFrame:
         "items",
         F.size("words").alias("length"),
         F.least(F.size("words"), F.lit(shingle)).alias("size"),
-        F.transform("words", lambda w: F.lower(w)).alias("words"),
+        "words",
     )
 
 
@@ -68,25 +68,26 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
     places = kept(places, "window-places")
     grouped = kept(places.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "length", "body", "items")).alias("places")), "window-texts")
     size = places.agg(F.sum(F.length("body") + F.size("items") * 16 + 64)).first()[0] or 0
-    k1, k2 = text_key(F.col("text"))
-    texts = docs.withColumns({"__k1": k1, "__k2": k2})
-    side = grouped.withColumnsRenamed({"k1": "__k1", "k2": "__k2", "places": "__places"})
+    t1, t2 = text_key(F.col("text"))
+    k1, k2, at, words, sure = free_names(docs, "k1", "k2", "places", "words", "exact")
+    texts = docs.withColumns({k1: t1, k2: t2})
+    side = grouped.withColumnsRenamed({"k1": k1, "k2": k2, "places": at})
     # Beyond the bound the texts are shuffled, and cut into words only after that.
-    met = texts.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, ["__k1", "__k2"], "left")
-    met = met.withColumn("__words", split_words(F.col("text")))
+    met = texts.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, [k1, k2], "left")
+    met = met.withColumn(words, split_words(F.col("text")))
     exact = F.filter(
-        "__places",
-        lambda p: (p["start"] + p["length"] <= F.size("__words"))
-        & (plain(F.array_join(F.slice("__words", p["start"] + 1, p["length"]), " ")) == p["body"]),
+        at,
+        lambda p: (p["start"] + p["length"] <= F.size(words))
+        & (plain(F.array_join(F.slice(words, p["start"] + 1, p["length"]), " ")) == p["body"]),
     )
-    met = met.withColumn("__exact", F.coalesce(exact, F.array().cast(side.schema["__places"].dataType)))
-    hit = F.array_distinct(F.flatten(F.transform("__exact", lambda p: F.sequence(p["start"], p["start"] + p["length"] - 1))))
-    named = F.array_sort(F.array_distinct(F.flatten(F.transform("__exact", lambda p: p["items"]))))
+    met = met.withColumn(sure, F.coalesce(exact, F.array().cast(side.schema[at].dataType)))
+    hit = F.array_distinct(F.flatten(F.transform(sure, lambda p: F.sequence(p["start"], p["start"] + p["length"] - 1))))
+    named = F.array_sort(F.array_distinct(F.flatten(F.transform(sure, lambda p: p["items"]))))
     return met.withColumns(
         {
-            "n_words": F.size("__words").cast("long"),
+            "n_words": F.size(words).cast("long"),
             "n_hit": F.size(hit).cast("long"),
             "items": named,
-            "contaminated": F.size("__exact") > 0,
+            "contaminated": F.size(sure) > 0,
         }
-    ).drop("__k1", "__k2", "__words", "__places", "__exact")
+    ).drop(k1, k2, words, at, sure)

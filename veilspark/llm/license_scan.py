@@ -30,8 +30,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.shingle_postings import postings, shingle_hashes, split_words
-from veilspark.llm.storage import kept, small_side, text_key
+from veilspark.llm.shingle_postings import plain, postings, shingle_hashes, split_words
+from veilspark.llm.storage import free_names, kept, small_side, text_key
 
 SHINGLE = 5
 RESULTS = ("licenses", "best", "spans")
@@ -157,7 +157,7 @@ def license_notices(
     """``docs`` without ``text``, with ``licenses`` (sorted names), ``best`` (largest containment) and ``spans``.
 
     ``spans`` are ``(start, end, license)`` in words of the text, end exclusive, sorted; a
-    span inside a longer one of the same template is left out.
+    span inside a longer one of the same licence is left out.
     """
     docs = docs.drop(*RESULTS)
     k1, k2 = text_key(F.col("text"))
@@ -198,7 +198,7 @@ def license_notices(
     small = rows[0] * 64 + (rows[1] or 0) * 48 <= 32 << 20
     texts = docs.select(k1.alias("k1"), k2.alias("k2"), "text")
     texts = texts.join(F.broadcast(windows) if small else windows, ["k1", "k2"])
-    texts = texts.select("k1", "k2", "windows", split_words(F.lower("text")).alias("words"))
+    texts = texts.select("k1", "k2", "windows", split_words(plain(F.col("text"))).alias("words"))
     for z in sorted({z for _, z in kinds}):
         texts = texts.withColumn(f"h{z}", shingle_hashes("words", z))
     pieces = texts.drop("words").select("*", F.explode("windows").alias("w")).select("*", "w.*").withColumn("from", F.col("at") * F.col("step"))
@@ -227,14 +227,14 @@ def license_notices(
         )
         .distinct()
     )
-    per_template = matches.groupBy("k1", "k2", "tid", "license").agg(
+    per_license = matches.groupBy("k1", "k2", "license").agg(
         F.collect_set(F.struct("common", "containment", "start", "end", "license")).alias("all")
     )
     largest = F.filter(
         "all",
         lambda x: ~F.exists("all", lambda y: (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & ((y["start"] != x["start"]) | (y["end"] != x["end"]))),
     )
-    per_text = per_template.withColumn("all", largest).groupBy("k1", "k2").agg(F.sort_array(F.flatten(F.collect_list("all")), asc=False).alias("all"))
+    per_text = per_license.withColumn("all", largest).groupBy("k1", "k2").agg(F.sort_array(F.flatten(F.collect_list("all")), asc=False).alias("all"))
     named = F.aggregate("all", F.expr("slice(all, 1, 0)"), lambda taken, x: F.when(F.exists(taken, lambda y: _outdone(x, y)), taken).otherwise(F.concat(taken, F.array(x))))
     found_in = kept(
         per_text.withColumn("all", named).select(
@@ -246,11 +246,12 @@ def license_notices(
         ),
         "license-matches",
     )
-    side = found_in.withColumnsRenamed({"k1": "__k1", "k2": "__k2"})
+    n1, n2 = free_names(docs, "k1", "k2")
+    side = found_in.withColumnsRenamed({"k1": n1, "k2": n2})
     return (
-        docs.withColumns({"__k1": k1, "__k2": k2})
+        docs.withColumns({n1: k1, n2: k2})
         .drop("text")
-        .join(small_side(side, 1000), ["__k1", "__k2"], "left")
+        .join(small_side(side, 1000), [n1, n2], "left")
         .withColumns(
             {
                 "licenses": F.coalesce("licenses", F.array().cast("array<string>")),
@@ -258,5 +259,5 @@ def license_notices(
                 "spans": F.coalesce("spans", none),
             }
         )
-        .drop("__k1", "__k2")
+        .drop(n1, n2)
     )

@@ -35,9 +35,8 @@ def line_list(text: Column) -> Column:
 
 
 def line_key(line: Column) -> Column:
-    """The line as it is compared. ASCII lines take the faster of two equal ways."""
-    bare = F.btrim(line, F.lit(BLANKS))
-    return F.when(F.octet_length(bare) == F.length(bare), F.lower(bare)).otherwise(plain(bare))
+    """The line as it is compared."""
+    return plain(F.btrim(line, F.lit(BLANKS)))
 
 
 def hashed_lines(docs: DataFrame, min_chars: int) -> DataFrame:

@@ -1,7 +1,8 @@
 """Where the word shingles of a small table occur in the texts of a large one, in Spark SQL.
 
-Words are runs of letters a-z, digits and non-ASCII characters once A-Z is lower-cased. The
-search lower-cases everything, which can only add occurrences; callers compare the words.
+Words are runs of letters a-z, digits and non-ASCII characters once A-Z is lower-cased. Other
+letters keep their case on both sides: lower-casing them may depend on their neighbours (a Greek
+capital sigma), so a word alone and the same word in a text could differ.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ def split_words(text: Column) -> Column:
 
 
 def plain(text: Column) -> Column:
-    """A-Z lower-cased, nothing else."""
-    return F.translate(text, UPPER, LOWER)
+    """A-Z lower-cased, nothing else. ASCII texts take the faster of two equal ways."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def shingle_hashes(words: str, size: int) -> Column:
@@ -40,7 +41,7 @@ def postings(docs: DataFrame, wanted: DataFrame, text_col: str, sizes: list[int]
     ``k1, k2`` name the text, ``copies`` counts the rows that have it. A written table.
     """
     k1, k2 = text_key(F.col(text_col))
-    texts = docs.select(k1.alias("k1"), k2.alias("k2"), split_words(F.lower(text_col)).alias("words"))
+    texts = docs.select(k1.alias("k1"), k2.alias("k2"), split_words(plain(F.col(text_col))).alias("words"))
     small = small_side(kept(wanted.select("h").distinct(), "shingles"), 16)
     parts = [
         texts.select("k1", "k2", F.lit(size).alias("size"), F.posexplode(shingle_hashes("words", size)).alias("pos", "h")).join(small, "h")

@@ -10,7 +10,7 @@ from veilspark.llm.contamination import contamination
 from veilspark.llm.prefix_bpe import encode_texts
 from veilspark.llm.pu_toxicity import toxicity
 from veilspark.llm.secret_tags import find_secrets, fit
-from veilspark.llm.storage import kept, small_side, text_key
+from veilspark.llm.storage import free_names, kept, small_side, text_key
 from veilspark.llm.tensored_minhash import near_duplicates
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -41,17 +41,18 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
         "staying",
     )
     t1, t2 = text_key(F.col("text"))
-    keyed = docs.withColumns({"__k1": t1, "__k2": t2})
+    k1, k2 = free_names(docs, "k1", "k2")
+    keyed = docs.withColumns({k1: t1, k2: t2})
 
     def those(of: DataFrame) -> DataFrame:
         of = small_side(of, 32)
-        on = [keyed["doc_id"].eqNullSafe(of["__id"]), keyed["__k1"] == of["__t1"], keyed["__k2"] == of["__t2"]]
+        on = [keyed["doc_id"].eqNullSafe(of["__id"]), keyed[k1] == of["__t1"], keyed[k2] == of["__t2"]]
         return keyed.join(of, on, "left_semi")
 
     result = those(keys.filter("rows = 1")).select(docs.columns)
     repeated = keys.filter("rows > 1")
     if repeated.limit(1).count():
-        result = result.unionByName(those(repeated).dropDuplicates(["doc_id", "__k1", "__k2"]).select(docs.columns))
+        result = result.unionByName(those(repeated).dropDuplicates(["doc_id", k1, k2]).select(docs.columns))
     return result
 
 

@@ -47,6 +47,19 @@ def text_key(text: Column) -> tuple[Column, Column]:
     return F.xxhash64(text), F.xxhash64(F.lit(1), text)
 
 
+def free_names(df: DataFrame, *stems: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for stem in stems:
+        name = f"__{stem}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def parts_for(rows: int, each: int) -> int:
     """Number of parts so that each holds about ``each`` rows."""
     return max(1, math.ceil(rows / each))

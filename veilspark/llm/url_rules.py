@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.storage import kept, small_side
+from veilspark.llm.storage import free_names, kept, small_side
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -117,23 +117,24 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     )
     # Descending: the lower tier, then the longer name, then the smaller one.
     rank = F.struct("tier", (-F.length("name")).alias("longer"), "name", "verdict")
+    of, best = free_names(pages, "url", "best")
     decided = (
         tokens.join(small_side(index, 1000), "token")
         .filter(F.regexp_like("place", F.col("regex")))
         .groupBy("url")
         .agg(F.min(rank).alias("best"))
-        .select(F.col("url").alias("__decided_url"), F.col("best").alias("__best"))
+        .select(F.col("url").alias(of), F.col("best").alias(best))
     )
     return (
-        pages.join(decided, F.col("url") == F.col("__decided_url"), "left")
+        pages.join(decided, F.col("url") == F.col(of), "left")
         .withColumns(
             {
                 "host": host,
                 "path": path,
-                "rule": F.col("__best.name"),
-                "tier": F.col("__best.tier"),
-                "verdict": F.coalesce("__best.verdict", F.lit(default)),
+                "rule": F.col(f"{best}.name"),
+                "tier": F.col(f"{best}.tier"),
+                "verdict": F.coalesce(f"{best}.verdict", F.lit(default)),
             }
         )
-        .drop("__decided_url", "__best")
+        .drop(of, best)
     )
