@@ -213,7 +213,7 @@ ds AS (SELECT r, i - 1 AS p, array_to_string(w[i : i + 4], ' ') AS s FROM (SELEC
 hit AS (SELECT r, p, tid, license, class, s, class // 4 AS step, class + class // 4 - 4 AS width FROM ds JOIN ts USING (s)),
 inw AS (SELECT *, unnest(range(greatest(0, CAST(ceil((p - width + 1) / step) AS BIGINT)), p // step + 1)) AS k FROM hit),
 win AS (SELECT r, tid, license, k, count(DISTINCT s) AS common, count(DISTINCT s) / any_value(n) AS c, min(p) AS a, max(p) + 5 AS b FROM inw JOIN tn USING (tid) GROUP BY r, tid, license, k),
-good AS (SELECT DISTINCT r, license, common, c, a, b FROM win WHERE c >= 0.75),
+good AS (SELECT DISTINCT r, license, common, max(c) OVER (PARTITION BY r, license) AS c, a, b FROM win WHERE c >= 0.75),
 big AS (SELECT r, a, b, license, common, c FROM good g WHERE NOT EXISTS (
   SELECT 1 FROM good h WHERE h.r = g.r AND h.license = g.license AND h.a <= g.a AND h.b >= g.b AND (h.a <> g.a OR h.b <> g.b))),
 ranked AS (

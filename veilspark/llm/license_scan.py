@@ -228,8 +228,12 @@ def license_notices(
         .distinct()
     )
     per_license = matches.groupBy("k1", "k2", "license").agg(
-        F.collect_set(F.struct("common", "containment", "start", "end", "license")).alias("all")
+        F.collect_set(F.struct("common", "containment", "start", "end", "license")).alias("all"), F.max("containment").alias("most")
     )
+    # A licence counts with its largest containment, also where that span lies inside a longer one.
+    fields = ("start", "end", "license")
+    settled = F.transform("all", lambda x: F.struct(x["common"].alias("common"), F.col("most").alias("containment"), *[x[c].alias(c) for c in fields]))
+    per_license = per_license.withColumn("all", settled)
     largest = F.filter(
         "all",
         lambda x: ~F.exists("all", lambda y: (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & ((y["start"] != x["start"]) | (y["end"] != x["end"]))),

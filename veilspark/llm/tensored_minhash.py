@@ -46,11 +46,13 @@ class Settings:
     rows: int = 3  # minhashes of each key
     first_rounds: int = 3  # of pivots in the diagonal tables
     open_pairs: int = 256  # pairs for each member of a key that may be compared outright
+    least_keys: int = 4  # of both collections that a listed pair has in common
     seed: int = 5
 
 
 MAP_WORDS = 16
 MAPS = [f"m{i}" for i in range(MAP_WORDS)]
+LANE = (1 << 15) - 1
 _SIGNED = "t1 long, t2 long, k1 long, k2 long, n_shingles long, first array<long>, second array<long>"
 
 
@@ -110,15 +112,27 @@ def _sets(s: Settings, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             )
 
 
-def _table_members(classes: DataFrame) -> DataFrame:
-    """``(bucket, i, j, node, n)``: the tensored keys that at least two classes share.
-
-    ``i`` and ``j`` are the numbers of the two keys that a table pairs.
+def _shared_halves(halves: DataFrame, by: str) -> DataFrame:
+    """The keys of ``halves(node, n, second, at, key, ...)`` that hold several values of ``by``, as lists per class.
 
     A key of one collection that no other class has cannot be half of a shared table key, so
-    such keys are dropped before pairs of keys are formed.
+    such keys are dropped before pairs of keys are formed. ``(node, n, a, b)``.
     """
-    halves = classes.select(
+    several = halves.groupBy("key").agg(F.min(by).alias("low"), F.max(by).alias("high")).filter("low < high").select("key")
+    return (
+        halves.join(several, "key")
+        .groupBy("node", "n")
+        .agg(
+            F.collect_list(F.when(~F.col("second"), F.struct("at", "key"))).alias("a"),
+            F.collect_list(F.when(F.col("second"), F.struct("at", "key"))).alias("b"),
+        )
+        .filter("size(a) > 0 and size(b) > 0")
+    )
+
+
+def _halves(classes: DataFrame) -> DataFrame:
+    """``(node, n, second, at, key)``: the keys of both collections of every class."""
+    each = classes.select(
         "node",
         "n",
         F.explode(
@@ -127,74 +141,110 @@ def _table_members(classes: DataFrame) -> DataFrame:
                 F.transform("second", lambda x, i: F.struct(F.lit(True).alias("second"), i.alias("at"), x.alias("key"))),
             )
         ).alias("half"),
-    ).select("node", "n", "half.second", "half.at", F.xxhash64("half.second", "half.at", "half.key").alias("key"))
-    shared = halves.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
-    both = (
-        halves.join(shared, "key")
-        .groupBy("node", "n")
-        .agg(
-            F.collect_list(F.when(~F.col("second"), F.struct("at", "key"))).alias("a"),
-            F.collect_list(F.when(F.col("second"), F.struct("at", "key"))).alias("b"),
-        )
-        .filter("size(a) > 0 and size(b) > 0")
     )
+    return each.select("node", "n", "half.second", "half.at", F.xxhash64("half.second", "half.at", "half.key").alias("key"))
+
+
+def _table_members(both: DataFrame, diagonal: bool) -> DataFrame:
+    """``(bucket, i, j, node, n)`` of key lists ``both(node, n, a, b)``; ``i, j`` number the two keys that a table pairs.
+
+    With ``diagonal`` only tables of equal numbers are built.
+    """
     tables = both.select("node", "n", "b", F.explode("a").alias("x")).select("node", "n", "x", F.explode("b").alias("y"))
-    members = tables.select(F.xxhash64("x.key", "y.key").alias("bucket"), F.col("x.at").alias("i"), F.col("y.at").alias("j"), "node", "n")
-    several = members.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1").select("bucket")
-    return members.join(several, "bucket")
+    tables = tables.filter("x.at = y.at") if diagonal else tables
+    return tables.select(F.xxhash64("x.key", "y.key").alias("bucket"), F.col("x.at").alias("i"), F.col("y.at").alias("j"), "node", "n")
+
+
+def _longs(s: Settings) -> int:
+    return -(-s.tables // 4)
+
+
+def _tag_names(s: Settings) -> list[str]:
+    return [f"{side}{k}" for side in ("first", "second") for k in range(_longs(s))]
+
+
+def _tags(s: Settings) -> list:
+    """Fifteen bits of each key, four keys to a long, one collection after the other."""
+    longs = []
+    for name in _tag_names(s):
+        side, k = name[:-1], int(name[-1])
+        lanes = [f"shiftleft({side}[{4 * k + lane}] & {LANE}L, {15 * lane})" for lane in range(min(4, s.tables - 4 * k))]
+        longs.append(F.expr(" | ".join(lanes)).alias(name))
+    return longs
+
+
+def _equal_keys(s: Settings, side: str) -> str:
+    """SQL of a mask of the tables whose tags agree: bit ``15 * (t % 4) + 14 - t // 4`` for table ``t``."""
+    masks = []
+    for k in range(_longs(s)):
+        lanes = range(min(4, s.tables - 4 * k))
+        low, high = (sum(m << 15 * lane for lane in lanes) for m in (LANE >> 1, (LANE >> 1) + 1))
+        x = f"(a{side}{k} ^ b{side}{k})"
+        # The highest bit of a lane is set by the sum, or was before, if any bit of the lane is.
+        masks.append(f"shiftrightunsigned(~((({x} & {low}L) + {low}L) | {x}) & {high}L, {k})")
+    return "(" + " | ".join(masks) + ")"
 
 
 def _possible(s: Settings):
-    """Whether sizes and bit maps of two members allow the similarity; a necessary condition."""
+    """Whether bit maps of two members allow the similarity; a necessary condition."""
     p, q = s.similarity
 
     def most(n: str, mine: str, other: str):
         lacking = [F.bit_count(F.col(f"{mine}{m}").bitwiseAND(F.bitwise_not(f"{other}{m}"))) for m in MAPS]
         return F.col(n) - sum(lacking[1:], lacking[0])
 
-    common = F.least(most("na", "a", "b"), most("nb", "b", "a"))
-    sizes = (F.col("na") * q >= F.col("nb") * p) & (F.col("nb") * q >= F.col("na") * p)
-    return sizes & (common * (p + q) >= (F.col("na") + F.col("nb")) * p)
+    common = F.least(most("an", "a", "b"), most("bn", "b", "a"))
+    return common * (p + q) >= (F.col("an") + F.col("bn")) * p
+
+
+def _sizes_allow(s: Settings):
+    p, q = s.similarity
+    return (F.col("na") * q >= F.col("nb") * p) & (F.col("nb") * q >= F.col("na") * p)
 
 
-def _first_common(s: Settings, diagonal: bool):
-    """Whether a table is the first of all, or of the diagonal ones, that two members share.
+def _worth_listing(s: Settings, diagonal: bool):
+    """Whether two members may be similar by their tags, and this is one of the first two tables they share.
 
-    A pair is so listed under one of its tables only. Tags are 31 bits of each key.
+    A similar pair has fewer than ``least_keys`` of its ``2 * tables`` keys in common with a probability
+    of about one in a million. A pair is listed under four tables at most; it is missed only if tags of
+    two different keys agree before the first that is really shared.
     """
-    m = s.tables
+    first, second = _equal_keys(s, "first"), _equal_keys(s, "second")
 
-    def equal(at: int):
-        return F.zip_with(F.slice("atags", at, m), F.slice("btags", at, m), lambda x, y: x == y)
+    def early(mask: str, at: str) -> str:
+        return f"bit_count({mask} & (shiftleft(1L, 15 * ({at} % 4) + 14 - {at} div 4) - 1L)) < 2"
 
-    if diagonal:
-        return F.array_position(F.zip_with(equal(1), equal(m + 1), lambda x, y: x & y), True) == F.col("i") + 1
-    return (F.array_position(equal(1), True) == F.col("i") + 1) & (F.array_position(equal(m + 1), True) == F.col("j") + 1)
+    own = [early(f"({first} & {second})", "i")] if diagonal else [early(first, "i"), early(second, "j")]
+    return F.expr(" AND ".join([f"bit_count({first}) + bit_count({second}) >= {s.least_keys}", *own]))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets are similar enough."""
+    """The pairs ``(a, b)`` whose bit maps allow the similarity and whose full sets have it."""
     p, q = s.similarity
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
-    both = F.size(F.array_intersect("left", "right"))
+
+    def side(x: str, *columns: str) -> DataFrame:
+        return sets.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}{c}") for c in columns])
+
+    pairs = pairs.join(side("a", *MAPS, "n"), "a").join(side("b", *MAPS, "n"), "b").filter(_possible(s)).select("a", "b")
+    both = F.size(F.array_intersect("ashingles", "bshingles"))
     return (
-        pairs.join(left, "a")
-        .join(right, "b")
-        .filter(both * q >= (F.size("left") + F.size("right") - both) * p)
+        pairs.join(side("a", "shingles"), "a")
+        .join(side("b", "shingles"), "b")
+        .filter(both * q >= (F.size("ashingles") + F.size("bshingles") - both) * p)
         .select("a", "b")
     )
 
 
 def _rounds(
-    members: DataFrame, sets: DataFrame, s: Settings, links: DataFrame, label: DataFrame | None, diagonal: bool
+    members: DataFrame, classes: DataFrame, sets: DataFrame, s: Settings, links: DataFrame, label: DataFrame | None, diagonal: bool
 ) -> tuple[DataFrame, DataFrame | None]:
     """Links found so far with those of more rounds, and the components they make.
 
     In the diagonal tables there are ``s.first_rounds`` of pivots, in all tables they go on to the end.
+    What meets in a key is a row of ids and tags; bit maps and sets are fetched for listed pairs only.
     """
     pivots, done = 1, 0
-    maps = sets.select("node", *MAPS, "tags")
+    tags = classes.select("node", *_tags(s))
     while not diagonal or done < s.first_rounds:
         if label is None:
             now = members.withColumn("group", F.col("node"))
@@ -216,40 +266,42 @@ def _rounds(
         total = load.agg(F.sum("m"), F.sum((F.col("m").cast("double") * F.col("m") - F.col("squares")) / 2)).first()
         if total[0] is None:
             break
-        open_now = now.join(load.select("bucket", "pivot", "m"), "bucket")
         last = not diagonal and total[1] <= s.open_pairs * total[0]
         share = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(1 << 30)).cast("double") / (1 << 30)
         is_pivot = (F.col("node") == F.col("pivot")) | (share * F.col("m") < pivots - 1)
-        open_now = open_now.withColumn("is_pivot", is_pivot)
-        mapped = open_now.join(maps, "node")
+        open_now = kept(now.join(load.select("bucket", "pivot", "m"), "bucket").withColumn("is_pivot", is_pivot).drop("pivot", "m"), "near-open")
+        tagged = open_now.join(tags, "node")
 
         def side(x: str) -> list:
-            return [F.col(c).alias(f"{x}{c}") for c in [*MAPS, "tags"]] + [F.col("node").alias(x), F.col("group").alias(f"g{x}"), F.col("n").alias(f"n{x}")]
+            return [F.col(c).alias(f"{x}{c}") for c in _tag_names(s)] + [F.col("node").alias(x), F.col("group").alias(f"g{x}"), F.col("n").alias(f"n{x}")]
 
-        one = mapped.select("bucket", "is_pivot", "i", "j", *side("a"))
-        if not last:
-            one = one.filter("is_pivot")
-        pairs = one.join(mapped.select("bucket", *side("b")), "bucket").filter((F.col("ga") != F.col("gb")) & _possible(s) & _first_common(s, diagonal))
+        one = (tagged if last else tagged.filter("is_pivot")).select("bucket", "i", "j", *side("a"))
+        pairs = one.join(tagged.select("bucket", *side("b")), "bucket").filter((F.col("ga") != F.col("gb")) & _sizes_allow(s) & _worth_listing(s, diagonal))
         pairs = pairs.filter("a < b") if last else pairs
         pairs = kept(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
         links = kept(links.unionByName(_confirmed(pairs, sets, s)), "near-links")
         if last:
             break
         label = smallest_reachable(links).select("node", F.col("root").alias("group"))
-        members = kept(open_now.filter("not is_pivot").select("bucket", "i", "j", "node", "n"), "near-members")
+        members = open_now.filter("not is_pivot").select("bucket", "i", "j", "node", "n")
         pivots, done = pivots * 4, done + 1
     return links, label
 
 
-def _links(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+def _links(classes: DataFrame, both: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """Confirmed links that connect all classes which similar pairs of the tables connect.
 
     A similar pair shares dozens of tables, so a few rounds over the diagonal ones connect
-    most of what belongs together; then only keys that still hold several groups matter.
+    most of what belongs together; then only keys that still hold several groups are paired.
     """
-    none = members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    links, label = _rounds(members.filter("i = j"), sets, s, none, None, True)
-    return _rounds(members, sets, s, links, label, False)[0]
+    none = classes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    links, label = _rounds(_table_members(both, True), classes, sets, s, none, None, True)
+    if label is not None:
+        kinds = [F.transform(c, lambda x: F.struct(F.lit(c == "b").alias("second"), x["at"].alias("at"), x["key"].alias("key"))) for c in "ab"]
+        halves = both.select("node", "n", F.explode(F.concat(*kinds)).alias("half")).select("node", "n", "half.second", "half.at", "half.key")
+        halves = halves.join(label, "node", "left").withColumn("group", F.coalesce("group", "node"))
+        both = kept(_shared_halves(halves, "group"), "near-open-keys")
+    return _rounds(_table_members(both, False), classes, sets, s, links, label, False)[0]
 
 
 def near_duplicates(
@@ -276,18 +328,17 @@ def near_duplicates(
         .select("k1", "k2", "smallest", "t.t1", "t.t2", "n", "first", "second", F.monotonically_increasing_id().alias("node")),
         "near-classes",
     )
-    members = kept(_table_members(classes), "near-members")
-    tags = F.transform(F.concat("first", "second"), lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int"))
-    wanted = kept(classes.join(members.select("node").distinct(), "node", "left_semi").select("t1", "t2", "k1", "k2", "node", tags.alias("tags")), "near-wanted")
+    both = kept(_shared_halves(_halves(classes), "node"), "near-shared-keys")
+    wanted = kept(classes.join(both.select("node"), "node", "left_semi").select("t1", "t2", "k1", "k2", "node", "n"), "near-wanted")
     texts = named.select("t1", "t2", "text").join(small_side(wanted.select("t1", "t2"), 16), ["t1", "t2"], "left_semi")
     sets = kept(
         in_tasks(texts.select("text"), lambda it: _sets(s, it), "k1 long, k2 long, shingles array<long>, " + ", ".join(f"{m} long" for m in MAPS))
         .dropDuplicates(["k1", "k2"])
-        .join(wanted.select("k1", "k2", "node", "tags"), ["k1", "k2"])
-        .select("node", "shingles", "tags", *MAPS),
+        .join(wanted.select("k1", "k2", "node", "n"), ["k1", "k2"])
+        .select("node", "n", "shingles", *MAPS),
         "near-sets",
     )
-    roots = smallest_reachable(_links(members, sets, s))
+    roots = smallest_reachable(_links(classes, both, sets, s))
     component = classes.select("node", "smallest").join(roots, "node").groupBy("root").agg(F.min("smallest").alias("component"))
     known = kept(roots.join(component, "root").select("node", "root", "component"), "near-components")
     own = (
