@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.storage import kept
+from veilspark.llm.storage import discard, kept
 
 
 def smallest_reachable(links: DataFrame) -> DataFrame:
@@ -37,6 +37,7 @@ def smallest_reachable(links: DataFrame) -> DataFrame:
         hanging = F.sum("hangs") + F.max("holds")
         open_ends = ends.groupBy("node").agg(hanging.alias("ways"), F.max("hangs").alias("h")).filter("h = 1 and ways > 1")
         open_ends = open_ends.limit(1).count()
+        discard(now)
         now = step
         if not open_ends:
             break

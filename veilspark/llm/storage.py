@@ -23,7 +23,19 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, outlives executors."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._kept_at = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the files of kept tables that nothing reads any more; other tables are left alone."""
+    for table in tables:
+        path = getattr(table, "_kept_at", None)
+        if path is not None:
+            at = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+            table._kept_at = None
 
 
 def folder_uri(spark: SparkSession, label: str) -> str:
@@ -81,7 +93,19 @@ def ship_code(spark: SparkSession) -> None:
         context._veilspark_sent = str(archive)
 
 
+def whole_texts_in_small_batches(spark: SparkSession) -> None:
+    """Send workers fewer rows at once than Spark's default, which is meant for rows of numbers.
+
+    A batch of 10,000 texts is held several times over by a worker. Settings of the caller's own stay.
+    """
+    for name, default, small in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", None, "8m")):
+        name = f"spark.sql.execution.arrow.{name}"
+        if spark.sparkContext.getConf().get(name) is None and spark.conf.get(name, default) != small:
+            spark.conf.set(name, small)
+
+
 def in_tasks(df: DataFrame, function: Callable, schema: StructType | str) -> DataFrame:
     """``df.mapInArrow(function, schema)`` with this package at hand."""
     ship_code(df.sparkSession)
+    whole_texts_in_small_batches(df.sparkSession)
     return df.mapInArrow(function, schema)

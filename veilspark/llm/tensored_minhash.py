@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from veilspark.llm import words as W
 from veilspark.llm.components import smallest_reachable
-from veilspark.llm.storage import in_tasks, kept, small_side, text_key
+from veilspark.llm.storage import discard, in_tasks, kept, small_side, text_key
 
 
 @dataclass(frozen=True)
@@ -245,6 +245,7 @@ def _rounds(
     """
     pivots, done = 1, 0
     tags = classes.select("node", *_tags(s))
+    before = None
     while not diagonal or done < s.first_rounds:
         if label is None:
             now = members.withColumn("group", F.col("node"))
@@ -265,11 +266,13 @@ def _rounds(
         )
         total = load.agg(F.sum("m"), F.sum((F.col("m").cast("double") * F.col("m") - F.col("squares")) / 2)).first()
         if total[0] is None:
+            discard(load, before)
             break
         last = not diagonal and total[1] <= s.open_pairs * total[0]
         share = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(1 << 30)).cast("double") / (1 << 30)
         is_pivot = (F.col("node") == F.col("pivot")) | (share * F.col("m") < pivots - 1)
         open_now = kept(now.join(load.select("bucket", "pivot", "m"), "bucket").withColumn("is_pivot", is_pivot).drop("pivot", "m"), "near-open")
+        discard(load, before)
         tagged = open_now.join(tags, "node")
 
         def side(x: str) -> list:
@@ -279,11 +282,13 @@ def _rounds(
         pairs = one.join(tagged.select("bucket", *side("b")), "bucket").filter((F.col("ga") != F.col("gb")) & _sizes_allow(s) & _worth_listing(s, diagonal))
         pairs = pairs.filter("a < b") if last else pairs
         pairs = kept(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
-        links = kept(links.unionByName(_confirmed(pairs, sets, s)), "near-links")
+        known, links = links, kept(links.unionByName(_confirmed(pairs, sets, s)), "near-links")
+        discard(pairs, known)
         if last:
+            discard(open_now)
             break
         label = smallest_reachable(links).select("node", F.col("root").alias("group"))
-        members = open_now.filter("not is_pivot").select("bucket", "i", "j", "node", "n")
+        members, before = open_now.filter("not is_pivot").select("bucket", "i", "j", "node", "n"), open_now
         pivots, done = pivots * 4, done + 1
     return links, label
 
