@@ -32,10 +32,11 @@ def worked(spark):
     return protected, original
 
 
-@pytest.fixture(params=[256, 0], ids=["direct", "keys"])
+@pytest.fixture(params=[(256, 64), (0, 64), (0, 0)], ids=["direct", "keys", "split"])
 def way(request, monkeypatch):
-    """Both ways of finding pairs: small blocks pair by pair, large blocks by keys."""
-    monkeypatch.setattr(linkage, "DIRECT_BLOCK", request.param)
+    """All ways of finding pairs: small blocks pair by pair, large blocks by keys, which are split."""
+    monkeypatch.setattr(linkage, "DIRECT_BLOCK", request.param[0])
+    monkeypatch.setattr(linkage, "LOADED", request.param[1])
 
 
 @pytest.mark.parametrize("score, expected", [(2, 66.666667), (3, 66.666667), (4, 33.333333)])
@@ -135,8 +136,10 @@ def test_against_brute_force(spark, way, block, min_score):
     assert risk == pytest.approx(share(expected, 60))
 
 
-def test_many_fields_use_groups_of_fields(spark, monkeypatch):
+@pytest.mark.parametrize("loaded", [64, 0])
+def test_many_fields_use_groups_of_fields(spark, monkeypatch, loaded):
     monkeypatch.setattr(linkage, "DIRECT_BLOCK", 0)
+    monkeypatch.setattr(linkage, "LOADED", loaded)
     rng = random.Random(3)
     make = lambda: [tuple(rng.choice([0.0, 0.5, 1.0, 3.0]) for _ in range(11)) for _ in range(40)]
     left, right = make(), make()
@@ -152,6 +155,32 @@ def test_many_fields_use_groups_of_fields(spark, monkeypatch):
         assert linkage_risk(*frames, names, "c0", score).first()[0] == pytest.approx(share(expected, 40))
 
 
+def met_per_row(spark, rows, names, schema, block, min_score):
+    """Pairs that meet for each protected row, and how many levels of splitting that took."""
+    df = spark.createDataFrame(rows, schema)
+    rule = linkage.linkage_rule(df, df, names, block, min_score)
+    side = linkage._side(df, rule, ())
+    _, cover = rule.key_sets()
+    a, o, levels = linkage._keyed_sides(side, side, rule, cover, ["p", "w"], ["p", "w"], {})
+    return a.select("key").join(o.select("key"), "key").count() / len(rows), levels
+
+
+@pytest.mark.parametrize("kind", ["continuous", "texts"])
+def test_meeting_pairs_do_not_grow_with_the_square(spark, monkeypatch, kind):
+    """Twice the rows, well under twice the pairs for each: loaded keys are split by more fields."""
+    rng = random.Random(13)
+    names = [f"c{i}" for i in range(5 if kind == "continuous" else 12)]
+    value = (lambda: rng.uniform(0, 50)) if kind == "continuous" else (lambda: f"v{rng.randrange(6)}")
+    schema = ", ".join(f"{c} {'double' if kind == 'continuous' else 'string'}" for c in names)
+    rows = [(1.0 if kind == "continuous" else "b", *[value() for _ in names[1:]]) for _ in range(4000)]
+    few, _ = met_per_row(spark, rows[:2000], names, schema, "c0", None)
+    many, levels = met_per_row(spark, rows, names, schema, "c0", None)
+    assert levels and many < 1.6 * few
+    monkeypatch.setattr(linkage, "LOADED", 1 << 30)
+    unsplit, _ = met_per_row(spark, rows, names, schema, "c0", None)
+    assert many < unsplit / 3
+
+
 def test_near_texts_are_all_found(spark):
     rng = random.Random(5)
     values = set()

@@ -233,6 +233,31 @@ def rl_lineitem_rounded(spark, sf):
     return rounded(linkage_risk(protected, lines, LINE_QI, "l_quantity", 4.5), "rl")
 
 
+_WIDE_FIELDS = [
+    ("l_suppkey", True), ("l_quantity", True), ("l_extendedprice", True), ("l_discount", True), ("l_tax", True), ("l_linenumber", True),
+    ("l_returnflag", False), ("l_linestatus", False), ("l_month", False), ("l_parity", False),
+]
+_WIDE = (
+    "SELECT row_number() OVER () AS k, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_linenumber, l_returnflag, l_linestatus, "
+    "strftime(l_shipdate, '%Y-%m') AS l_month, (l_orderkey % 6)::VARCHAR AS l_parity FROM lineitem"
+)
+
+
+@query(
+    "rl_lineitem_ten_fields",
+    f"WITH o AS MATERIALIZED ({_WIDE}), x AS MATERIALIZED (SELECT * REPLACE ({duck.round_to('l_quantity', 5.0)} AS l_quantity, {duck.round_to('l_extendedprice', 5.0)} AS l_extendedprice, "
+    f"{duck.round_to('l_tax', 5.0)} AS l_tax, {duck.round_to('l_discount', 5.0)} AS l_discount) FROM o) "
+    f"SELECT round(({duck.rl('x', 'o', _WIDE_FIELDS, 'l.l_suppkey = r.l_suppkey', 7, 'k')}), 6) AS rl",
+)
+def rl_lineitem_ten_fields(spark, sf):
+    """Ten fields, of which nine are compared and up to three may disagree; loaded keys are split."""
+    kept = ["l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_returnflag", "l_linestatus"]
+    month, parity = F.date_format("l_shipdate", "yyyy-MM").alias("l_month"), (F.col("l_orderkey") % 6).cast("string").alias("l_parity")
+    lines = table(spark, sf, "lineitem").select(*kept, month, parity)
+    protected = fit_rounding(lines, ["l_quantity", "l_extendedprice", "l_tax", "l_discount"], 5.0).transform(lines)
+    return rounded(linkage_risk(protected, lines, names(_WIDE_FIELDS), "l_suppkey", 7), "rl")
+
+
 _SUPPRESSED = (
     "x AS (SELECT c_custkey, '*' AS c_name, c_nationkey, '*' AS c_acctbal, c_mktsegment FROM customer), "
     "y AS (SELECT c_custkey, c_name, c_nationkey, c_acctbal::VARCHAR AS c_acctbal, c_mktsegment FROM customer)"

@@ -17,7 +17,11 @@ Blocks are skewed, and comparing all pairs of a block is quadratic in it. So:
 3. *Cover*: with ``q`` fields and room to lose ``k`` points, at most ``k`` fields can
    disagree completely, so every linked pair agrees on at least one set out of a fixed
    family. The remaining rows meet originals only under these keys, by one equi-join.
-4. Each pair that meets is scored from the values themselves. A pair that meets under
+4. *Split*: the originals of every key are counted. A key with more than ``LOADED`` is split by
+   fields that it does not use yet: those of its own set that it left out, then, where at most
+   ``k`` of the other fields can disagree, ``k + 1`` groups of these, one of which has to agree. So
+   keys grow longer where data are dense, and no key is made longer than it needs to be.
+5. Each pair that meets is scored from the values themselves. A pair that meets under
    several keys is counted under the first key that it satisfies.
 
 Both the sets and the count in step 2 are exact; nothing is sampled, capped or dropped.
@@ -41,7 +45,9 @@ from veilspark.operators.near_text import long_text_columns, near_text_pairs
 from veilspark.operators.schema import align_types, column_class
 
 # Blocks with more originals than this are matched by keys instead of pair by pair.
-DIRECT_BLOCK = 256
+DIRECT_BLOCK = 512
+# Keys with more originals than this are split by further fields.
+LOADED = 16
 # Families larger than this are replaced by a partition of the fields into groups, of
 # which at least one has to agree.
 MAX_KEY_SETS = 24
@@ -104,19 +110,30 @@ class LinkageRule:
             return total - 1.0 - _EPS
         return total - float(self.min_score)
 
+    @property
+    def lost(self) -> int:
+        """Compared fields that can disagree completely in a pair that links."""
+        return min(math.floor(self.room), len(self.compared))
+
+    @property
+    def whole(self) -> bool:
+        return abs(self.room - self.lost) < 1e-12
+
+    @property
+    def grouped(self) -> bool:
+        """The cover is a partition of the fields into groups, as its sets would be too many."""
+        n, kept = len(self.compared), len(self.compared) - self.lost
+        return math.comb(n, kept) + (math.comb(n, kept + 1) if self.whole and self.lost else 0) > MAX_KEY_SETS
+
     def key_sets(self) -> tuple[list[KeySet], list[KeySet]]:
         """The families ``(enough, cover)`` described in the module text."""
         compared, room = self.compared, self.room
         if room < 0:
             return [], []
-        lost = min(math.floor(room), len(compared))
-        whole = abs(room - lost) < 1e-12
+        lost, whole = self.lost, self.whole
         kept = len(compared) - lost
         subsets = lambda size: [c for c in combinations(compared, size)]
-        many = math.comb(len(compared), kept)
-        if whole and lost:
-            many += math.comb(len(compared), kept + 1)
-        if many <= MAX_KEY_SETS:
+        if not self.grouped:
             exact = [KeySet(s, 0.0) for s in subsets(kept)]
             if not whole:
                 enough = [KeySet(s, room - lost) for s in subsets(kept)]
@@ -134,6 +151,23 @@ class LinkageRule:
         return enough, [KeySet(g, None) for g in groups]
 
 
+    def extensions(self, s: KeySet) -> list[list[tuple[int, ...]]]:
+        """Levels by which keys of a cover set are split; of each level one group has to agree.
+
+        A pair that agrees on ``s`` also agrees on its fields beyond the ones in its key. Of the
+        other fields at most ``lost`` disagree, so one of ``lost + 1`` groups agrees, however
+        they are dealt: first in turn, then in runs.
+        """
+        limit = MAX_EQUAL_CELLS if s.slack == 0.0 else MAX_NEAR_CELLS
+        numbers = [i for i in s.fields if self.fields[i].numeric]
+        levels = [[(i,)] for i in numbers[limit:]]
+        rest, k = [i for i in self.compared if i not in s.fields], self.lost + 1
+        if self.grouped and len(rest) >= k:
+            levels.append([tuple(rest[j::k]) for j in range(k)])
+            levels.append([tuple(rest[j * len(rest) // k : (j + 1) * len(rest) // k]) for j in range(k)])
+        return levels
+
+
 def linkage_rule(
     protected: DataFrame,
     original: DataFrame,
@@ -414,6 +448,62 @@ def _pairs_by_block(
     return _linked(met.select("*", *_similarities(rule)), rule)
 
 
+def _group_keys(rule: LinkageRule, group: Sequence[int], equal: bool, left: bool, near: Sequence[int]) -> str:
+    """Array of hashes of a group of fields, several where numbers may lie in neighbouring cells.
+
+    Texts with similar partners are left out: agreement on the others is necessary, too.
+    """
+    texts = [i for i in group if not rule.fields[i].numeric and i not in near]
+    numbers = [i for i in group if rule.fields[i].numeric][: MAX_EQUAL_CELLS if equal else MAX_NEAR_CELLS]
+    keys = f"array(xxhash64({', '.join(['0', *[f'f{i}' for i in texts]])}))"
+    for i in numbers:
+        f, (reach, width) = rule.fields[i], (1e-8, 1e-6) if equal else (2.0, 4.0)
+        cells = _cells(i, reach * f.scale, width * f.scale, left, f.integer)
+        keys = f"flatten(transform({keys}, k -> transform({cells}, c -> xxhash64(k, c))))"
+    tests = [_filled(rule, i) for i in group]
+    return f"CASE WHEN {' AND '.join(tests)} THEN {f'array_distinct({keys})' if left else keys} ELSE array() END"
+
+
+def _split_keys(rule: LinkageRule, cover: Sequence[KeySet], level: int, left: bool, near: Sequence[int]) -> Column:
+    """``(x, key)`` in place of a loaded key: group and longer key. Sets without such a level keep theirs."""
+    cases = []
+    for n, s in enumerate(cover):
+        levels = rule.extensions(s)
+        if level < len(levels):
+            groups = [
+                f"transform({_group_keys(rule, g, s.slack == 0.0 and g[0] in s.fields, left, near)}, h -> struct({x} AS x, xxhash64(key, {x}, h) AS key))"
+                for x, g in enumerate(levels[level])
+                if g
+            ]
+            cases.append(f"WHEN {n} THEN {groups[0] if len(groups) == 1 else f'concat({chr(44).join(groups)})'}")
+    own = "array(struct(CAST(NULL AS INT) AS x, key AS key))"
+    return F.expr(f"CASE WHEN loaded IS NULL THEN {own} ELSE CASE n {' '.join(cases)} ELSE {own} END END")
+
+
+def _keyed_sides(
+    left: DataFrame, right: DataFrame, rule: LinkageRule, cover: Sequence[KeySet],
+    left_cols: Sequence[str], right_cols: Sequence[str], near: dict[int, DataFrame],
+) -> tuple[DataFrame, DataFrame, int]:
+    """Both sides by cover key, loaded keys split; the number of levels gives the columns ``x0, x1, ...``."""
+    a = _cover_rows(left, rule, cover, left_cols, True, near)
+    o = _cover_rows(right, rule, cover, right_cols, False, {})
+    depth = max(len(rule.extensions(s)) for s in cover)
+    for level in range(depth):
+        splits = [n for n, s in enumerate(cover) if level < len(rule.extensions(s))]
+        counts = o.where(F.col("n").isin(splits)).groupBy("key").agg(F.count(F.lit(1)).alias("loaded"))
+        loaded = staged(counts.where(F.col("loaded") > LOADED), "loaded-keys")
+        if loaded.isEmpty():
+            return a, o, level
+
+        def split(side: DataFrame, of_left: bool) -> DataFrame:
+            rest = [c for c in side.columns if c != "key"]
+            met = side.join(loaded, "key", "left").withColumn("y", F.explode(_split_keys(rule, cover, level, of_left, list(near))))
+            return met.select(*rest, "y.key", *([F.col("y.x").alias(f"x{level}")] if of_left else []))
+
+        a, o = split(a, True), staged(split(o, False), "split-keys")
+    return a, o, depth
+
+
 def _pairs_by_keys(
     left: DataFrame, right: DataFrame, rule: LinkageRule, cover: Sequence[KeySet],
     left_cols: Sequence[str], right_cols: Sequence[str], near: dict[int, DataFrame],
@@ -422,22 +512,28 @@ def _pairs_by_keys(
     b = _block_position(rule)
     if b is not None:
         left, right = (d.where(F.col(f"f{b}").isNotNull()) for d in (left, right))
-    a = _cover_rows(left, rule, cover, left_cols, True, near)
-    o = _cover_rows(right, rule, cover, right_cols, False, {})
-    met = _sided(a, rule, "l", left_cols, "n", "key").join(_sided(o, rule, "r", right_cols, "key"), "key")
+    a, o, levels = _keyed_sides(left, right, rule, cover, left_cols, right_cols, near)
+    marks = [f"x{i}" for i in range(levels)]
+    met = _sided(a, rule, "l", left_cols, "n", "key", *marks).join(_sided(o, rule, "r", right_cols, "key"), "key")
     if b is not None:
         met = met.where(F.col(f"l_f{b}") == F.col(f"r_f{b}"))
     scored = met.select("*", *_similarities(rule))
 
-    def satisfied(s: KeySet) -> str:
-        tests = []
-        for i in s.fields:
-            equal = rule.fields[i].numeric and s.slack == 0.0
-            tests.append(f"s{i} > {1.0 - _EPS if equal else 0.0!r}D")
-        return " AND ".join(tests)
-
-    first = F.expr(f"CASE {' '.join(f'WHEN {satisfied(s)} THEN {n}' for n, s in enumerate(cover))} END")
-    return _linked(scored.where(F.col("n") == first), rule)
+    def satisfied(fields: Sequence[int], equal: bool = False) -> str:
+        return " AND ".join(f"s{i} > {1.0 - _EPS if equal and rule.fields[i].numeric else 0.0!r}D" for i in fields)
+
+    first = F.expr(f"CASE {' '.join(f'WHEN {satisfied(s.fields, s.slack == 0.0)} THEN {n}' for n, s in enumerate(cover))} END")
+    scored = scored.where(F.col("n") == first)
+    for level in range(levels):
+        # Of several groups that agree, the first one counts the pair.
+        cases = []
+        for n, s in enumerate(cover):
+            groups = [(x, g) for x, g in enumerate(rule.extensions(s)[level]) if g] if level < len(rule.extensions(s)) else []
+            if len(groups) > 1:
+                cases.append(f"WHEN {n} THEN CASE {' '.join(f'WHEN {satisfied(g)} THEN {x}' for x, g in groups)} END")
+        if cases:
+            scored = scored.where(F.col(f"x{level}").isNull() | F.expr(f"x{level} <=> CASE n {' '.join(cases)} ELSE x{level} END"))
+    return _linked(scored, rule)
 
 
 def _crowded_blocks(right: DataFrame, rule: LinkageRule) -> tuple[bool, bool, DataFrame | None]:
