@@ -8,8 +8,8 @@ the same block are compared.
 Blocks are skewed, and comparing all pairs of a block is quadratic in it. So:
 
 1. Both sides are reduced to distinct rows with a weight. A block with few originals is
-   compared directly: at most ``DIRECT_BLOCK`` comparisons per protected row, which costs
-   less than what follows. All other blocks go on.
+   compared directly: at most ``DIRECT_BLOCK`` comparisons per protected row and cover set, which
+   costs less than what follows. All other blocks go on.
 2. *Enough*: certain sets of agreeing fields are enough for a link whatever the others
    say. If two or more originals share such a set with a protected row, the row has more
    than one link and is settled by a count, without forming a pair. This is what happens
@@ -17,7 +17,7 @@ Blocks are skewed, and comparing all pairs of a block is quadratic in it. So:
 3. *Cover*: with ``q`` fields and room to lose ``k`` points, at most ``k`` fields can
    disagree completely, so every linked pair agrees on at least one set out of a fixed
    family. The remaining rows meet originals only under these keys, by one equi-join.
-4. *Split*: the originals of every key are counted. A key with more than ``LOADED`` is split by
+4. *Split*: the originals of every key are counted. A key with too many (``LOADED``) is split by
    fields that it does not use yet: those of its own set that it left out, then, where at most
    ``k`` of the other fields can disagree, ``k + 1`` groups of these, one of which has to agree. So
    keys grow longer where data are dense, and no key is made longer than it needs to be.
@@ -44,10 +44,11 @@ from veilspark.operators.equivalence import choose_block
 from veilspark.operators.near_text import long_text_columns, near_text_pairs
 from veilspark.operators.schema import align_types, column_class
 
-# Blocks with more originals than this are matched by keys instead of pair by pair.
-DIRECT_BLOCK = 512
-# Keys with more originals than this are split by further fields.
-LOADED = 16
+# Blocks with more originals than this for each cover set are matched by keys instead of pair by pair.
+DIRECT_BLOCK = 256
+# Keys with more originals than this for each longer key that a row would have to look up are
+# split by further fields: below that, looking up costs more than comparing.
+LOADED = 6
 # Families larger than this are replaced by a partition of the fields into groups, of
 # which at least one has to agree.
 MAX_KEY_SETS = 24
@@ -464,6 +465,11 @@ def _group_keys(rule: LinkageRule, group: Sequence[int], equal: bool, left: bool
     return f"CASE WHEN {' AND '.join(tests)} THEN {f'array_distinct({keys})' if left else keys} ELSE array() END"
 
 
+def _lookups(rule: LinkageRule, groups: Sequence[Sequence[int]]) -> int:
+    """Keys that a protected row looks up in place of one that is split; a number may lie in three cells."""
+    return sum(3 ** min(sum(rule.fields[i].numeric for i in g), MAX_NEAR_CELLS) for g in groups)
+
+
 def _split_keys(rule: LinkageRule, cover: Sequence[KeySet], level: int, left: bool, near: Sequence[int]) -> Column:
     """``(x, key)`` in place of a loaded key: group and longer key. Sets without such a level keep theirs."""
     cases = []
@@ -490,8 +496,11 @@ def _keyed_sides(
     depth = max(len(rule.extensions(s)) for s in cover)
     for level in range(depth):
         splits = [n for n, s in enumerate(cover) if level < len(rule.extensions(s))]
-        counts = o.where(F.col("n").isin(splits)).groupBy("key").agg(F.count(F.lit(1)).alias("loaded"))
-        loaded = staged(counts.where(F.col("loaded") > LOADED), "loaded-keys")
+        most = F.lit(None).cast("int")
+        for n in splits:
+            most = F.when(F.col("n") == n, LOADED * _lookups(rule, rule.extensions(cover[n])[level])).otherwise(most)
+        counts = o.where(F.col("n").isin(splits)).groupBy("n", "key").agg(F.count(F.lit(1)).alias("loaded"))
+        loaded = staged(counts.where(F.col("loaded") > most).select("key", "loaded").distinct(), "loaded-keys")
         if loaded.isEmpty():
             return a, o, level
 
@@ -541,11 +550,12 @@ def _crowded_blocks(right: DataFrame, rule: LinkageRule) -> tuple[bool, bool, Da
     b = _block_position(rule)
     if b is None:
         return False, True, None
+    limit = DIRECT_BLOCK * max(1, len(rule.key_sets()[1]))
     sizes = right.select(f"f{b}").groupBy(f"f{b}").agg(F.count(F.lit(1)).alias("n"))
-    small = F.count_if(F.col("n") <= DIRECT_BLOCK).alias("small")
-    large = F.count_if(F.col("n") > DIRECT_BLOCK).alias("large")
+    small = F.count_if(F.col("n") <= limit).alias("small")
+    large = F.count_if(F.col("n") > limit).alias("large")
     row = sizes.where(F.col(f"f{b}").isNotNull()).agg(small, large).first()
-    return row["small"] > 0, row["large"] > 0, sizes.where(F.col("n") > DIRECT_BLOCK).select(f"f{b}")
+    return row["small"] > 0, row["large"] > 0, sizes.where(F.col("n") > limit).select(f"f{b}")
 
 
 def _all_pairs(
