@@ -193,8 +193,8 @@ def _possible(s: Settings):
         lacking = [F.bit_count(F.col(f"{mine}{m}").bitwiseAND(F.bitwise_not(f"{other}{m}"))) for m in MAPS]
         return F.col(n) - sum(lacking[1:], lacking[0])
 
-    common = F.least(most("an", "a", "b"), most("bn", "b", "a"))
-    return common * (p + q) >= (F.col("an") + F.col("bn")) * p
+    common = F.least(most("na", "a", "b"), most("nb", "b", "a"))
+    return common * (p + q) >= (F.col("na") + F.col("nb")) * p
 
 
 def _sizes_allow(s: Settings):
@@ -219,32 +219,29 @@ def _worth_listing(s: Settings, diagonal: bool):
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """The pairs ``(a, b)`` whose bit maps allow the similarity and whose full sets have it."""
+    """The pairs ``(a, b)`` whose full sets are similar enough."""
     p, q = s.similarity
-
-    def side(x: str, *columns: str) -> DataFrame:
-        return sets.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}{c}") for c in columns])
-
-    pairs = pairs.join(side("a", *MAPS, "n"), "a").join(side("b", *MAPS, "n"), "b").filter(_possible(s)).select("a", "b")
-    both = F.size(F.array_intersect("ashingles", "bshingles"))
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
+    both = F.size(F.array_intersect("left", "right"))
     return (
-        pairs.join(side("a", "shingles"), "a")
-        .join(side("b", "shingles"), "b")
-        .filter(both * q >= (F.size("ashingles") + F.size("bshingles") - both) * p)
+        pairs.join(left, "a")
+        .join(right, "b")
+        .filter(both * q >= (F.size("left") + F.size("right") - both) * p)
         .select("a", "b")
     )
 
 
 def _rounds(
-    members: DataFrame, classes: DataFrame, sets: DataFrame, s: Settings, links: DataFrame, label: DataFrame | None, diagonal: bool
+    members: DataFrame, sets: DataFrame, s: Settings, links: DataFrame, label: DataFrame | None, diagonal: bool
 ) -> tuple[DataFrame, DataFrame | None]:
     """Links found so far with those of more rounds, and the components they make.
 
     In the diagonal tables there are ``s.first_rounds`` of pivots, in all tables they go on to the end.
-    What meets in a key is a row of ids and tags; bit maps and sets are fetched for listed pairs only.
+    What meets in a key is a row of ids, tags and a bit map; sets are fetched for listed pairs only.
     """
     pivots, done = 1, 0
-    tags = classes.select("node", *_tags(s))
+    marks = sets.select("node", *MAPS, *_tag_names(s))
     before = None
     while not diagonal or done < s.first_rounds:
         if label is None:
@@ -273,13 +270,15 @@ def _rounds(
         is_pivot = (F.col("node") == F.col("pivot")) | (share * F.col("m") < pivots - 1)
         open_now = kept(now.join(load.select("bucket", "pivot", "m"), "bucket").withColumn("is_pivot", is_pivot).drop("pivot", "m"), "near-open")
         discard(load, before)
-        tagged = open_now.join(tags, "node")
+        marked = open_now.join(marks, "node")
 
         def side(x: str) -> list:
-            return [F.col(c).alias(f"{x}{c}") for c in _tag_names(s)] + [F.col("node").alias(x), F.col("group").alias(f"g{x}"), F.col("n").alias(f"n{x}")]
+            return [F.col(c).alias(f"{x}{c}") for c in [*MAPS, *_tag_names(s)]] + [F.col("node").alias(x), F.col("group").alias(f"g{x}"), F.col("n").alias(f"n{x}")]
 
-        one = (tagged if last else tagged.filter("is_pivot")).select("bucket", "i", "j", *side("a"))
-        pairs = one.join(tagged.select("bucket", *side("b")), "bucket").filter((F.col("ga") != F.col("gb")) & _sizes_allow(s) & _worth_listing(s, diagonal))
+        one = (marked if last else marked.filter("is_pivot")).select("bucket", "i", "j", *side("a"))
+        pairs = one.join(marked.select("bucket", *side("b")), "bucket").filter(
+            (F.col("ga") != F.col("gb")) & _sizes_allow(s) & _worth_listing(s, diagonal) & _possible(s)
+        )
         pairs = pairs.filter("a < b") if last else pairs
         pairs = kept(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
         known, links = links, kept(links.unionByName(_confirmed(pairs, sets, s)), "near-links")
@@ -300,13 +299,13 @@ def _links(classes: DataFrame, both: DataFrame, sets: DataFrame, s: Settings) ->
     most of what belongs together; then only keys that still hold several groups are paired.
     """
     none = classes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    links, label = _rounds(_table_members(both, True), classes, sets, s, none, None, True)
+    links, label = _rounds(_table_members(both, True), sets, s, none, None, True)
     if label is not None:
         kinds = [F.transform(c, lambda x: F.struct(F.lit(c == "b").alias("second"), x["at"].alias("at"), x["key"].alias("key"))) for c in "ab"]
         halves = both.select("node", "n", F.explode(F.concat(*kinds)).alias("half")).select("node", "n", "half.second", "half.at", "half.key")
         halves = halves.join(label, "node", "left").withColumn("group", F.coalesce("group", "node"))
         both = kept(_shared_halves(halves, "group"), "near-open-keys")
-    return _rounds(_table_members(both, False), classes, sets, s, links, label, False)[0]
+    return _rounds(_table_members(both, False), sets, s, links, label, False)[0]
 
 
 def near_duplicates(
@@ -334,13 +333,13 @@ def near_duplicates(
         "near-classes",
     )
     both = kept(_shared_halves(_halves(classes), "node"), "near-shared-keys")
-    wanted = kept(classes.join(both.select("node"), "node", "left_semi").select("t1", "t2", "k1", "k2", "node", "n"), "near-wanted")
+    wanted = kept(classes.join(both.select("node"), "node", "left_semi").select("t1", "t2", "k1", "k2", "node", "n", *_tags(s)), "near-wanted")
     texts = named.select("t1", "t2", "text").join(small_side(wanted.select("t1", "t2"), 16), ["t1", "t2"], "left_semi")
     sets = kept(
         in_tasks(texts.select("text"), lambda it: _sets(s, it), "k1 long, k2 long, shingles array<long>, " + ", ".join(f"{m} long" for m in MAPS))
         .dropDuplicates(["k1", "k2"])
-        .join(wanted.select("k1", "k2", "node", "n"), ["k1", "k2"])
-        .select("node", "n", "shingles", *MAPS),
+        .join(wanted.select("k1", "k2", "node", "n", *_tag_names(s)), ["k1", "k2"])
+        .select("node", "n", "shingles", *MAPS, *_tag_names(s)),
         "near-sets",
     )
     roots = smallest_reachable(_links(classes, both, sets, s))
