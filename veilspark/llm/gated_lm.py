@@ -41,13 +41,14 @@ END = np.uint64(0)
 class Settings:
     smoothing: float = 0.1
     frequent: int = 100_000  # words whose counts are sent to every task
+    counted_words: int = 200_000  # counts that a task holds before it sends them on
     units: int = 1024  # words and groups that the model tells apart
     groups: int = 32  # of them, groups of rarer words
     classes: int = 32  # of the softmax
     hidden: int = 16
     stretch_words: int = 1024  # of a training text that one start state is carried through; a longer text gives several
     window: int = 16  # words of a truncated backpropagation
-    batch: int = 128  # texts trained together
+    batch: int = 512  # texts trained together
     rounds: int = 2
     rate: float = 0.02
     score_tokens: int = 150_000  # tokens whose states are held at once
@@ -85,16 +86,35 @@ def group_of(lead: np.ndarray, groups: int) -> np.ndarray:
 
 
 def _word_counts(s: Settings, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of a task's words, combined until ``s.counted_words`` rows are held."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size = texts = 0
+
+    def combined() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        h, group, times = (np.concatenate([x[i] for x in held]) for i in range(3))
+        h, first, at = np.unique(h, return_index=True, return_inverse=True)
+        return h, group[first], np.bincount(at, times, len(h)).astype(np.int64)
+
+    def rows(h: np.ndarray, group: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(W.as_long(h)), pa.array(group.astype(np.int32)), pa.array(times)], names=["word", "grp", "c"])
+
     for batch in batches:
-        for a, b, data, offsets in W.slices(batch.column("text")):
+        texts += len(batch)
+        for _, _, data, offsets in W.slices(batch.column("text")):
             w = W.words_of(data, offsets)
             h, first, times = np.unique(w.hash, return_index=True, return_counts=True)
-            group = group_of(lead_bytes(w)[first], s.groups)
-            h, group, times = np.append(h, END), np.append(group, -1), np.append(times, b - a)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(W.as_long(h)), pa.array(group.astype(np.int32)), pa.array(times.astype(np.int64))],
-                names=["word", "grp", "c"],
-            )
+            held.append((h, group_of(lead_bytes(w)[first], s.groups), times))
+            size += len(h)
+            if size > 2 * s.counted_words:
+                held = [combined()]
+                size = len(held[0][0])
+                if size > s.counted_words:
+                    yield rows(*held[0])
+                    held, size = [], 0
+    if held:
+        yield rows(*combined())
+    if texts:
+        yield rows(np.array([END]), np.array([-1]), np.array([texts], dtype=np.int64))
 
 
 def lexicon(counts: DataFrame, s: Settings) -> Lexicon:
@@ -152,6 +172,16 @@ def find(lex: Lexicon, w: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(known, at, -1), np.where(unit < 0, words + group, unit), group
 
 
+def _powers_of(scores: np.ndarray) -> np.ndarray:
+    """``exp`` in place. Scores start at 0 or below, so that only a run-away model needs the bound."""
+    return np.exp(np.minimum(scores, 60, out=scores), out=scores)
+
+
+def _sum_of_rows(x: np.ndarray) -> np.ndarray:
+    """``x.sum(1)`` of short rows, where a product is many times faster."""
+    return x @ np.ones(x.shape[1], dtype=x.dtype)
+
+
 class GatedModel:
     """A gated recurrent layer and a class-factored softmax; parameters in one vector."""
 
@@ -176,8 +206,10 @@ class GatedModel:
     def started(cls, lex: Lexicon) -> GatedModel:
         model = cls(lex)
         model.p["b"][:] = 0
-        model.p["bc"][:] = lex.biases[0]
-        model.p["bi"][:] = lex.biases[1]
+        for name, start in zip(("bc", "bi"), lex.biases):
+            highest = start.max(axis=-1, keepdims=True)
+            # Empty classes and places have a share that is nothing beside any other.
+            model.p[name][:] = np.maximum(start - np.where(highest > -1e8, highest, 0), -60)
         model.p["wc"] *= 0.1
         model.p["wi"] *= 0.1
         return model
@@ -194,80 +226,95 @@ class GatedModel:
     def log_probabilities(self, states: np.ndarray, unit: np.ndarray) -> np.ndarray:
         """Natural log of each unit's probability after its state."""
         lex, p = self.lex, self.p
-        cls, place = lex.classes[unit], lex.places[unit]
-        outer = states @ p["wc"] + p["bc"]
-        outer -= outer.max(1, keepdims=True)
-        out = outer[np.arange(len(unit)), cls] - np.log(np.exp(outer).sum(1))
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(self.s.classes + 1))
+        order, edges, cls, place = self._by_class(unit)
+        states = states[order]
+        outer = _powers_of(states @ p["wc"] + p["bc"])
+        at = np.arange(len(unit))
+        logs = np.log(outer[at, cls]) - np.log(_sum_of_rows(outer))
         for c in range(self.s.classes):
-            rows = order[edges[c] : edges[c + 1]]
-            if len(rows):
-                inner = states[rows] @ p["wi"][c] + p["bi"][c]
-                inner -= inner.max(1, keepdims=True)
-                out[rows] += inner[np.arange(len(rows)), place[rows]] - np.log(np.exp(inner).sum(1))
+            a, b = edges[c], edges[c + 1]
+            if a < b:
+                inner = _powers_of(states[a:b] @ p["wi"][c] + p["bi"][c])
+                logs[a:b] += np.log(inner[at[: b - a], place[a:b]]) - np.log(_sum_of_rows(inner))
+        out = np.empty_like(logs)
+        out[order] = logs
         return out
 
+    def _by_class(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Order of the units by class, where classes begin in it, and class and place in that order."""
+        order = np.argsort(self.lex.classes[unit].astype(np.int16), kind="stable")
+        cls, place = self.lex.classes[unit[order]], self.lex.places[unit[order]]
+        return order, np.searchsorted(cls, np.arange(self.s.classes + 1)), cls, place
+
     def train_window(self, given: np.ndarray, want: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """Gradient of a window ``(time, texts)``, the last state, and the loss; the state is not differentiated beyond."""
-        p, k = self.p, self.s.hidden
-        steps, states = [], []
-        for t in range(len(given)):
-            before = h
-            h, z, r, cand, g = self.step(p["wx"][given[t]] + p["b"], before)
-            h = np.where(live[t][:, None], h, before)
-            steps.append((before, z, r, cand, g))
-            states.append(h)
+        p, k, kind = self.p, self.s.hidden, self.vector.dtype
+        time, texts = given.shape
+        inputs = p["wx"][given] + p["b"]
+        steps = []
+        # States before each step, and after the last one.
+        states = np.empty((time + 1, texts, k), dtype=kind)
+        states[0] = h
+        ended = not live.all()
+        for t in range(time):
+            h, *kept_for_later = self.step(inputs[t], states[t])
+            states[t + 1] = np.where(live[t][:, None], h, states[t]) if ended else h
+            steps.append(kept_for_later)
         n = max(1, int(live.sum()))
-        flat = np.stack(states).reshape(-1, k)
-        mask, unit = live.reshape(-1), want.reshape(-1)
-        rows = np.flatnonzero(mask)
-        s_, u = flat[rows], unit[rows]
-        cls, place = self.lex.classes[u], self.lex.places[u]
+        rows = np.flatnonzero(live.reshape(-1))
+        order, edges, cls, place = self._by_class(want.reshape(-1)[rows])
+        rows = rows[order]
+        own = states[1:].reshape(-1, k)[rows]
+        at = np.arange(len(rows))
         grad = GatedModel(self.lex, np.zeros_like(self.vector))
-        outer = s_ @ p["wc"] + p["bc"]
-        outer = np.exp(outer - outer.max(1, keepdims=True))
-        outer /= outer.sum(1, keepdims=True)
-        loss = -np.log(outer[np.arange(len(u)), cls] + 1e-30).sum()
-        outer[np.arange(len(u)), cls] -= 1
-        outer /= n
-        grad.p["wc"][:], grad.p["bc"][:] = s_.T @ outer, outer.sum(0)
+
+        def softmax(scores: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, float]:
+            """Derivative of the mean loss by the scores, and the summed loss."""
+            share = _powers_of(scores)
+            whole = _sum_of_rows(share)
+            lines = at[: len(share)]
+            loss = np.log(whole).sum() - np.log(share[lines, chosen]).sum()
+            share *= (1 / (n * whole)).astype(kind)[:, None]
+            share[lines, chosen] -= kind.type(1 / n)
+            return share, float(loss)
+
+        outer, loss = softmax(own @ p["wc"] + p["bc"], cls)
+        grad.p["wc"][:], grad.p["bc"][:] = own.T @ outer, outer.sum(0)
         ds = outer @ p["wc"].T
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(self.s.classes + 1))
         for c in range(self.s.classes):
-            at = order[edges[c] : edges[c + 1]]
-            if not len(at):
-                continue
-            inner = s_[at] @ p["wi"][c] + p["bi"][c]
-            inner = np.exp(inner - inner.max(1, keepdims=True))
-            inner /= inner.sum(1, keepdims=True)
-            loss -= np.log(inner[np.arange(len(at)), place[at]] + 1e-30).sum()
-            inner[np.arange(len(at)), place[at]] -= 1
-            inner /= n
-            grad.p["wi"][c], grad.p["bi"][c] = s_[at].T @ inner, inner.sum(0)
-            ds[at] += inner @ p["wi"][c].T
-        dstates = np.zeros_like(flat)
+            a, b = edges[c], edges[c + 1]
+            if a < b:
+                inner, more = softmax(own[a:b] @ p["wi"][c] + p["bi"][c], place[a:b])
+                loss += more
+                grad.p["wi"][c], grad.p["bi"][c] = own[a:b].T @ inner, inner.sum(0)
+                ds[a:b] += inner @ p["wi"][c].T
+        dstates = np.zeros((time * texts, k), dtype=kind)
         dstates[rows] = ds
-        dstates = dstates.reshape(len(given), -1, k)
-        dh = np.zeros_like(h)
-        dxs = np.zeros((*given.shape, 3 * k), dtype=np.float32)
-        for t in range(len(given) - 1, -1, -1):
-            before, z, r, cand, g = steps[t]
-            on = live[t][:, None]
-            d = (dh + dstates[t]) * on
-            dcand = d * z * (1 - cand * cand)
-            dz = d * (cand - before) * z * (1 - z)
-            dr = dcand * g * r * (1 - r)
-            dg = np.concatenate([dz, dr, dcand * r], axis=1)
-            dxs[t] = np.concatenate([dz, dr, dcand], axis=1)
-            grad.p["wh"][:] += before.T @ dg
-            dh = np.where(on, d * (1 - z) + dg @ p["wh"].T, dh)
-        grad.p["b"][:] = dxs.sum((0, 1))
-        by = np.argsort(given, axis=None, kind="stable")
-        seen, at = np.unique(given.reshape(-1)[by], return_index=True)
-        grad.p["wx"][seen] = np.add.reduceat(dxs.reshape(-1, 3 * k)[by], at)
-        return grad.vector, h, float(loss)
+        dstates = dstates.reshape(time, texts, k)
+        dh = np.zeros((texts, k), dtype=kind)
+        dxs, dgs = (np.empty((time, texts, 3 * k), dtype=kind) for _ in range(2))
+        back = p["wh"].T.copy()
+        for t in range(time - 1, -1, -1):
+            z, r, cand, g = steps[t]
+            d = dh + dstates[t]
+            if ended:
+                d *= live[t][:, None]
+            dz = d * z
+            dcand = dz * (1 - cand * cand)
+            dxs[t, :, :k] = dz * (1 - z) * (cand - states[t])
+            dxs[t, :, k : 2 * k] = dcand * g * r * (1 - r)
+            dxs[t, :, 2 * k :] = dcand
+            dgs[t, :, : 2 * k] = dxs[t, :, : 2 * k]
+            dgs[t, :, 2 * k :] = dcand * r
+            new = d - dz + dgs[t] @ back
+            dh = np.where(live[t][:, None], new, dh) if ended else new
+        grad.p["wh"][:] = states[:-1].reshape(-1, k).T @ dgs.reshape(-1, 3 * k)
+        flat = dxs.reshape(-1, 3 * k)
+        grad.p["b"][:] = flat.sum(0)
+        by = np.argsort(given.reshape(-1).astype(np.int16), kind="stable")
+        seen, first = np.unique(given.reshape(-1)[by], return_index=True)
+        grad.p["wx"][seen] = np.add.reduceat(flat[by], first)
+        return grad.vector, states[-1], loss
 
 
 class Trainer:
