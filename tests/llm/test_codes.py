@@ -150,14 +150,13 @@ LINES = [
     (10, "x" * 9 + "漢\n" + "x" * 8 + "漢"),
     (11, "x" * 9 + "漢\n" + "x" * 8 + "漢"),
     (12, "a line from the long text 7\na line from the long text 7"),
-    (13, "\n".join(f"a line from the long text {i % 40_000}" for i in range(50_000))),
+    (13, "\n".join(f"a line from the long text {i % 4_000}" for i in range(5_000))),
     (-3, "something else entirely \x00"),
     (14, "something else entirely \x00\nsomething else entirely\x0b"),
 ]
 
 
-@pytest.mark.parametrize("broadcast", [True, False])
-@pytest.mark.parametrize("min_docs", [2, 3])
+@pytest.mark.parametrize("broadcast, min_docs", [(True, 2), (False, 2), (False, 3)])
 def test_lines_against_plain_python(spark, monkeypatch, broadcast, min_docs):
     if not broadcast:
         monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", -1)
@@ -225,8 +224,8 @@ def talk():
     for c in (200, 201, 202, 221, 403, 404, 405):  # 220 and 400 are absent: some are left without a turn
         rows += [(c, 0, "user", "hello there")]
     for c in range(600, 640):  # deep ones with a common beginning
-        rows += [(c, i, "user", f"turn {i if i < 12 + c % 7 else i * c}") for i in range(30 + c % 5)]
-    rows += [(700, i, "user", f"word {i}") for i in range(500)]
+        rows += [(c, i, "user", f"turn {i if i < 5 + c % 7 else i * c}") for i in range(14 + c % 5)]
+    rows += [(700, i, "user", f"word {i}") for i in range(60)]
     rows += [(801, None, None, None), (801, 0, "user", "b"), (801, 0, "user", "a"), (801, None, "user", "z"), (801, 0, "user", "a")]
     rows += [(None, 0, "user", "no conversation"), (802, 3, "ü", "É  漢字\n x"), (2**40, 1, "user", "hello there")]
     rng.shuffle(rows)
@@ -236,7 +235,7 @@ def talk():
 SCHEMA = "conv_id long, turn long, role string, text string"
 
 
-@pytest.mark.parametrize("settings", [prefix_trie.Settings(), prefix_trie.Settings(group_turns=200, depths=2), prefix_trie.Settings(group_turns=0, depths=26)])
+@pytest.mark.parametrize("settings", [prefix_trie.Settings(), prefix_trie.Settings(group_turns=200, depths=2), prefix_trie.Settings(group_turns=0, depths=12)])
 def test_trie_against_plain_python(spark, talk, settings):
     rows = [r for r in talk if r[0] != 700] if settings.group_turns == 0 else talk
     df = with_clashes(spark.createDataFrame(rows, SCHEMA), "a", "b", "path", "conv", "base", "t", "h", "depth", "turns")
@@ -250,9 +249,9 @@ def test_trie_against_plain_python(spark, talk, settings):
 def test_deep_limit_is_measured(spark, talk):
     made = rebuilt(turn_lists(spark.createDataFrame(talk, SCHEMA)))
     ended = made.select(prefix_trie.placed(F.col("turns")).alias("path"))
-    assert prefix_trie.deep_limit(ended, 500, prefix_trie.Settings()) == 8
-    assert prefix_trie.deep_limit(ended, 500, prefix_trie.Settings(group_turns=500)) == 16
-    assert prefix_trie.deep_limit(ended, 500, prefix_trie.Settings(group_turns=1)) == 500
+    assert prefix_trie.deep_limit(ended, 60, prefix_trie.Settings()) == 8
+    assert prefix_trie.deep_limit(ended, 60, prefix_trie.Settings(group_turns=100)) == 16
+    assert prefix_trie.deep_limit(ended, 60, prefix_trie.Settings(group_turns=1)) == 60
 
 
 def test_ends_in_several_runs(spark):
