@@ -5,6 +5,8 @@ import hashlib
 import corpus_pipeline
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
+from llm_cases import edge_rows, edges, no_docs  # noqa: F401
 from test_groups import brute_contamination, brute_groups
 from tokenizers import Tokenizer
 
@@ -59,6 +61,33 @@ def test_stages_against_plain_python(spark, stages_run):
         assert r.decoded_sha256 == hashlib.sha256(masked[i].text.encode()).hexdigest()
 
 
+def test_stages_on_odd_rows(spark, edges, edge_rows):
+    """Nulls, empty and long texts, repeated rows and ids, and columns named like results of the operators."""
+    extra = {c: F.lit("x") for c in ("score", "predicted", "spans", "n_hit", "contaminated", "__k1", "__score", "group_id")}
+    docs = edges.withColumns(extra)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        done = corpus_pipeline.kept(stage(spark, docs, SMALL), f"odd-{name}")
+        assert done.columns == docs.columns
+        assert [f.dataType for f in done.schema] == [f.dataType for f in docs.schema], name
+        assert done.filter(" or ".join(f"{c} <> 'x' or {c} is null" for c in extra)).count() == 0
+        docs = done
+    left = [(r.doc_id, r.text) for r in docs.collect()]
+    # 2 repeats the words of 1, 8 nearly those of 7, and one row of 9 stays; texts without words all stay.
+    assert sorted((i for i, _ in left if i is not None)) == [1, 3, 4, 5, 7, 9, 10, 11] and (None, edge_rows[5][1]) in left
+    assert dict(left)[3] is None and dict(left)[4] == "" and "[SECRET]" in dict(left)[10]
+    last = encoded_rows(corpus_pipeline.STAGES[4][1](spark, docs, SMALL))
+    assert last[3] == last[4] == 0 and last[7] > 30_000
+
+
+def encoded_rows(df):
+    return {r.doc_id: r.n_tokens for r in df.collect()}
+
+
+def test_stages_without_documents(spark, no_docs):
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, no_docs, SMALL).count() == 0
+
+
 def test_registered_queries():
     import __spark_entry__ as entry
 

@@ -1,12 +1,22 @@
-"""The stages of the corpus pipeline: each applies one operator and lets its decisions take effect."""
+"""The stages of the corpus pipeline: each applies one operator and lets its decisions take effect.
+
+Defined results, in every stage: a null text is an empty one where it is read and stays null where it
+is passed on; its toxicity is that of no words, it is in no group, holds no window and no secret, and has
+no tokens. Rows without an id or with a repeated one are judged by their texts like any other; only near-duplicate
+groups keep one row of what repeats an id and a text. A score of 0.7 is toxic. Texts of any length are
+read whole. Without documents, labels or benchmark items a stage drops nothing, and without documents its
+result is empty. Extra columns pass through, whatever their names, but for the last stage.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.contamination import contamination
+from veilspark.llm.contamination import RESULTS, contamination
 from veilspark.llm.prefix_bpe import encode_texts
 from veilspark.llm.pu_toxicity import toxicity
 from veilspark.llm.secret_tags import find_secrets, fit
@@ -16,10 +26,18 @@ from veilspark.llm.tensored_minhash import near_duplicates
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def _set_aside(docs: DataFrame, *results: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with columns named like an operator's results renamed, and how to get all columns back."""
+    clashing = [c for c in docs.columns if c.lower() in results]
+    names = dict(zip(clashing, free_names(docs, *clashing)))
+    return docs.withColumnsRenamed(names), lambda df: df.select([F.col(names.get(c, c)).alias(c) for c in docs.columns])
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity(docs, labels).filter("predicted = 0").select(docs.columns)
+    held, back = _set_aside(docs, "score", "predicted")
+    return back(toxicity(held, labels).filter("predicted = 0"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,14 +77,16 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return contamination(docs, items).filter("not contaminated").select(docs.columns)
+    held, back = _set_aside(docs, *RESULTS)
+    return back(contamination(held, items).filter("not contaminated"))
 
 
 def with_secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets in their texts masked and ``n_chars`` counted anew there."""
-    found = find_secrets(docs, fit(docs), masked=True)
+    held, back = _set_aside(docs, "spans")
+    found = find_secrets(held, fit(held), masked=True)
     n_chars = F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return found.withColumn("n_chars", n_chars).select(docs.columns)
+    return back(found.withColumn("n_chars", n_chars))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
