@@ -46,13 +46,11 @@ class Settings:
     rows: int = 3  # minhashes of each key
     first_rounds: int = 3  # of pivots in the diagonal tables
     open_pairs: int = 256  # pairs for each member of a key that may be compared outright
-    least_keys: int = 4  # of both collections that a listed pair has in common
     seed: int = 5
 
 
 MAP_WORDS = 16
 MAPS = [f"m{i}" for i in range(MAP_WORDS)]
-LANE = (1 << 15) - 1
 _SIGNED = "t1 long, t2 long, k1 long, k2 long, n_shingles long, first array<long>, second array<long>"
 
 
@@ -155,36 +153,6 @@ def _table_members(both: DataFrame, diagonal: bool) -> DataFrame:
     return tables.select(F.xxhash64("x.key", "y.key").alias("bucket"), F.col("x.at").alias("i"), F.col("y.at").alias("j"), "node", "n")
 
 
-def _longs(s: Settings) -> int:
-    return -(-s.tables // 4)
-
-
-def _tag_names(s: Settings) -> list[str]:
-    return [f"{side}{k}" for side in ("first", "second") for k in range(_longs(s))]
-
-
-def _tags(s: Settings) -> list:
-    """Fifteen bits of each key, four keys to a long, one collection after the other."""
-    longs = []
-    for name in _tag_names(s):
-        side, k = name[:-1], int(name[-1])
-        lanes = [f"shiftleft({side}[{4 * k + lane}] & {LANE}L, {15 * lane})" for lane in range(min(4, s.tables - 4 * k))]
-        longs.append(F.expr(" | ".join(lanes)).alias(name))
-    return longs
-
-
-def _equal_keys(s: Settings, side: str) -> str:
-    """SQL of a mask of the tables whose tags agree: bit ``15 * (t % 4) + 14 - t // 4`` for table ``t``."""
-    masks = []
-    for k in range(_longs(s)):
-        lanes = range(min(4, s.tables - 4 * k))
-        low, high = (sum(m << 15 * lane for lane in lanes) for m in (LANE >> 1, (LANE >> 1) + 1))
-        x = f"(a{side}{k} ^ b{side}{k})"
-        # The highest bit of a lane is set by the sum, or was before, if any bit of the lane is.
-        masks.append(f"shiftrightunsigned(~((({x} & {low}L) + {low}L) | {x}) & {high}L, {k})")
-    return "(" + " | ".join(masks) + ")"
-
-
 def _possible(s: Settings):
     """Whether bit maps of two members allow the similarity; a necessary condition."""
     p, q = s.similarity
@@ -202,20 +170,19 @@ def _sizes_allow(s: Settings):
     return (F.col("na") * q >= F.col("nb") * p) & (F.col("nb") * q >= F.col("na") * p)
 
 
-def _worth_listing(s: Settings, diagonal: bool):
-    """Whether two members may be similar by their tags, and this is one of the first two tables they share.
+def _first_common(s: Settings, diagonal: bool):
+    """Whether a table is the first of all, or of the diagonal ones, that two members share.
 
-    A similar pair has fewer than ``least_keys`` of its ``2 * tables`` keys in common with a probability
-    of about one in a million. A pair is listed under four tables at most; it is missed only if tags of
-    two different keys agree before the first that is really shared.
+    A pair is so listed under one of its tables only. Tags are 31 bits of each key.
     """
-    first, second = _equal_keys(s, "first"), _equal_keys(s, "second")
+    m = s.tables
 
-    def early(mask: str, at: str) -> str:
-        return f"bit_count({mask} & (shiftleft(1L, 15 * ({at} % 4) + 14 - {at} div 4) - 1L)) < 2"
+    def equal(at: int):
+        return F.zip_with(F.slice("atags", at, m), F.slice("btags", at, m), lambda x, y: x == y)
 
-    own = [early(f"({first} & {second})", "i")] if diagonal else [early(first, "i"), early(second, "j")]
-    return F.expr(" AND ".join([f"bit_count({first}) + bit_count({second}) >= {s.least_keys}", *own]))
+    if diagonal:
+        return F.array_position(F.zip_with(equal(1), equal(m + 1), lambda x, y: x & y), True) == F.col("i") + 1
+    return (F.array_position(equal(1), True) == F.col("i") + 1) & (F.array_position(equal(m + 1), True) == F.col("j") + 1)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
@@ -238,10 +205,10 @@ def _rounds(
     """Links found so far with those of more rounds, and the components they make.
 
     In the diagonal tables there are ``s.first_rounds`` of pivots, in all tables they go on to the end.
-    What meets in a key is a row of ids, tags and a bit map; sets are fetched for listed pairs only.
+    What meets in a key is a row of ids, tags of the keys and a bit map; sets are fetched for listed pairs only.
     """
     pivots, done = 1, 0
-    marks = sets.select("node", *MAPS, *_tag_names(s))
+    marks = sets.select("node", *MAPS, "tags")
     before = None
     while not diagonal or done < s.first_rounds:
         if label is None:
@@ -273,11 +240,11 @@ def _rounds(
         marked = open_now.join(marks, "node")
 
         def side(x: str) -> list:
-            return [F.col(c).alias(f"{x}{c}") for c in [*MAPS, *_tag_names(s)]] + [F.col("node").alias(x), F.col("group").alias(f"g{x}"), F.col("n").alias(f"n{x}")]
+            return [F.col(c).alias(f"{x}{c}") for c in [*MAPS, "tags"]] + [F.col("node").alias(x), F.col("group").alias(f"g{x}"), F.col("n").alias(f"n{x}")]
 
         one = (marked if last else marked.filter("is_pivot")).select("bucket", "i", "j", *side("a"))
         pairs = one.join(marked.select("bucket", *side("b")), "bucket").filter(
-            (F.col("ga") != F.col("gb")) & _sizes_allow(s) & _worth_listing(s, diagonal) & _possible(s)
+            (F.col("ga") != F.col("gb")) & _sizes_allow(s) & _possible(s) & _first_common(s, diagonal)
         )
         pairs = pairs.filter("a < b") if last else pairs
         pairs = kept(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
@@ -333,13 +300,14 @@ def near_duplicates(
         "near-classes",
     )
     both = kept(_shared_halves(_halves(classes), "node"), "near-shared-keys")
-    wanted = kept(classes.join(both.select("node"), "node", "left_semi").select("t1", "t2", "k1", "k2", "node", "n", *_tags(s)), "near-wanted")
+    tags = F.transform(F.concat("first", "second"), lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int"))
+    wanted = kept(classes.join(both.select("node"), "node", "left_semi").select("t1", "t2", "k1", "k2", "node", "n", tags.alias("tags")), "near-wanted")
     texts = named.select("t1", "t2", "text").join(small_side(wanted.select("t1", "t2"), 16), ["t1", "t2"], "left_semi")
     sets = kept(
         in_tasks(texts.select("text"), lambda it: _sets(s, it), "k1 long, k2 long, shingles array<long>, " + ", ".join(f"{m} long" for m in MAPS))
         .dropDuplicates(["k1", "k2"])
-        .join(wanted.select("k1", "k2", "node", "n", *_tag_names(s)), ["k1", "k2"])
-        .select("node", "n", "shingles", *MAPS, *_tag_names(s)),
+        .join(wanted.select("k1", "k2", "node", "n", "tags"), ["k1", "k2"])
+        .select("node", "n", "shingles", *MAPS, "tags"),
         "near-sets",
     )
     roots = smallest_reachable(_links(classes, both, sets, s))
