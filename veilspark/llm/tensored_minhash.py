@@ -12,9 +12,10 @@ Texts with equal shingle sets are one class from the start, so copies never meet
 table key no pairs are listed at first: in every round a few texts of a key (pivots, four times
 as many each round) are compared with the others of the key that are not yet known to be in
 their component, and then leave the key. When few enough pairs are open for each member, they
-are compared outright. A pair is only listed if bit maps of both sets allow the similarity:
-every bit of one map that the other lacks is a shingle that the other lacks; and it is listed
-only under the first table that both share.
+are compared outright. A pair is only listed if the parities of both sets allow the similarity:
+shingles of both cancel out in the exclusive or of two parity maps, so every bit left over is a
+shingle of one set alone; and it is listed only under the first table that both share.
+A key of many members is dealt to several tasks, each of which sees all pivots.
 Every pair of texts that share a table is thus either compared or already connected.
 
 Defined results: a null or empty text and one without words has no shingles, links with
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from veilspark.llm import words as W
 from veilspark.llm.components import smallest_reachable
-from veilspark.llm.storage import discard, in_tasks, kept, small_side, text_key
+from veilspark.llm.storage import BROADCAST_BYTES, discard, in_tasks, kept, small_side, text_key
 
 
 @dataclass(frozen=True)
@@ -44,8 +45,9 @@ class Settings:
     similarity: tuple[int, int] = (75, 100)  # numerator and denominator of the Jaccard threshold
     tables: int = 20  # keys of each collection
     rows: int = 3  # minhashes of each key
-    first_rounds: int = 3  # of pivots in the diagonal tables
+    first_rounds: int = 1  # of pivots in the diagonal tables
     open_pairs: int = 256  # pairs for each member of a key that may be compared outright
+    members: int = 65_536  # of a key that meet its pivots in one task
     seed: int = 5
 
 
@@ -103,7 +105,7 @@ def _sets(s: Settings, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             maps = []
             for i in range(MAP_WORDS):
                 own = np.append(np.where(word == i, bits, np.uint64(0)), np.uint64(0))
-                maps.append(W.as_long(np.bitwise_or.reduceat(own, at[:-1]) * (np.diff(at) > 0)))
+                maps.append(W.as_long(np.bitwise_xor.reduceat(own, at[:-1]) * (np.diff(at) > 0)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(W.as_long(k1)), pa.array(W.as_long(k2)), lists, *map(pa.array, maps)],
                 names=["k1", "k2", "shingles", *MAPS],
@@ -154,15 +156,10 @@ def _table_members(both: DataFrame, diagonal: bool) -> DataFrame:
 
 
 def _possible(s: Settings):
-    """Whether bit maps of two members allow the similarity; a necessary condition."""
+    """Whether parity maps of two members allow the similarity; a necessary condition."""
     p, q = s.similarity
-
-    def most(n: str, mine: str, other: str):
-        lacking = [F.bit_count(F.col(f"{mine}{m}").bitwiseAND(F.bitwise_not(f"{other}{m}"))) for m in MAPS]
-        return F.col(n) - sum(lacking[1:], lacking[0])
-
-    common = F.least(most("na", "a", "b"), most("nb", "b", "a"))
-    return common * (p + q) >= (F.col("na") + F.col("nb")) * p
+    apart = [F.bit_count(F.col(f"a{m}").bitwiseXOR(F.col(f"b{m}"))) for m in MAPS]
+    return sum(apart[1:], apart[0]) * (p + q) <= (F.col("na") + F.col("nb")) * (q - p)
 
 
 def _sizes_allow(s: Settings):
@@ -170,19 +167,16 @@ def _sizes_allow(s: Settings):
     return (F.col("na") * q >= F.col("nb") * p) & (F.col("nb") * q >= F.col("na") * p)
 
 
-def _first_common(s: Settings, diagonal: bool):
+def _first_common(diagonal: bool):
     """Whether a table is the first of all, or of the diagonal ones, that two members share.
 
-    A pair is so listed under one of its tables only. Tags are 31 bits of each key.
+    A pair is so listed under one of its tables only. Keys of different numbers never agree.
     """
-    m = s.tables
 
-    def equal(at: int):
-        return F.zip_with(F.slice("atags", at, m), F.slice("btags", at, m), lambda x, y: x == y)
+    def none_before(keys: str, at: str):
+        return ~F.arrays_overlap(F.slice(f"a{keys}", F.lit(1), F.col(at)), F.slice(f"b{keys}", F.lit(1), F.col(at)))
 
-    if diagonal:
-        return F.array_position(F.zip_with(equal(1), equal(m + 1), lambda x, y: x & y), True) == F.col("i") + 1
-    return (F.array_position(equal(1), True) == F.col("i") + 1) & (F.array_position(equal(m + 1), True) == F.col("j") + 1)
+    return none_before("both", "i") if diagonal else none_before("first", "i") & none_before("second", "j")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
@@ -205,16 +199,18 @@ def _rounds(
     """Links found so far with those of more rounds, and the components they make.
 
     In the diagonal tables there are ``s.first_rounds`` of pivots, in all tables they go on to the end.
-    What meets in a key is a row of ids, tags of the keys and a bit map; sets are fetched for listed pairs only.
+    What is shuffled by key is a row of ids; sets are fetched for listed pairs only.
     """
     pivots, done = 1, 0
-    marks = sets.select("node", *MAPS, "tags")
+    keys = [F.zip_with("first", "second", lambda x, y: F.xxhash64(x, y)).alias("both")] if diagonal else ["first", "second"]
+    marks = sets.select("node", *MAPS, *keys)
+    few_marks = sets.count() * (8 * (MAP_WORDS + 2 * s.tables) + 64) <= BROADCAST_BYTES
     before = None
     while not diagonal or done < s.first_rounds:
         if label is None:
             now = members.withColumn("group", F.col("node"))
         else:
-            now = members.join(label, "node", "left").withColumn("group", F.coalesce("group", "node"))
+            now = members.join(small_side(label, 16), "node", "left").withColumn("group", F.coalesce("group", "node"))
         load = kept(
             now.groupBy("bucket", "group")
             .agg(F.count("*").alias("c"), F.min("node").alias("candidate"))
@@ -235,16 +231,22 @@ def _rounds(
         last = not diagonal and total[1] <= s.open_pairs * total[0]
         share = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(1 << 30)).cast("double") / (1 << 30)
         is_pivot = (F.col("node") == F.col("pivot")) | (share * F.col("m") < pivots - 1)
-        open_now = kept(now.join(load.select("bucket", "pivot", "m"), "bucket").withColumn("is_pivot", is_pivot).drop("pivot", "m"), "near-open")
+        open_now = kept(now.join(small_side(load.select("bucket", "pivot", "m"), 24), "bucket").withColumn("is_pivot", is_pivot).drop("pivot"), "near-open")
         discard(load, before)
-        marked = open_now.join(marks, "node")
-
-        def side(x: str) -> list:
-            return [F.col(c).alias(f"{x}{c}") for c in [*MAPS, "tags"]] + [F.col("node").alias(x), F.col("group").alias(f"g{x}"), F.col("n").alias(f"n{x}")]
-
-        one = (marked if last else marked.filter("is_pivot")).select("bucket", "i", "j", *side("a"))
-        pairs = one.join(marked.select("bucket", *side("b")), "bucket").filter(
-            (F.col("ga") != F.col("gb")) & _sizes_allow(s) & _possible(s) & _first_common(s, diagonal)
+        shares = F.ceil(F.col("m") / s.members).cast("int")
+
+        def side(x: str, rows: DataFrame, names: list[str]) -> DataFrame:
+            # Narrow rows are shuffled if the marks fit beside them afterwards.
+            rows = rows.repartition("bucket", "share") if few_marks else rows
+            rows = rows.join(F.broadcast(marks) if few_marks else marks, "node")
+            own = [F.col(c).alias(f"{x}{c}") for c in marks.columns if c != "node"]
+            return rows.select("bucket", "share", *names, *own, F.col("node").alias(x), F.col("group").alias(f"g{x}"), F.col("n").alias(f"n{x}"))
+
+        one = open_now if last else open_now.filter("is_pivot")
+        one = side("a", one.withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1))), ["i", "j"])
+        other = side("b", open_now.withColumn("share", F.pmod(F.xxhash64("node"), shares).cast("int")), [])
+        pairs = one.join(other, ["bucket", "share"]).filter(
+            (F.col("ga") != F.col("gb")) & _sizes_allow(s) & _possible(s) & _first_common(diagonal)
         )
         pairs = pairs.filter("a < b") if last else pairs
         pairs = kept(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
@@ -253,7 +255,8 @@ def _rounds(
         if last:
             discard(open_now)
             break
-        label = smallest_reachable(links).select("node", F.col("root").alias("group"))
+        done_with, label = label, kept(smallest_reachable(links, 3).select("node", F.col("root").alias("group")), "near-label")
+        discard(done_with)
         members, before = open_now.filter("not is_pivot").select("bucket", "i", "j", "node", "n"), open_now
         pivots, done = pivots * 4, done + 1
     return links, label
@@ -270,7 +273,7 @@ def _links(classes: DataFrame, both: DataFrame, sets: DataFrame, s: Settings) ->
     if label is not None:
         kinds = [F.transform(c, lambda x: F.struct(F.lit(c == "b").alias("second"), x["at"].alias("at"), x["key"].alias("key"))) for c in "ab"]
         halves = both.select("node", "n", F.explode(F.concat(*kinds)).alias("half")).select("node", "n", "half.second", "half.at", "half.key")
-        halves = halves.join(label, "node", "left").withColumn("group", F.coalesce("group", "node"))
+        halves = halves.join(small_side(label, 16), "node", "left").withColumn("group", F.coalesce("group", "node"))
         both = kept(_shared_halves(halves, "group"), "near-open-keys")
     return _rounds(_table_members(both, False), sets, s, links, label, False)[0]
 
@@ -300,14 +303,13 @@ def near_duplicates(
         "near-classes",
     )
     both = kept(_shared_halves(_halves(classes), "node"), "near-shared-keys")
-    tags = F.transform(F.concat("first", "second"), lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int"))
-    wanted = kept(classes.join(both.select("node"), "node", "left_semi").select("t1", "t2", "k1", "k2", "node", "n", tags.alias("tags")), "near-wanted")
+    wanted = kept(classes.join(both.select("node"), "node", "left_semi").select("t1", "t2", "k1", "k2", "node", "n", "first", "second"), "near-wanted")
     texts = named.select("t1", "t2", "text").join(small_side(wanted.select("t1", "t2"), 16), ["t1", "t2"], "left_semi")
     sets = kept(
         in_tasks(texts.select("text"), lambda it: _sets(s, it), "k1 long, k2 long, shingles array<long>, " + ", ".join(f"{m} long" for m in MAPS))
         .dropDuplicates(["k1", "k2"])
-        .join(wanted.select("k1", "k2", "node", "n", "tags"), ["k1", "k2"])
-        .select("node", "n", "shingles", *MAPS, "tags"),
+        .join(wanted.select("k1", "k2", "node", "n", "first", "second"), ["k1", "k2"])
+        .select("node", "n", "shingles", *MAPS, "first", "second"),
         "near-sets",
     )
     roots = smallest_reachable(_links(classes, both, sets, s))
