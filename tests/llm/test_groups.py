@@ -108,6 +108,15 @@ def test_near_duplicates_against_brute_force(spark, edge_rows):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(df).collect())
     assert got == Counter((d, n, c) for (d, _), (n, c) in zip(rows, brute_groups(rows)))
+
+
+def test_hot_keys_and_large_sides_give_the_same_groups(spark, monkeypatch):
+    monkeypatch.setattr("veilspark.llm.tensored_minhash.BROADCAST_BYTES", 0)
+    monkeypatch.setattr("veilspark.llm.components.BROADCAST_BYTES", 0)
+    rows = near_copies(2)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(df, Settings(members=3, open_pairs=0)).collect())
+    assert got == Counter((d, n, c) for (d, _), (n, c) in zip(rows, brute_groups(rows)))
     # However few pairs may be compared outright, rounds of pivots find the same.
     few = near_duplicates(df, Settings(open_pairs=0)).select("doc_id", "n_shingles", "component_id")
     assert Counter(map(tuple, few.collect())) == got
