@@ -11,7 +11,7 @@ from llm_cases import edge_rows, edges, no_docs  # noqa: F401
 from veilspark.llm import contamination as C
 from veilspark.llm import license_scan as L
 from veilspark.llm import pu_toxicity as P
-from veilspark.llm import stages
+from veilspark.llm import stages, tensored_minhash
 from veilspark.llm import words as W
 from veilspark.llm.components import smallest_reachable
 from veilspark.llm.tensored_minhash import Settings, near_duplicates
@@ -110,6 +110,26 @@ def test_near_duplicates_against_brute_force(spark, edge_rows):
     assert got == Counter((d, n, c) for (d, _), (n, c) in zip(rows, brute_groups(rows)))
 
 
+def test_near_copies_of_one_text_are_listed_in_proportion_to_them(spark, monkeypatch):
+    rng, rows, listed = random.Random(1), [], []
+    for d in range(500):
+        words = [f"w{i}" for i in range(100)]
+        for i in rng.sample(range(100), 2):
+            words[i] = f"x{d}_{i}"
+        rows.append((d, " ".join(words)))
+    written = tensored_minhash.kept
+
+    def kept(df, name):
+        done = written(df, name)
+        listed.extend([done.count()] if name == "near-pairs" else [])
+        return done
+
+    monkeypatch.setattr(tensored_minhash, "kept", kept)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {d: c for (d, _), (_, c) in zip(rows, brute_groups(rows))}
+    assert 0 < sum(listed) < 6 * len(rows)
+
+
 def test_hot_keys_and_large_sides_give_the_same_groups(spark, monkeypatch):
     monkeypatch.setattr("veilspark.llm.tensored_minhash.BROADCAST_BYTES", 0)
     monkeypatch.setattr("veilspark.llm.components.BROADCAST_BYTES", 0)

@@ -11,8 +11,9 @@ the groups.
 Texts with equal shingle sets are one class from the start, so copies never meet. Inside a
 table key no pairs are listed at first: in every round a few texts of a key (pivots, four times
 as many each round) are compared with the others of the key that are not yet known to be in
-their component, and then leave the key. When few enough pairs are open for each member, they
-are compared outright. A pair is only listed if the parities of both sets allow the similarity:
+their component, and then leave the key. When few enough pairs are open for each member, and the
+last round's pivots say that no more of them than members will be listed, they are compared
+outright; while large groups of similar texts still face each other, pivots go on. A pair is only listed if the parities of both sets allow the similarity:
 shingles of both cancel out in the exclusive or of two parity maps, so every bit left over is a
 shingle of one set alone; and it is listed only under the first table that both share.
 A key of many members is dealt to several tasks, each of which sees all pivots.
@@ -45,7 +46,7 @@ class Settings:
     similarity: tuple[int, int] = (75, 100)  # numerator and denominator of the Jaccard threshold
     tables: int = 20  # keys of each collection
     rows: int = 3  # minhashes of each key
-    first_rounds: int = 1  # of pivots in the diagonal tables
+    first_rounds: int = 3  # of pivots in the diagonal tables
     open_pairs: int = 256  # pairs for each member of a key that may be compared outright
     members: int = 65_536  # of a key that meet its pivots in one task
     seed: int = 5
@@ -194,11 +195,18 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
 
 
 def _rounds(
-    members: DataFrame, sets: DataFrame, s: Settings, links: DataFrame, label: DataFrame | None, diagonal: bool
-) -> tuple[DataFrame, DataFrame | None]:
-    """Links found so far with those of more rounds, and the components they make.
+    members: DataFrame,
+    sets: DataFrame,
+    s: Settings,
+    links: DataFrame,
+    label: DataFrame | None,
+    diagonal: bool,
+    listed: float = float("inf"),
+) -> tuple[DataFrame, DataFrame | None, float]:
+    """Links found so far with those of more rounds, the components they make, and ``listed``.
 
     In the diagonal tables there are ``s.first_rounds`` of pivots, in all tables they go on to the end.
+    ``listed`` is the share of the pairs met in the last round that were listed.
     What is shuffled by key is a row of ids; sets are fetched for listed pairs only.
     """
     pivots, done = 1, 0
@@ -224,11 +232,14 @@ def _rounds(
             .filter("groups > 1"),
             "near-load",
         )
-        total = load.agg(F.sum("m"), F.sum((F.col("m").cast("double") * F.col("m") - F.col("squares")) / 2)).first()
+        pairs_open = (F.col("m").cast("double") * F.col("m") - F.col("squares")) / 2
+        # A pair is met if one of both is a pivot.
+        met = pairs_open * F.least(F.lit(1.0), F.lit(2.0 * pivots) / F.col("m"))
+        total = load.agg(F.sum("m"), F.sum(pairs_open), F.sum(met)).first()
         if total[0] is None:
             discard(load, before)
             break
-        last = not diagonal and total[1] <= s.open_pairs * total[0]
+        last = not diagonal and total[1] <= s.open_pairs * total[0] and listed * total[1] <= total[0]
         share = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(1 << 30)).cast("double") / (1 << 30)
         is_pivot = (F.col("node") == F.col("pivot")) | (share * F.col("m") < pivots - 1)
         open_now = kept(now.join(small_side(load.select("bucket", "pivot", "m"), 24), "bucket").withColumn("is_pivot", is_pivot).drop("pivot"), "near-open")
@@ -250,6 +261,7 @@ def _rounds(
         )
         pairs = pairs.filter("a < b") if last else pairs
         pairs = kept(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+        listed = pairs.count() / total[2]
         known, links = links, kept(links.unionByName(_confirmed(pairs, sets, s)), "near-links")
         discard(pairs, known)
         if last:
@@ -259,7 +271,7 @@ def _rounds(
         discard(done_with)
         members, before = open_now.filter("not is_pivot").select("bucket", "i", "j", "node", "n"), open_now
         pivots, done = pivots * 4, done + 1
-    return links, label
+    return links, label, listed
 
 
 def _links(classes: DataFrame, both: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
@@ -269,13 +281,13 @@ def _links(classes: DataFrame, both: DataFrame, sets: DataFrame, s: Settings) ->
     most of what belongs together; then only keys that still hold several groups are paired.
     """
     none = classes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    links, label = _rounds(_table_members(both, True), sets, s, none, None, True)
+    links, label, listed = _rounds(_table_members(both, True), sets, s, none, None, True)
     if label is not None:
         kinds = [F.transform(c, lambda x: F.struct(F.lit(c == "b").alias("second"), x["at"].alias("at"), x["key"].alias("key"))) for c in "ab"]
         halves = both.select("node", "n", F.explode(F.concat(*kinds)).alias("half")).select("node", "n", "half.second", "half.at", "half.key")
         halves = halves.join(small_side(label, 16), "node", "left").withColumn("group", F.coalesce("group", "node"))
         both = kept(_shared_halves(halves, "group"), "near-open-keys")
-    return _rounds(_table_members(both, False), sets, s, links, label, False)[0]
+    return _rounds(_table_members(both, False), sets, s, links, label, False, listed)[0]
 
 
 def near_duplicates(
