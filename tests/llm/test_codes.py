@@ -167,6 +167,13 @@ def test_lines_against_plain_python(spark, monkeypatch, broadcast, min_docs):
     assert sorted(rows, key=repr) == brute_lines(LINES, min_docs=min_docs)
 
 
+def test_texts_are_not_shuffled_for_few_lost_lines(spark):
+    rows = [(d, f"a line of all texts\nown line {d} of {d}\n") for d in range(20)]
+    done = without_shared_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert "Exchange hashpartitioning" not in done._jdf.queryExecution().executedPlan().toString()
+    assert {(r.doc_id, r.text) for r in done.collect()} == {(d, t if d == 0 else t.split("\n", 1)[1]) for d, t in rows}
+
+
 def test_no_documents_no_lines(spark):
     done = without_shared_lines(spark.createDataFrame([], "doc_id long, text string"))
     assert done.collect() == [] and done.columns == ["doc_id", "text", "n_lines", "n_dropped"]

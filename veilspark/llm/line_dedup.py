@@ -8,7 +8,8 @@ of the document with the smallest id. Texts are put together again from the posi
 A common line is one row per document until it is counted, and counting combines before the
 shuffle. The table of shared keys has one row per key; it is broadcast only if its counted rows
 are few, else lines meet it in eight salted shares per key. Nothing of a text is gathered
-but the positions it loses, and the text itself is shuffled once.
+but the positions it loses. Texts stay where they are if all lost positions are few bytes, else
+they are shuffled once.
 
 Defined results: a null or empty text is one empty line, and a null becomes the empty text.
 Rows that repeat an id are one document. Rows without an id count together as one document
@@ -75,9 +76,11 @@ def without_shared_lines(
     lines = hashed_lines(texts, min_chars)
     lost = losing(lines, shared_keys(lines, min_docs))
     # Rows of one id and one text lose the same positions, and so do texts of one id with equal hashes.
-    lost = lost.groupBy("id", "t").agg(F.collect_set("pos").alias("lost"))
+    lost = kept(lost.groupBy("id", "t").agg(F.collect_set("pos").alias("lost")), "lost-lines")
+    bytes_lost = lost.agg(F.sum(64 + 8 * F.size("lost") + F.coalesce(F.octet_length(F.col("id").cast("string")), F.lit(0)))).first()[0] or 0
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
-    lost = lost.select(F.col("id").alias("lost_id"), F.col("t").alias("lost_t"), "lost").hint("shuffle_hash")
+    lost = lost.select(F.col("id").alias("lost_id"), F.col("t").alias("lost_t"), "lost")
+    lost = F.broadcast(lost) if bytes_lost <= BROADCAST_BYTES else lost.hint("shuffle_hash")
     met = rows.join(lost, F.col(f"row.`{id_col}`").eqNullSafe(F.col("lost_id")) & (F.col("t") == F.col("lost_t")), "left")
     met = met.select("row", "lost", line_list(F.col(f"row.`{text_col}`")).alias("lines"))
     met = met.withColumn("stay", F.expr("array_except(sequence(0, size(lines) - 1), coalesce(lost, array()))"))
