@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -311,3 +312,23 @@ def test_toxicity_on_held_out_rows(spark):
 def test_toxicity_without_labels(spark, edges):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert P.toxicity(edges, none).filter("score <> 0 or predicted <> 0").count() == 0
+
+
+def test_tasks_hold_little_beside_their_texts():
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(5000)]
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(1800)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    model = P.Model(np.ones(1 << 18, dtype=np.float32), 0.0, P.Settings())
+    steps = [
+        lambda: list(tensored_minhash._signatures(Settings(), iter([batch]))),
+        lambda: sum(1 for _ in tensored_minhash._sets(Settings(), iter([batch.select(["text"])]))),
+        lambda: P.score_texts(batch.column("text"), model),
+    ]
+    for step in steps:
+        W._powers.clear()
+        tracemalloc.start()
+        step()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 40 << 20

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -11,6 +12,7 @@ from tokenizers import Tokenizer
 from llm_cases import edge_rows, edges, no_docs  # noqa: F401
 from veilspark.llm import prefix_bpe as B
 from veilspark.llm import token_files as T
+from veilspark.llm.storage import in_tasks
 
 CHARACTERS = " \n\t\r\x0b\x0c\x1c\x1f\x85\xa0\u2003\u3000\u200b\ufeff abcdeÉéßñ漢字ひ😀👍🏽\u0301İſK٣2Ⅷ½²0'st'll..,!?aaa---"
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -106,3 +108,16 @@ def test_no_texts(no_docs):
 def test_same_rows_however_dealt(edges):
     a, b = (T.read_tokens(T.write_tokens(edges.repartition(n), WORDS)).agg(F.sum("start"), F.sum("ids_crc32")).first() for n in (1, 5))
     assert a == b
+
+
+def test_workers_give_back_tables_of_other_operators(edges):
+    def probe(batches):
+        import gc
+
+        for batch in batches:
+            found = sum(type(x).__name__ in ("PrefixBpe", "Words") for x in gc.get_objects())
+            yield pa.RecordBatch.from_arrays([pa.array([found], pa.int64())], names=["found"])
+
+    T.read_tokens(T.write_tokens(edges, WORDS)).count()
+    B.encode_texts(edges.repartition(4), BYTES).count()
+    assert in_tasks(edges.repartition(4).select("text"), probe, "found long").agg(F.max("found")).first()[0] == 0

@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from veilspark.llm.storage import in_tasks
+from veilspark.llm.storage import held_in_worker, in_tasks
 
 # Fixed value: how texts are cut before merging.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -186,16 +186,9 @@ class PrefixBpe:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
-_in_worker: dict[str, PrefixBpe] = {}
-
-
 def coder(content: str) -> PrefixBpe:
     """The worker's coder for a file's contents, built once."""
-    name = hashlib.sha256(content.encode()).hexdigest()
-    if name not in _in_worker:
-        _in_worker.clear()
-        _in_worker[name] = PrefixBpe(content)
-    return _in_worker[name]
+    return held_in_worker("bpe" + hashlib.sha256(content.encode()).hexdigest(), lambda: PrefixBpe(content))
 
 
 def sha256(data: bytes) -> str:

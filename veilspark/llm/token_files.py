@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from veilspark.llm.storage import folder_uri, in_tasks, kept
+from veilspark.llm.storage import folder_uri, held_in_worker, in_tasks, kept
 
 WORDS_KEPT = 1_000_000
 """Bound of the table of encoded words in each Python worker."""
@@ -95,17 +95,10 @@ class Words(dict):
         return [b"".join(map(self.__getitem__, words)) for words in split]
 
 
-_in_worker: dict[str, Words] = {}
-
-
 def words_for(content: str, kind: np.dtype) -> Words:
     """The worker's table for a tokenizer file's contents, built once."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task is the unit of work
-    name = hashlib.sha256(content.encode()).hexdigest() + kind.str
-    if name not in _in_worker:
-        _in_worker.clear()
-        _in_worker[name] = Words(content, kind)
-    return _in_worker[name]
+    return held_in_worker("words" + hashlib.sha256(content.encode()).hexdigest() + kind.str, lambda: Words(content, kind))
 
 
 class SequenceFile:

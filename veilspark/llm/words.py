@@ -13,8 +13,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
-"""Texts are handled in slices of about this many bytes; a longer text is a slice of its own."""
+SLICE_BYTES = 256 << 10
+"""Texts are handled in slices of about this many bytes; a longer text is a slice of its own.
+
+Small ones, as workers share an executor's memory with its heap and keep what they once took.
+"""
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**64, 256, dtype=np.uint64)
