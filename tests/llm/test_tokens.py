@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import zlib
 
@@ -121,3 +122,34 @@ def test_workers_give_back_tables_of_other_operators(edges):
     T.read_tokens(T.write_tokens(edges, WORDS)).count()
     B.encode_texts(edges.repartition(4), BYTES).count()
     assert in_tasks(edges.repartition(4).select("text"), probe, "found long").agg(F.max("found")).first()[0] == 0
+
+
+def test_plain_words_equal_the_library_and_skip_its_other_steps():
+    library = Tokenizer.from_file(WORDS)
+    with open(WORDS, encoding="utf-8") as f:
+        words = T.Words(f.read(), np.dtype("<u2"))
+    rng = random.Random(4)
+    letters = T.LETTERS + "abcdefgh" * 20
+    behind = ["", "", ".", "'", "'.", "$$$", ",\"", "_", "-)", "|>", "'s", "!1", "́", "<|endoftext|>", "º", "×"]
+    made = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) + rng.choice(behind) for _ in range(4000)]
+    made += [*T.LETTERS, "endoftext|>", "ǅ", "İ", "ΑΣ", "ﬁ", "ª", "é", "a" * 3000, "Straße's", "naïve!!"]
+    for w, got in zip(made, words.encode(made)):
+        assert np.frombuffer(got, "<u2").tolist() == library.encode(w, add_special_tokens=False).ids, w
+    asked = []
+    words._whole = lambda word: asked.append(word) or b""
+    words.encode(["Unseenword, unSeenword. Überunseen unseenWORD"])
+    assert set(asked) <= {",", "."} and "unseenword" in words.runs
+
+
+def test_plain_words_only_for_steps_that_are_known():
+    with open(WORDS, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["normalizer"] = None
+    other = T.Words(json.dumps(spec), np.dtype("<u2"))
+    library = Tokenizer.from_str(json.dumps(spec))
+    with_token = Tokenizer.from_file(WORDS)
+    with_token.add_tokens(["ord,"])
+    taken = T.Words(with_token.to_str(), np.dtype("<u2"))
+    for w in ("Word,", "ÜBER", "words"):
+        assert np.frombuffer(other.encode([w])[0], "<u2").tolist() == library.encode(w, add_special_tokens=False).ids
+        assert np.frombuffer(taken.encode([w])[0], "<u2").tolist() == with_token.encode(w, add_special_tokens=False).ids

@@ -18,7 +18,10 @@ Defined results: a null text counts as empty and has only the end id; rows are o
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
+import string
 import uuid
 import zlib
 from array import array
@@ -35,9 +38,27 @@ from tokenizers import Tokenizer
 from veilspark.llm.storage import folder_uri, held_in_worker, in_tasks, kept
 
 WORDS_KEPT = 1_000_000
-"""Bound of the table of encoded words in each Python worker."""
+RUNS_KEPT = 500_000
+"""Bounds of the tables of encoded words and runs of letters in each Python worker."""
 TEXTS_AT_ONCE = 256
 
+# The steps before merging for which a word of PLAIN can be taken apart.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": CUT}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+LETTERS = "".join(c for c in map(chr, [*range(0x80), *range(0xC0, 0x100)]) if c.isalpha())
+PLAIN = re.compile(f"([{LETTERS}]+)([{re.escape(string.punctuation)}]*)")
+PLAIN_PART = re.compile(PLAIN.pattern.replace("+", "*", 1))
+
 
 @dataclass(frozen=True)
 class Layout:
@@ -55,11 +76,28 @@ class Layout:
         return pa.schema([("ids", pa.list_(ids, self.length)), ("mask", pa.list_(pa.bool_(), self.length))])
 
 
+def plain_letters(tokenizer: Tokenizer) -> dict[str, str]:
+    """What the library's steps before merging make of each letter in ``LETTERS``.
+
+    Nothing, if the file has other steps or an added token that could stand inside a ``PLAIN`` word.
+    """
+    spec = json.loads(tokenizer.to_str())
+    inside = [t for t in spec["added_tokens"] if PLAIN_PART.fullmatch(t["content"])]
+    if spec["normalizer"] != NORMALIZER or spec["pre_tokenizer"] != PRE_TOKENIZER or inside:
+        return {}
+    return {x: tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(x))[0][0] for x in LETTERS}
+
+
 class Words(dict):
     """Ids of blank-separated words as bytes; what is not known yet is encoded when asked for.
 
     The tokenizer lower-cases, composes characters and cuts at white space, none of which
     reaches across an ASCII blank or line feed, so a text's ids are those of its words in a row.
+
+    Most words are a run of letters with punctuation behind it, which the tokenizer cuts there. If
+    all letters are ASCII or Latin-1, each is lower-cased and spelt in bytes by itself, so the
+    library's merges are asked for the letters alone; they are remembered without case and
+    punctuation. Any other word goes through the whole of the library's steps.
     """
 
     def __init__(self, content: str, kind: np.dtype):
@@ -67,32 +105,45 @@ class Words(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.kind, self.code = kind, "I" if kind.itemsize == 4 else "H"
+        letters = plain_letters(self.tokenizer)
+        self.plain = PLAIN.fullmatch if letters else lambda word: None
+        self.spelt = str.maketrans(letters)
+        self.merge = self.tokenizer.model.tokenize
+        self.runs: dict[str, bytes] = {}
+
+    def _run(self, letters: str) -> bytes:
+        """Ids of a run of letters, given as the merges see it."""
+        got = self.runs.get(letters)
+        if got is None:
+            got = array(self.code, [t.id for t in self.merge(letters)]).tobytes()
+            if len(letters) <= 64:
+                if len(self.runs) >= RUNS_KEPT:
+                    self.runs.clear()
+                self.runs[letters] = got
+        return got
+
+    def _whole(self, word: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        got = np.array(ids, dtype=self.kind).tobytes()
+        plain = self.plain(word)
+        if plain is None:
+            got = self._whole(word)
+        else:
+            letters, behind = plain.groups()
+            got = self._run(letters.translate(self.spelt))
+            if behind:
+                got += self[behind]
         if len(word) <= 64:
             if len(self) >= WORDS_KEPT:
                 self.clear()
             self[word] = got
         return got
 
-    def fill(self, words: set[str]) -> None:
-        """Encode the words not known yet together."""
-        new = [w for w in words if w not in self and len(w) <= 64]
-        if len(self) + len(new) > WORDS_KEPT:
-            self.clear()
-            new = [w for w in words if len(w) <= 64]
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self[w] = array(self.code, e.ids).tobytes()
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        self.fill(set().union(*split))
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        ids = self.__getitem__
+        return [b"".join(map(ids, t.replace("\n", " ").split(" "))) for t in texts]
 
 
 def words_for(content: str, kind: np.dtype) -> Words:
