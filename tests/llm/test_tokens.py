@@ -1,6 +1,9 @@
+import gc
 import hashlib
 import json
 import random
+import sys
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -153,3 +156,19 @@ def test_plain_words_only_for_steps_that_are_known():
     for w in ("Word,", "ÜBER", "words"):
         assert np.frombuffer(other.encode([w])[0], "<u2").tolist() == library.encode(w, add_special_tokens=False).ids
         assert np.frombuffer(taken.encode([w])[0], "<u2").tolist() == with_token.encode(w, add_special_tokens=False).ids
+
+
+def test_a_known_word_takes_little_memory(bpe):
+    rng = random.Random(6)
+    words = list({"".join(rng.choice("abcdefghij") for _ in range(10)) for _ in range(20_000)})
+    bpe.encode(" ".join(words[:100]))
+    gc.collect()
+    tracemalloc.start()
+    bpe.known = {}
+    bpe.pairs = dict(bpe.pairs)
+    before = tracemalloc.get_traced_memory()[0]
+    bpe.encode(" ".join(words))
+    gc.collect()
+    taken = tracemalloc.get_traced_memory()[0] - before - sys.getsizeof(bpe.pairs)
+    tracemalloc.stop()
+    assert taken / len(words) < 260

@@ -20,9 +20,11 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -40,9 +42,6 @@ PAIRS_KEPT = 1_000_000
 """Bounds of the tables of encoded words and tested pairs in each Python worker."""
 
 
-Piece = tuple[tuple[int, ...], str, bytes]
-
-
 def byte_alphabet() -> dict[str, int]:
     """Characters of byte-level vocabularies: printable Latin-1 as is, the rest from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -78,7 +77,8 @@ class PrefixBpe:
                 b = self.bytes_of[i]
                 self.automaton.add_word(b.decode("latin-1"), (i, len(b)))
         self.automaton.make_automaton()
-        self.known: dict[str, Piece] = {}
+        self.known: dict[str, bytes] = {}  # ids as unsigned 32-bit integers in a row: one small object for each word
+        self.written = {i: str(i) for i in self.bytes_of}
         self.cut = regex.compile(PRETOKEN)
         self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
@@ -133,18 +133,17 @@ class PrefixBpe:
             end -= length[end]
         return tuple(reversed(ids))
 
-    def _piece(self, text: str) -> Piece:
+    def _piece(self, text: str) -> bytes:
         got = self.known.get(text)
         if got is None:
             if SIMPLE(text):
-                ids = self.encode_bytes(text.encode())
+                got = array("I", self.encode_bytes(text.encode())).tobytes()
             else:
                 pretokens = self.cut.findall(text)
                 if len(pretokens) == 1:
-                    ids = self.encode_bytes(text.encode())
+                    got = array("I", self.encode_bytes(text.encode())).tobytes()
                 else:
-                    ids = tuple([i for p in pretokens for i in self._piece(p)[0]])
-            got = ids, ",".join(map(str, ids)), self.decode_bytes(ids)
+                    got = b"".join(map(self._piece, pretokens))
             if len(text) <= 64:
                 if len(self.known) >= WORDS_KEPT:
                     self.known.clear()
@@ -161,22 +160,21 @@ class PrefixBpe:
         first, *rest = text.split(" ")
         return [first, *[" " + r for r in rest]]
 
-    def encode(self, text: str) -> list[Piece]:
-        """Ids, ids as written, and bytes decoded from the ids, of the parts of a whole text."""
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a whole text."""
         whole = self.split_added is None or not any(a in text for a in self.added)
         out = []
         known, piece = self.known, self._piece
         for part in [text] if whole else self.split_added.split(text):
             if part in self.added:
-                i = self.added[part]
-                out.append(((i,), str(i), self.bytes_of[i]))
+                out.append(array("I", [self.added[part]]).tobytes())
             elif part:
                 out += [known.get(p) or piece(p) for p in self.pieces(part) if p]
-        return out
+        return np.frombuffer(b"".join(out), dtype=np.uintc)
 
     def encode_ids(self, text: str) -> list[int]:
-        """Ids of a whole text."""
-        return [i for p in self.encode(text) for i in p[0]]
+        """Ids of a whole text as a list."""
+        return self.encode(text).tolist()
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -213,16 +211,17 @@ def encode_texts(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(sent.value)
         for batch in batches:
-            counts, ids_sha, text_sha, ids = [], [], [], []
+            ids, ids_sha, text_sha = [], [], []
             for value in batch.column("text"):
-                parts = bpe.encode(value.as_py() or "")
-                counts.append(sum([len(p[0]) for p in parts]))
-                ids_sha.append(sha256(",".join([p[1] for p in parts]).encode()))
-                text_sha.append(sha256(b"".join([p[2] for p in parts]).decode("utf-8", "replace").encode()))
-                if with_ids:
-                    ids.append([i for p in parts for i in p[0]])
-            columns = [pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-            columns += [pa.array(ids, pa.list_(pa.int32()))] * with_ids
+                ids.append(bpe.encode(value.as_py() or ""))
+                own = ids[-1].tolist()
+                ids_sha.append(sha256(",".join(map(bpe.written.__getitem__, own)).encode()))
+                text_sha.append(sha256(bpe.decode(own).encode()))
+            counts = np.array([len(x) for x in ids], dtype=np.int64)
+            columns = [pa.array(counts), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            if with_ids:
+                at = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+                columns.append(pa.ListArray.from_arrays(at, pa.array(np.concatenate([*ids, np.zeros(0, np.uintc)]).astype(np.int32))))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(f.name) for f in others), *columns], names=[f.name for f in others] + names
             )
