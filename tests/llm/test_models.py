@@ -145,6 +145,73 @@ def test_state_carries_across_windows():
     assert np.allclose(whole, G.score_units(small, unit, first), atol=1e-3)
 
 
+def test_training_steps_take_live_texts_only():
+    lex = lexicon()
+    model = G.GatedModel(lex, np.random.default_rng(3).normal(0, 0.3, G.GatedModel(lex).size))
+    rng = np.random.default_rng(4)
+    live = np.arange(4)[:, None] < np.array([1, 4, 2])
+    rows, step = [], model.step
+    model.step = lambda x, h, *more: rows.append(len(h)) or step(x, h, *more)
+    given, want, h = rng.integers(0, 24, (4, 3)), rng.integers(0, 24, (4, 3)), rng.normal(size=(3, 5))
+    grad, last, loss = model.train_window(given, want, live, h)
+    assert rows == [3, 2, 1, 1]
+    # Cells beyond a text's end change nothing, and an ended text keeps its state.
+    given[~live], want[~live] = 0, 0
+    again = model.train_window(given, want, live, h)
+    assert np.array_equal(grad, again[0]) and np.array_equal(last, again[1]) and loss == again[2]
+    for i, n in enumerate((1, 4, 2)):
+        alone = model.train_window(given[:n, i : i + 1], want[:n, i : i + 1], live[:n, i : i + 1], h[i : i + 1])
+        assert np.allclose(alone[1][0], last[i])
+
+
+def test_scores_against_plain_arithmetic():
+    lex = lexicon()
+    model = G.GatedModel(lex, np.random.default_rng(6).normal(0, 0.3, G.GatedModel(lex).size).astype(np.float32))
+    p, k = model.p, lex.settings.hidden
+    rng = np.random.default_rng(7)
+    lengths = [3, 1, 40, 7]
+    first = np.concatenate([[0], np.cumsum(lengths)])
+    unit = rng.integers(0, 24, first[-1])
+    want = []
+    for a, b in zip(first, first[1:]):
+        h, before, total = np.zeros(k), 0, 0.0
+        for u in unit[a:b]:
+            x, g = p["wx"][before] + p["b"], h @ p["wh"]
+            z, r = (1 / (1 + np.exp(-(x + g)[i : i + k])) for i in (0, k))
+            h = h + z * (np.tanh(x[2 * k :] + r * g[2 * k :]) - h)
+            c = lex.classes[u]
+            for scores, at in ((h @ p["wc"] + p["bc"], c), (h @ p["wi"][c] + p["bi"][c], lex.places[u])):
+                total += scores[at] - np.log(np.exp(scores).sum())
+            before = u
+        want.append(total)
+    assert np.allclose(G.score_units(model, unit, first), want, rtol=1e-4)
+
+
+def test_words_are_looked_up_as_by_search():
+    rng = np.random.default_rng(8)
+    lex = lexicon()
+    for hashes in (rng.integers(0, 2**64, 5000, dtype=np.uint64), np.arange(40, dtype=np.uint64), np.array([0, 2**64 - 1], dtype=np.uint64), lex.hashes[:1]):
+        of = G.Lexicon(**{**lexicon().__dict__, "hashes": np.unique(hashes)})
+        asked = np.concatenate([hashes, hashes + np.uint64(1), rng.integers(0, 2**64, 500, dtype=np.uint64), np.array([0, 2**64 - 1], dtype=np.uint64)])
+        assert np.array_equal(of.places_of(asked), np.searchsorted(of.hashes, asked))
+    known, unit, group = G.find(lex, G.W.words_of(np.frombuffer(b"Ab ab aB x", np.uint8), np.array([0, 10])))
+    leads = [97 * 256 + 98] * 3 + [120 * 256]
+    assert known.tolist() == [-1] * 4 and group.tolist() == G.group_of(np.array(leads), 4).tolist() and unit.tolist() == (20 + group).tolist()
+
+
+@pytest.mark.parametrize("units", [24, 40_000])
+def test_stretches_as_bytes_are_the_same(units):
+    lex = G.Lexicon(**{**lexicon().__dict__, "classes": np.zeros(units, dtype=np.int64)})
+    rng = np.random.default_rng(9)
+    lists = [rng.integers(0, units, n).astype(np.int32) for n in (*rng.integers(2, 30, 2 * G.STRETCH_ROWS + 7), 1025)]
+    columns = [pa.array(lists, pa.list_(pa.int32())), pa.array(range(len(lists)), pa.int64()), pa.array([0] * len(lists), pa.int32())]
+    batch = pa.RecordBatch.from_arrays(columns, names=["units", "place", "number"])
+    for whole in (batch, batch.slice(5, 1300), batch.slice(0, 0)):
+        got = list(G._as_bytes(lex, [whole]))
+        assert [u.tolist() for b in got for u in G._from_bytes(lex, b.column("units"))] == whole.column("units").to_pylist()
+        assert [x for b in got for x in b.column("place").to_pylist()] == whole.column("place").to_pylist()
+
+
 def test_whole_texts_are_learnt():
     lex = lexicon()
     texts = [" ".join(f"w{i % 37}" for i in range(n)) for n in (0, 1, 31, 32, 33, 700, 5000)]

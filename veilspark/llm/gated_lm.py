@@ -23,8 +23,10 @@ ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,14 @@ from veilspark.llm import words as W
 from veilspark.llm.storage import in_tasks, kept
 
 END = np.uint64(0)
+PIECE_ROWS = 1024
+"""Rows of the softmax that are worked off at once."""
+STRETCH_ROWS = 1000
+"""Stretches of a long text that are handed on at once."""
+BUCKET_BITS = 17
+"""Words are looked up under so many leading bits of their hashes."""
+_LOWER = np.arange(256)
+_LOWER[65:91] += 32
 
 
 @dataclass(frozen=True)
@@ -72,19 +82,49 @@ class Lexicon:
     distinct: int
     settings: Settings = field(default_factory=Settings)
 
+    @cached_property
+    def buckets(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where the hashes of each bucket begin, and all hashes with the highest number behind them."""
+        leading = self.hashes >> np.uint64(64 - BUCKET_BITS)
+        return np.searchsorted(leading, np.arange(1 << BUCKET_BITS, dtype=np.uint64)), np.append(self.hashes, np.uint64(2**64 - 1))
 
-def lead_bytes(w: W.Words) -> np.ndarray:
-    """The first two bytes of each word as a number, letters A-Z lower-cased."""
-    low = w.data.astype(np.int64)
-    low += 32 * ((low >= 65) & (low <= 90))
-    second = np.where(w.end - w.start > 1, low[np.minimum(w.start + 1, max(0, len(low) - 1))], 0) if len(low) else low
-    return low[w.start] * 256 + second
+    @cached_property
+    def lead_groups(self) -> np.ndarray:
+        """The group of each pair of leading bytes."""
+        return group_of(np.arange(1 << 16), self.settings.groups)
+
+    def places_of(self, h: np.ndarray) -> np.ndarray:
+        """As ``searchsorted(self.hashes, h)``, which is slow where both are many; buckets hold a few hashes."""
+        begin, hashes = self.buckets
+        at = begin[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+        open_ = np.flatnonzero(hashes[at] < h)
+        while len(open_):
+            at[open_] += 1
+            open_ = open_[hashes[at[open_]] < h[open_]]
+        return at
+
+
+def lead_bytes(w: W.Words, at: np.ndarray) -> np.ndarray:
+    """The first two bytes of the words at some places as a number, letters A-Z lower-cased."""
+    start = w.start[at]
+    long = w.end[at] - start > 1
+    return _LOWER[w.data[start]] * 256 + np.where(long, _LOWER[w.data[start + long]], 0)
 
 
 def group_of(lead: np.ndarray, groups: int) -> np.ndarray:
     return (W.mix(lead.astype(np.uint64) + np.uint64(1)) % np.uint64(groups)).astype(np.int64)
 
 
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that sorts hashes, where each distinct one begins in it, and the distinct ones. Equal ones stand in any order."""
+    order = np.argsort(h)
+    h = h[order]
+    new = np.ones(len(h), dtype=bool)
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    begin = np.flatnonzero(new)
+    return order, begin, h[begin]
+
+
 def _word_counts(s: Settings, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of a task's words, combined until ``s.counted_words`` rows are held."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -92,8 +132,8 @@ def _word_counts(s: Settings, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
 
     def combined() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h, group, times = (np.concatenate([x[i] for x in held]) for i in range(3))
-        h, first, at = np.unique(h, return_index=True, return_inverse=True)
-        return h, group[first], np.bincount(at, times, len(h)).astype(np.int64)
+        order, begin, h = _distinct(h)
+        return h, group[order[begin]], np.add.reduceat(times[order], begin) if len(h) else times
 
     def rows(h: np.ndarray, group: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(W.as_long(h)), pa.array(group.astype(np.int32)), pa.array(times)], names=["word", "grp", "c"])
@@ -102,8 +142,8 @@ def _word_counts(s: Settings, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
         texts += len(batch)
         for _, _, data, offsets in W.slices(batch.column("text")):
             w = W.words_of(data, offsets)
-            h, first, times = np.unique(w.hash, return_index=True, return_counts=True)
-            held.append((h, group_of(lead_bytes(w)[first], s.groups), times))
+            order, begin, h = _distinct(w.hash)
+            held.append((h, group_of(lead_bytes(w, order[begin]), s.groups), np.diff(begin, append=len(order))))
             size += len(h)
             if size > 2 * s.counted_words:
                 held = [combined()]
@@ -163,13 +203,15 @@ def lexicon(counts: DataFrame, s: Settings) -> Lexicon:
 
 def find(lex: Lexicon, w: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per word: place among the frequent words (-1 if rarer), unit, and group (-1 if a unit)."""
-    s = lex.settings
-    at = np.minimum(np.searchsorted(lex.hashes, w.hash), max(0, len(lex.hashes) - 1))
-    known = lex.hashes[at] == w.hash
-    unit = np.where(known, lex.units[at], -1)
-    group = np.where(unit < 0, group_of(lead_bytes(w), s.groups), -1)
-    words = len(lex.classes) - s.groups
-    return np.where(known, at, -1), np.where(unit < 0, words + group, unit), group
+    at = lex.places_of(w.hash)
+    known = np.append(lex.hashes, END)[at] == w.hash
+    known &= at < len(lex.hashes)
+    unit = np.append(lex.units, -1)[np.where(known, at, len(lex.units))]
+    rare = np.flatnonzero(unit < 0)
+    group = np.full(len(unit), -1)
+    group[rare] = lex.lead_groups[lead_bytes(w, rare)]
+    unit[rare] = len(lex.classes) - lex.settings.groups + group[rare]
+    return np.where(known, at, -1), unit, group
 
 
 def _powers_of(scores: np.ndarray) -> np.ndarray:
@@ -177,9 +219,11 @@ def _powers_of(scores: np.ndarray) -> np.ndarray:
     return np.exp(np.minimum(scores, 60, out=scores), out=scores)
 
 
-def _sum_of_rows(x: np.ndarray) -> np.ndarray:
-    """``x.sum(1)`` of short rows, where a product is many times faster."""
-    return x @ np.ones(x.shape[1], dtype=x.dtype)
+def _with_one(x: np.ndarray) -> np.ndarray:
+    """``x`` and a column of ones, so that products add biases and sum their gradients on the way."""
+    out = np.ones((len(x), x.shape[1] + 1), dtype=x.dtype)
+    out[:, :-1] = x
+    return out
 
 
 class GatedModel:
@@ -189,18 +233,18 @@ class GatedModel:
         s = self.s = lex.settings
         self.lex = lex
         n, h, c, m = len(lex.classes), s.hidden, s.classes, lex.biases[1].shape[1]
-        shapes = {"wx": (n, 3 * h), "wh": (h, 3 * h), "b": (3 * h,), "wc": (h, c), "bc": (c,), "wi": (c, h, m), "bi": (c, m)}
-        self.size = sum(int(np.prod(v)) for v in shapes.values())
+        self.shapes = {"wx": (n, 3 * h), "wh": (h, 3 * h), "b": (3 * h,), "wc": (h, c), "bc": (c,), "wi": (c, h, m), "bi": (c, m)}
+        self.size = sum(math.prod(v) for v in self.shapes.values())
         if vector is None:
             rng = np.random.default_rng(s.seed)
             vector = rng.normal(0, 0.1, self.size).astype(np.float32)
         self.vector = vector
-        at = 0
-        self.p: dict[str, np.ndarray] = {}
-        for name, shape in shapes.items():
-            size = int(np.prod(shape))
-            self.p[name] = vector[at : at + size].reshape(shape)
-            at += size
+        self.p = self._parts(vector)
+
+    def _parts(self, vector: np.ndarray) -> dict[str, np.ndarray]:
+        """The parameters in a vector, or their gradients, by name."""
+        ends = np.cumsum([math.prod(v) for v in self.shapes.values()]).tolist()
+        return {name: vector[b - math.prod(v) : b].reshape(v) for (name, v), b in zip(self.shapes.items(), ends)}
 
     @classmethod
     def started(cls, lex: Lexicon) -> GatedModel:
@@ -214,107 +258,159 @@ class GatedModel:
         model.p["wi"] *= 0.1
         return model
 
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """One step for a batch: new state, and what backpropagation needs. ``x`` are input gates."""
+    def by_gate(self) -> tuple[np.ndarray, np.ndarray]:
+        """Input weights with their biases ``(3 * units, hidden)`` and state weights ``(3, hidden, hidden)``, a gate after the other.
+
+        Arithmetic on whole arrays of a gate is many times faster than on parts of short rows.
+        """
         k = self.s.hidden
-        g = h @ self.p["wh"]
-        gates = 1 / (1 + np.exp(-(x[:, : 2 * k] + g[:, : 2 * k])))
-        z, r = gates[:, :k], gates[:, k:]
-        cand = np.tanh(x[:, 2 * k :] + r * g[:, 2 * k :])
-        return h + z * (cand - h), z, r, cand, g[:, 2 * k :]
+        wx, wh = (np.ascontiguousarray(x.reshape(-1, 3, k).swapaxes(0, 1)) for x in (self.p["wx"] + self.p["b"], self.p["wh"]))
+        return wx.reshape(-1, k), wh
+
+    def inputs(self, wx: np.ndarray, unit: np.ndarray) -> np.ndarray:
+        """Input gates ``(3, units, hidden)`` of units that are read."""
+        return np.take(wx, unit + len(self.lex.classes) * np.arange(3)[:, None], axis=0)
+
+    @staticmethod
+    def step(x: np.ndarray, h: np.ndarray, wh: np.ndarray) -> tuple[np.ndarray, ...]:
+        """One step for a batch: new state, and what backpropagation needs. ``x`` are input gates."""
+        g = h @ wh
+        gates = g[:2]
+        gates += x[:2]
+        np.exp(np.negative(gates, out=gates), out=gates)
+        gates += 1
+        z, r = np.reciprocal(gates, out=gates)
+        cand = r * g[2]
+        cand += x[2]
+        np.tanh(cand, out=cand)
+        new = cand - h
+        new *= z
+        new += h
+        return new, z, r, cand, g[2]
+
+    def softmax_weights(self) -> np.ndarray:
+        """Of each class, weights of the classes and of its units side by side, biases as the last row."""
+        p, k, c = self.p, self.s.hidden, self.s.classes
+        w = np.empty((c, k + 1, c + p["bi"].shape[1]), dtype=self.vector.dtype)
+        w[:, :k, :c], w[:, k, :c], w[:, :k, c:], w[:, k, c:] = p["wc"], p["bc"], p["wi"], p["bi"]
+        return w
 
     def log_probabilities(self, states: np.ndarray, unit: np.ndarray) -> np.ndarray:
         """Natural log of each unit's probability after its state."""
-        lex, p = self.lex, self.p
-        order, edges, cls, place = self._by_class(unit)
-        states = states[order]
-        outer = _powers_of(states @ p["wc"] + p["bc"])
-        at = np.arange(len(unit))
-        logs = np.log(outer[at, cls]) - np.log(_sum_of_rows(outer))
-        for c in range(self.s.classes):
-            a, b = edges[c], edges[c + 1]
-            if a < b:
-                inner = _powers_of(states[a:b] @ p["wi"][c] + p["bi"][c])
-                logs[a:b] += np.log(inner[at[: b - a], place[a:b]]) - np.log(_sum_of_rows(inner))
+        order, edges, place = self._by_class(unit)
+        own, weights, halves = _with_one(states[order]), self.softmax_weights(), self._halves()
+        line = len(halves) * np.arange(min(len(unit), PIECE_ROWS)) + self.s.classes
+        logs = np.empty(len(unit), dtype=own.dtype)
+        for c, a, b in self._pieces(edges):
+            share = _powers_of(own[a:b] @ weights[c])
+            whole = np.log(share @ halves)
+            logs[a:b] = np.log(share[:, c]) + np.log(share.reshape(-1)[line[: b - a] + place[a:b]]) - whole[:, 0] - whole[:, 1]
         out = np.empty_like(logs)
         out[order] = logs
         return out
 
-    def _by_class(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Order of the units by class, where classes begin in it, and class and place in that order."""
-        order = np.argsort(self.lex.classes[unit].astype(np.int16), kind="stable")
-        cls, place = self.lex.classes[unit[order]], self.lex.places[unit[order]]
-        return order, np.searchsorted(cls, np.arange(self.s.classes + 1)), cls, place
+    def _by_class(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Order of the units by class, where classes begin in it, and places in that order."""
+        cls = self.lex.classes[unit].astype(np.int16)
+        order = np.argsort(cls, kind="stable")
+        edges = np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=self.s.classes))])
+        return order, edges, self.lex.places[unit[order]]
+
+    def _pieces(self, edges: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Class, begin and end of runs of rows of one class, short enough to stay in a processor's cache."""
+        for c, (a, b) in enumerate(zip(edges.tolist(), edges[1:].tolist())):
+            for at in range(a, b, PIECE_ROWS):
+                yield c, at, min(b, at + PIECE_ROWS)
+
+    def _halves(self) -> np.ndarray:
+        """Which of the columns of ``softmax_weights`` are classes, and which units."""
+        is_class = np.arange(self.s.classes + self.lex.biases[1].shape[1]) < self.s.classes
+        return np.stack([is_class, ~is_class], 1).astype(self.vector.dtype)
 
     def train_window(self, given: np.ndarray, want: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """Gradient of a window ``(time, texts)``, the last state, and the loss; the state is not differentiated beyond."""
-        p, k, kind = self.p, self.s.hidden, self.vector.dtype
-        time, texts = given.shape
-        inputs = p["wx"][given] + p["b"]
+        """Gradient of a window ``(time, texts)``, the last state, and the loss; the state is not differentiated beyond.
+
+        A text is live until it ends.
+        """
+        k, classes, kind = self.s.hidden, self.s.classes, self.vector.dtype
+        # The longest first: the live texts of a step are its first, and live cells stand one after another.
+        longest = np.argsort(-live.sum(0), kind="stable")
+        given, want, live = (x[:, longest] for x in (given, want, live))
+        edge = np.concatenate([[0], np.cumsum(live.sum(1))]).tolist()
+        cells = edge[-1]
+        n = max(1, cells)
+        given, want = given[live], want[live]
+        wx, wh = self.by_gate()
+        x = self.inputs(wx, given)
+        before, after = (np.empty((cells, k), dtype=kind) for _ in range(2))
         steps = []
-        # States before each step, and after the last one.
-        states = np.empty((time + 1, texts, k), dtype=kind)
-        states[0] = h
-        ended = not live.all()
-        for t in range(time):
-            h, *kept_for_later = self.step(inputs[t], states[t])
-            states[t + 1] = np.where(live[t][:, None], h, states[t]) if ended else h
+        last = h[longest].astype(kind)
+        for a, b in zip(edge, edge[1:]):
+            before[a:b] = last[: b - a]
+            new, *kept_for_later = self.step(x[:, a:b], before[a:b], wh)
+            after[a:b] = last[: b - a] = new
             steps.append(kept_for_later)
-        n = max(1, int(live.sum()))
-        rows = np.flatnonzero(live.reshape(-1))
-        order, edges, cls, place = self._by_class(want.reshape(-1)[rows])
-        rows = rows[order]
-        own = states[1:].reshape(-1, k)[rows]
-        at = np.arange(len(rows))
-        grad = GatedModel(self.lex, np.zeros_like(self.vector))
-
-        def softmax(scores: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, float]:
-            """Derivative of the mean loss by the scores, and the summed loss."""
-            share = _powers_of(scores)
-            whole = _sum_of_rows(share)
-            lines = at[: len(share)]
-            loss = np.log(whole).sum() - np.log(share[lines, chosen]).sum()
-            share *= (1 / (n * whole)).astype(kind)[:, None]
-            share[lines, chosen] -= kind.type(1 / n)
-            return share, float(loss)
-
-        outer, loss = softmax(own @ p["wc"] + p["bc"], cls)
-        grad.p["wc"][:], grad.p["bc"][:] = own.T @ outer, outer.sum(0)
-        ds = outer @ p["wc"].T
-        for c in range(self.s.classes):
-            a, b = edges[c], edges[c + 1]
-            if a < b:
-                inner, more = softmax(own[a:b] @ p["wi"][c] + p["bi"][c], place[a:b])
-                loss += more
-                grad.p["wi"][c], grad.p["bi"][c] = own[a:b].T @ inner, inner.sum(0)
-                ds[a:b] += inner @ p["wi"][c].T
-        dstates = np.zeros((time * texts, k), dtype=kind)
-        dstates[rows] = ds
-        dstates = dstates.reshape(time, texts, k)
-        dh = np.zeros((texts, k), dtype=kind)
-        dxs, dgs = (np.empty((time, texts, 3 * k), dtype=kind) for _ in range(2))
-        back = p["wh"].T.copy()
-        for t in range(time - 1, -1, -1):
+        order, edges, place = self._by_class(want)
+        own, weights, halves = _with_one(after[order]), self.softmax_weights(), self._halves()
+        grads = np.zeros_like(weights)
+        ds = np.empty((cells, k), dtype=kind)
+        whole, share_of = np.empty((cells, 2), dtype=kind), np.empty((2, cells), dtype=kind)
+        line = len(halves) * np.arange(min(cells, PIECE_ROWS)) + classes
+        part, back = kind.type(1 / n), np.ascontiguousarray(weights[:, :k].swapaxes(1, 2))
+        for c, a, b in self._pieces(edges):
+            # Derivative of the mean loss by the scores of the classes and of the class's units.
+            share = _powers_of(own[a:b] @ weights[c])
+            own_class, flat, chosen = share[:, c], share.reshape(-1), line[: b - a] + place[a:b]
+            share_of[0, a:b], share_of[1, a:b] = own_class, flat[chosen]
+            np.matmul(share, halves, out=whole[a:b])
+            share *= (part / whole[a:b]) @ halves.T
+            own_class -= part
+            flat[chosen] -= part
+            grads[c] += own[a:b].T @ share
+            np.matmul(share, back[c], out=ds[a:b])
+        loss = float(np.log(whole).sum() - np.log(share_of).sum())
+        dafter = np.empty((cells, k), dtype=kind)
+        dafter[order] = ds
+        # By what the state adds to the three gates, and by the last input gate; by the other input gates it is the same.
+        dx = np.empty((4, cells, k), dtype=kind)
+        dwh = np.zeros_like(wh)
+        back = np.ascontiguousarray(wh.swapaxes(1, 2))
+        dh = np.zeros((0, k), dtype=kind)
+        for t in range(len(steps) - 1, -1, -1):
+            a, b = edge[t], edge[t + 1]
             z, r, cand, g = steps[t]
-            d = dh + dstates[t]
-            if ended:
-                d *= live[t][:, None]
+            d = dafter[a:b]
+            d[: len(dh)] += dh
             dz = d * z
-            dcand = dz * (1 - cand * cand)
-            dxs[t, :, :k] = dz * (1 - z) * (cand - states[t])
-            dxs[t, :, k : 2 * k] = dcand * g * r * (1 - r)
-            dxs[t, :, 2 * k :] = dcand
-            dgs[t, :, : 2 * k] = dxs[t, :, : 2 * k]
-            dgs[t, :, 2 * k :] = dcand * r
-            new = d - dz + dgs[t] @ back
-            dh = np.where(live[t][:, None], new, dh) if ended else new
-        grad.p["wh"][:] = states[:-1].reshape(-1, k).T @ dgs.reshape(-1, 3 * k)
-        flat = dxs.reshape(-1, 3 * k)
-        grad.p["b"][:] = flat.sum(0)
-        by = np.argsort(given.reshape(-1).astype(np.int16), kind="stable")
-        seen, first = np.unique(given.reshape(-1)[by], return_index=True)
-        grad.p["wx"][seen] = np.add.reduceat(flat[by], first)
-        return grad.vector, states[-1], loss
+            dgate, dreset, dg, dcand = dx[:, a:b]
+            np.multiply(cand, cand, out=dcand)
+            np.subtract(1, dcand, out=dcand)
+            dcand *= dz
+            np.multiply(dcand, r, out=dg)
+            np.subtract(1, r, out=dreset)
+            dreset *= g
+            dreset *= dg
+            np.subtract(cand, before[a:b], out=dgate)
+            dgate *= dz
+            d -= dz
+            dgate *= np.subtract(1, z, out=dz)
+            dwh += before[a:b].T @ dx[:3, a:b]
+            dh = d
+            for by_state in dx[:3, a:b] @ back:
+                dh += by_state
+        grad = np.zeros_like(self.vector)
+        p = self._parts(grad)
+        total = grads.sum(0)
+        p["wc"][:], p["bc"][:], p["wi"][:], p["bi"][:] = total[:k, :classes], total[k, :classes], grads[:, :k, classes:], grads[:, k, classes:]
+        at = (given[:, None] * k + np.arange(k)).reshape(-1)
+        for i, by_input in enumerate((dx[0], dx[1], dx[3])):
+            by_unit = np.zeros(len(self.lex.classes) * k, dtype=kind)
+            np.add.at(by_unit, at, by_input.reshape(-1))
+            p["wx"][:, i * k : (i + 1) * k] = by_unit.reshape(-1, k)
+        p["wh"][:], p["b"][:] = dwh.swapaxes(0, 1).reshape(k, -1), p["wx"].sum(0)
+        state = np.empty_like(last)
+        state[longest] = last
+        return grad, state, loss
 
 
 class Trainer:
@@ -322,7 +418,7 @@ class Trainer:
 
     def __init__(self, model: GatedModel, rate: float):
         self.model, self.rate = model, rate
-        self.m, self.v = np.zeros_like(model.vector), np.zeros_like(model.vector)
+        self.m, self.v, self.work = (np.zeros_like(model.vector) for _ in range(3))
         self.step = self.tokens = 0
 
     def read(self, stretches: list[np.ndarray]) -> None:
@@ -348,12 +444,21 @@ class Trainer:
 
     def _move(self, grad: np.ndarray) -> None:
         self.step += 1
-        grad *= min(1.0, 1.0 / (float(np.sqrt((grad * grad).sum())) + 1e-9))
-        self.m += 0.1 * (grad - self.m)
-        self.v += 0.01 * (grad * grad - self.v)
+        work = np.multiply(grad, grad, out=self.work)
+        grad *= min(1.0, 1.0 / (float(np.sqrt(work.sum())) + 1e-9))
+        np.subtract(grad, self.m, out=work)
+        work *= 0.1
+        self.m += work
+        np.multiply(grad, grad, out=work)
+        work -= self.v
+        work *= 0.01
+        self.v += work
         rate = self.rate / (1 + self.step / 200)
-        scale = np.sqrt(self.v / (1 - 0.99**self.step)) + 1e-6
-        self.model.vector -= (rate * (self.m / (1 - 0.9**self.step)) / scale).astype(np.float32)
+        np.sqrt(np.multiply(self.v, 1 / (1 - 0.99**self.step), out=work), out=work)
+        work += 1e-6
+        np.divide(self.m, work, out=work)
+        work *= rate / (1 - 0.9**self.step)
+        self.model.vector -= work
 
 
 def score_units(model: GatedModel, unit: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -365,23 +470,27 @@ def score_units(model: GatedModel, unit: np.ndarray, first: np.ndarray) -> np.nd
     lengths = np.diff(first)
     order = np.argsort(-lengths, kind="stable")
     out = np.zeros(len(lengths))
-    size = lengths[order]
+    size, begin = lengths[order], first[order]
     h = np.zeros((len(order), s.hidden), dtype=np.float32)
-    before = np.full(len(order), end)
+    wx, wh = model.by_gate()
     t = 0
     while len(size) and t < size[0]:
         alive = int((size > t).sum())
         to = int(min(size[0], t + max(1, s.score_tokens // alive)))
-        states, units, owner = [], [], []
-        for i in range(t, to):
-            live = int(np.searchsorted(-size, -i, side="left"))
-            h = model.step(model.p["wx"][before[:live]] + model.p["b"], h[:live])[0]
-            before = unit[first[order[:live]] + i]
-            states.append(h)
-            units.append(before)
-            owner.append(order[:live])
-        logs = model.log_probabilities(np.concatenate(states), np.concatenate(units))
-        out += np.bincount(np.concatenate(owner), logs, len(out))
+        # The texts that live at each time are the first ones; their tokens stand one after another.
+        live = np.searchsorted(-size, -np.arange(t, to), side="left")
+        edge = np.concatenate([[0], np.cumsum(live)])
+        text = np.arange(edge[-1]) - np.repeat(edge[:-1], live)
+        at = begin[text] + np.repeat(np.arange(t, to), live)
+        before = unit[at - 1]
+        if t == 0:
+            before[: live[0]] = end
+        states = np.empty((len(at), s.hidden), dtype=np.float32)
+        limits = edge.tolist()
+        x = model.inputs(wx, before)
+        for a, b in zip(limits, limits[1:]):
+            h = states[a:b] = model.step(x[:, a:b], h[: b - a], wh)[0]
+        out += np.bincount(order[text], model.log_probabilities(states, unit[at]), len(out))
         t = to
     return out
 
@@ -408,12 +517,34 @@ def _stretches(lex: Lexicon, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
             )
 
 
+def _unit_type(lex: Lexicon) -> type:
+    return np.int16 if len(lex.classes) <= 1 << 15 else np.int32
+
+
+def _as_bytes(lex: Lexicon, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Units of a stretch as bytes, which Spark moves as one value and not one by one."""
+    kind = _unit_type(lex)
+    for whole in batches:
+        for i in range(0, len(whole), STRETCH_ROWS):
+            batch = whole.slice(i, STRETCH_ROWS)
+            column = batch.column("units")
+            at = column.offsets.to_numpy()
+            values = column.values.to_numpy()[at[0] : at[-1]].astype(kind)
+            edges = ((at - at[0]) * values.itemsize).astype(np.int32)
+            units = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(edges), pa.py_buffer(values)])
+            yield pa.RecordBatch.from_arrays([units, batch.column("place"), batch.column("number")], names=["units", "place", "number"])
+
+
+def _from_bytes(lex: Lexicon, column: pa.BinaryArray) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), _unit_type(lex)) for x in column]
+
+
 def fit(docs: DataFrame, lex: Lexicon) -> np.ndarray:
     """Train on the whole of every text of ``docs``; the weights."""
     s, context = lex.settings, docs.sparkSession.sparkContext
     sent = context.broadcast(lex)
     placed = docs.select("text", F.xxhash64("doc_id", "text").alias("place"))
-    stretches = in_tasks(placed, lambda it: _stretches(sent.value, it), "units array<int>, place long, number int")
+    stretches = in_tasks(placed, lambda it: _as_bytes(sent.value, _stretches(sent.value, it)), "units binary, place long, number int")
     # The stretches of a long text go to many tasks.
     keys = ["place", "number"]
     stretches = kept(stretches.repartition(*keys).sortWithinPartitions(*keys).select("units"), "lm-stretches")
@@ -425,9 +556,7 @@ def fit(docs: DataFrame, lex: Lexicon) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             trainer = Trainer(GatedModel(sent.value, weights.value.copy()), rate)
             for batch in batches:
-                column = batch.column("units")
-                at, values = column.offsets.to_numpy(), column.values.to_numpy()
-                trainer.read([values[a:b] for a, b in zip(at, at[1:]) if b - a > 1])
+                trainer.read(_from_bytes(sent.value, batch.column("units")))
             if trainer.tokens:
                 share = trainer.model.vector.astype(np.float64) * trainer.tokens
                 yield pa.RecordBatch.from_arrays([pa.array([trainer.tokens]), pa.array([share], pa.list_(pa.float64()))], names=["tokens", "weights"])
@@ -485,7 +614,8 @@ def _scores(lex: Lexicon, vector: np.ndarray, batches: Iterator[pa.RecordBatch])
             listed = outside & known
             in_group += np.bincount(text[listed], logs[place[listed]], n)
             t, h = text[~known], w.hash[~known]
-            order = np.lexsort((h, t))
+            order = np.argsort(h)
+            order = order[np.argsort(t[order].astype(np.int16 if n < 1 << 15 else np.int64), kind="stable")]
             t, h = t[order], h[order]
             new = np.ones(len(t), dtype=bool)
             new[1:] = (t[1:] != t[:-1]) | (h[1:] != h[:-1])
