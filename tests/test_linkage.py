@@ -309,3 +309,36 @@ def test_extreme_numbers_link_the_same_both_ways(spark, way, min_score):
     found = linkage_risk(a, o, ["b", "n", "x"], "b", min_score).first()[0]
     plain = [[(b, n, None if x is not None and math.isnan(x) else x) for b, n, x in rows] for rows in (protected, originals)]
     assert found == pytest.approx(reference_rl(*plain, min_score), abs=1e-9)
+
+
+@pytest.mark.parametrize("block, min_score", [("b", 2.5), ("k", 3), (None, 2.5)])
+def test_pairs_of_repeated_rows(spark, way, block, min_score):
+    """Rows that are equal in all fields, nulls included, are compared once and all named."""
+    rng = random.Random(5)
+    few = random_rows(rng, 12)
+    protected, original = ([rng.choice(few) for _ in range(60)] for _ in range(2))
+    schema = f"{RANDOM_SCHEMA}, id int"
+    sides = [spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], schema) for rows in (protected, original)]
+    where = None if block is None else "btidk".index(block)
+    found = linked_pairs(*sides, list("btidk"), ["id"], block, min_score, indexer="full" if block is None else "block")
+    assert sorted((r[0], r[1]) for r in found.collect()) == sorted(brute(protected, original, NUMERIC, where, min_score))
+
+
+def test_equal_rows_are_compared_once(spark, monkeypatch):
+    seen = []
+    pairs = linkage._all_pairs
+    monkeypatch.setattr(linkage, "_all_pairs", lambda left, right, *a: (seen.extend((left.count(), right.count())), pairs(left, right, *a))[1])
+    rows = spark.createDataFrame([("A", "x", 30, 5, i) for i in range(40)], SCHEMA)
+    assert linked_pairs(rows, rows, FIELDS, ["id"], "city", 3).count() == 1600
+    assert seen == [1, 1]
+
+
+def test_keys_are_never_broadcast(spark, part, way):
+    """A side that unfolds into keys is far larger than the files that Spark judges it by."""
+    protected = part.withColumn("p_retailprice", F.round("p_retailprice"))
+    fields = ["p_brand", "p_type", "p_size", "p_retailprice"]
+    for found in (linked_pairs(protected, part, fields, ["p_partkey"], "p_size", 3), linkage_risk(protected, part, fields, "p_size", 3)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+        assert "SortMergeJoin" in plan
+        assert not [j for j in joins if "key" in j or "class" in j or "l_f" in j]

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.expressions import numeric_similarity, text_similarity
-from veilspark.functions.relations import ratio, staged
+from veilspark.functions.relations import ratio, shuffled, staged
 from veilspark.operators.equivalence import choose_block
 from veilspark.operators.near_text import long_text_columns, near_text_pairs
 from veilspark.operators.schema import align_types, column_class
@@ -445,7 +445,7 @@ def _pairs_by_block(
     """Linked pairs of small blocks: all pairs of a block are compared."""
     b = _block_position(rule)
     a, o = _sided(left, rule, "l", left_cols), _sided(right, rule, "r", right_cols)
-    met = a.join(o, F.col(f"l_f{b}") == F.col(f"r_f{b}"))
+    met = a.join(shuffled(o), F.col(f"l_f{b}") == F.col(f"r_f{b}"))
     return _linked(met.select("*", *_similarities(rule)), rule)
 
 
@@ -523,10 +523,11 @@ def _pairs_by_keys(
         left, right = (d.where(F.col(f"f{b}").isNotNull()) for d in (left, right))
     a, o, levels = _keyed_sides(left, right, rule, cover, left_cols, right_cols, near)
     marks = [f"x{i}" for i in range(levels)]
-    met = _sided(a, rule, "l", left_cols, "n", "key", *marks).join(_sided(o, rule, "r", right_cols, "key"), "key")
+    a, o = _sided(a, rule, "l", left_cols, "n", "key", *marks), _sided(o, rule, "r", right_cols, F.col("key").alias("r_key"))
+    same = F.col("key") == F.col("r_key")
     if b is not None:
-        met = met.where(F.col(f"l_f{b}") == F.col(f"r_f{b}"))
-    scored = met.select("*", *_similarities(rule))
+        same = same & (F.col(f"l_f{b}") == F.col(f"r_f{b}"))
+    scored = a.join(shuffled(o), same).select("*", *_similarities(rule))
 
     def satisfied(fields: Sequence[int], equal: bool = False) -> str:
         return " AND ".join(f"s{i} > {1.0 - _EPS if equal and rule.fields[i].numeric else 0.0!r}D" for i in fields)
@@ -619,12 +620,12 @@ def unresolved_rows(
     keys = [f"f{i}" for i in range(len(rule.fields))] + ["p", "w"]
     settled = (
         left.select(*keys, F.explode(_enough_keys(rule, enough)).alias("key"))
-        .join(crowded, "key", "left_semi")
+        .join(shuffled(crowded), "key", "left_semi")
         .select(*keys)
         .distinct()
     )
     on = [left[k].eqNullSafe(settled[k]) for k in keys[:-1]]
-    return left.join(settled, on, "left_anti")
+    return left.join(shuffled(settled), on, "left_anti")
 
 
 def _alone(left: DataFrame, right: DataFrame, rule: LinkageRule, blocks: tuple, near: dict[int, DataFrame]) -> DataFrame:
@@ -720,10 +721,17 @@ def linked_pairs(
         block = block or fields[0]
         rule = linkage_rule(protected, original, fields, block, min_score, score, "block", scale)
     else:
-        blocks = _crowded_blocks(right, rule)
-        near = _near_tables(left, right, rule, cover) if blocks[1] else {}
-    carried = [*ids, "p"]
-    pairs = _all_pairs(left, right, rule, blocks, near, carried, carried, False)
+        blocks = None
+    # Rows that are equal in all fields have the same pairs: one of them is compared, then all are named.
+    (a, left), (o, right) = _classes(left, rule, "protected"), _classes(right, rule, "original")
+    if blocks is None:
+        blocks = _crowded_blocks(o, rule)
+        near = _near_tables(a, o, rule, cover) if blocks[1] else {}
+    pairs = _all_pairs(a, o, rule, blocks, near, ["class", "p"], ["class", "p"], False)
+    pairs = pairs.select("l_class", "r_class", "similarity", "score")
+    for side, members in (("l", left), ("r", right)):
+        named = members.select(F.col("class").alias(f"{side}_class"), *[F.col(i).alias(f"{side}_{i}") for i in ids])
+        pairs = pairs.join(shuffled(named), f"{side}_class")
     return pairs.select(
         *[F.col(f"l_{i}").alias(f"{c}_protected") for i, c in zip(ids, id_cols)],
         *[F.col(f"r_{i}").alias(f"{c}_original") for i, c in zip(ids, id_cols)],
@@ -732,6 +740,18 @@ def linked_pairs(
     )
 
 
+def _classes(rows: DataFrame, rule: LinkageRule, label: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct comparable rows numbered as ``class``, and all rows with the number of theirs.
+
+    The numbers depend on partitioning, so they are written once and read back.
+    """
+    values = [*[f"f{i}" for i in range(len(rule.fields))], "p"]
+    classes = staged(rows.select(*values).distinct().withColumn("class", F.monotonically_increasing_id()), f"classes-{label}")
+    named = classes.select(*[F.col(v).alias(f"own_{v}") for v in values], "class")
+    same = [F.col(v).eqNullSafe(F.col(f"own_{v}")) for v in values]
+    return classes, rows.join(shuffled(named), same).drop(*named.columns[:-1])
+
+
 def _prepare(protected, original, fields, block, min_score, score, indexer, id_cols, scale):
     keep = [*[c for c in id_cols if c not in fields], *fields]
     left, right = protected.select(*keep), original.select(*keep)
