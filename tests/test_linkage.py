@@ -342,3 +342,25 @@ def test_keys_are_never_broadcast(spark, part, way):
         joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
         assert "SortMergeJoin" in plan
         assert not [j for j in joins if "key" in j or "class" in j or "l_f" in j]
+
+
+def test_joins_test_a_short_bound(spark, part, way):
+    """What decides on most pairs stands in the join, and the long rest does not: it was too long to be compiled."""
+    protected = part.withColumn("p_retailprice", F.round("p_retailprice"))
+    found = linkage_risk(protected, part, ["p_brand", "p_type", "p_size", "p_retailprice"], "p_size", 3)
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line and "r_f1" in line]
+    assert joins and all("octet_length" in j and "levenshtein" not in j and "round" not in j for j in joins)
+
+
+def test_bound_keeps_what_links(spark, way):
+    """Scores at the threshold, distances beyond 64 bits and infinite numbers."""
+    top = 2**63 - 1
+    rows = [("A", "thirteen long", top, 0.1 + 0.2), ("A", "thirteen l0ng", -top, 0.3), ("A", "", top - 1, float("inf")), ("A", None, None, None)]
+    sides = [spark.createDataFrame(x, "b string, t string, i bigint, d double") for x in (rows, rows[::-1])]
+    def similar(l, r):
+        text = l[1] is not None and r[1] is not None and l[1] != "" and (l[1] == r[1] or {l[1], r[1]} == {rows[0][1], rows[1][1]})
+        near = lambda x, y: 0.0 if x is None or y is None or math.inf in (x, y) else max(0.0, 1 - abs(x - y) / 2)
+        return round(1 + text + near(l[2], r[2]) + near(l[3], r[3]), 9)
+    for least in (1.5, 2, 3, 4):
+        links = [sum(similar(l, r) > 1 and similar(l, r) >= least for r in rows) for l in rows]
+        assert linkage_risk(*sides, list("btid"), "b", least).first()[0] == pytest.approx(100 * links.count(1) / len(rows))

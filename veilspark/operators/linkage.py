@@ -402,6 +402,30 @@ def _sided(df: DataFrame, rule: LinkageRule, side: str, carried: Sequence[str],
     return df.select(*keep, *[F.col(c).alias(f"{side}_{c}") for c in names])
 
 
+def _reachable(rule: LinkageRule) -> Column:
+    """The similarities can still add up to a link; texts of ten bytes and more count as similar.
+
+    Short enough to be compiled into the join, so most pairs that meet are dropped before a
+    row is made of them.
+    """
+    b, parts = _block_position(rule), []
+    for i, f in enumerate(rule.fields):
+        left, right = f"l_f{i}", f"r_f{i}"
+        if i == b:
+            parts.append("1D")
+        elif f.numeric:
+            apart = f"CAST(try_subtract({left}, {right}) AS DOUBLE)" if f.integer else f"({left} - {right})"
+            parts.append(f"coalesce(greatest(0D, 1D - abs({apart}) / {2.0 * f.scale!r}D), 0D)")
+        else:
+            parts.append(f"if({left} = {right} OR octet_length({left}) >= 10 OR octet_length({right}) >= 10, 1D, 0D)")
+    return F.expr(f"{' + '.join(parts)} >= {_needed(rule) - _EPS!r}D")
+
+
+def _needed(rule: LinkageRule) -> float:
+    """Sum of similarities below which no pair links."""
+    return 1.0 if rule.indexed else max(rule.min_score, 1.0)
+
+
 def _similarities(rule: LinkageRule) -> list[Column]:
     """Similarity of every field of a met pair.
 
@@ -422,8 +446,7 @@ def _similarities(rule: LinkageRule) -> list[Column]:
         for i in texts
     ]
     reachable = reduce(lambda x, y: x + y, [*cheap.values(), *bounds])
-    needed = 1.0 if rule.indexed else max(rule.min_score, 1.0)
-    worth = reachable >= F.lit(needed - _EPS)
+    worth = reachable >= F.lit(_needed(rule) - _EPS)
     for i in range(len(rule.fields)):
         sims.append(
             cheap[i] if i in cheap else text_similarity(F.col(f"l_f{i}"), F.col(f"r_f{i}"), worth=worth)
@@ -431,6 +454,15 @@ def _similarities(rule: LinkageRule) -> list[Column]:
     return [c.alias(f"s{i}") for i, c in enumerate(sims)]
 
 
+def _scored(met: DataFrame, rule: LinkageRule) -> DataFrame:
+    """Pairs with their similarities ``s0, s1, ...``.
+
+    They are generated, not projected: what is asked of them then stays out of the join's condition,
+    which would become too long to be compiled.
+    """
+    return met.select("*", F.inline(F.array(F.struct(*_similarities(rule)))))
+
+
 def _linked(met: DataFrame, rule: LinkageRule) -> DataFrame:
     """Scored pairs that link, of pairs with their similarities ``s0, s1, ...``."""
     total = F.expr(f"round({' + '.join(f's{i}' for i in range(len(rule.fields)))}, 9)")
@@ -445,8 +477,8 @@ def _pairs_by_block(
     """Linked pairs of small blocks: all pairs of a block are compared."""
     b = _block_position(rule)
     a, o = _sided(left, rule, "l", left_cols), _sided(right, rule, "r", right_cols)
-    met = a.join(shuffled(o), F.col(f"l_f{b}") == F.col(f"r_f{b}"))
-    return _linked(met.select("*", *_similarities(rule)), rule)
+    met = a.join(shuffled(o), (F.col(f"l_f{b}") == F.col(f"r_f{b}")) & _reachable(rule))
+    return _linked(_scored(met, rule), rule)
 
 
 def _group_keys(rule: LinkageRule, group: Sequence[int], equal: bool, left: bool, near: Sequence[int]) -> str:
@@ -527,7 +559,7 @@ def _pairs_by_keys(
     same = F.col("key") == F.col("r_key")
     if b is not None:
         same = same & (F.col(f"l_f{b}") == F.col(f"r_f{b}"))
-    scored = a.join(shuffled(o), same).select("*", *_similarities(rule))
+    scored = _scored(a.join(shuffled(o), same & _reachable(rule)), rule)
 
     def satisfied(fields: Sequence[int], equal: bool = False) -> str:
         return " AND ".join(f"s{i} > {1.0 - _EPS if equal and rule.fields[i].numeric else 0.0!r}D" for i in fields)
