@@ -364,3 +364,15 @@ def test_bound_keeps_what_links(spark, way):
     for least in (1.5, 2, 3, 4):
         links = [sum(similar(l, r) > 1 and similar(l, r) >= least for r in rows) for l in rows]
         assert linkage_risk(*sides, list("btid"), "b", least).first()[0] == pytest.approx(100 * links.count(1) / len(rows))
+
+
+def test_near_texts_meet_within_their_block(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("ab") for _ in range(rng.choice([9, 10, 12, 21, 31]))) for _ in range(60)]
+    words += [w[:3] + "x" + w[4:] for w in words]
+    sides = [sorted({(rng.choice("PQR"), w) for w in rng.sample(words, 80)}) for _ in range(2)]
+    frames = [spark.createDataFrame(rows, "f0 string, f1 string") for rows in sides]
+    found = near_text_pairs(*frames, "f1", 31, "f0")
+    expected = sorted((b, v, w) for b, v in sides[0] for c, w in sides[1] if b == c and v != w and similarity(v, w, False))
+    assert expected and sorted(map(tuple, found.collect())) == expected
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()

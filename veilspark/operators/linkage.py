@@ -386,8 +386,11 @@ def _cover_rows(
             # Replace the value by itself and by each similar value in turn.
             own[i] = f"own_{i}"
             kept = rows.withColumn(own[i], F.col(f"f{i}"))
-            others = kept.join(near[i], F.col(own[i]) == F.col("lv"))
-            others = others.withColumn(f"f{i}", F.col("rv")).drop("lv", "rv")
+            same = F.col(own[i]) == F.col("lv")
+            if "block" in near[i].columns:
+                same = same & (F.col(f"f{_block_position(rule)}") == F.col("block"))
+            others = kept.join(shuffled(near[i]), same)
+            others = others.withColumn(f"f{i}", F.col("rv")).drop("lv", "rv", "block")
             rows = kept.unionByName(others)
         filed = F.explode(F.expr(f"flatten(array_compact(array({', '.join(keys)})))"))
         restored = [F.col(own.get(i, v)).alias(v) for i, v in enumerate(values)]
@@ -618,14 +621,18 @@ def _all_pairs(
 def _near_tables(
     left: DataFrame, right: DataFrame, rule: LinkageRule, cover: Sequence[KeySet]
 ) -> dict[int, DataFrame]:
-    """Similar but unequal values of the long text fields that occur in keys."""
+    """Similar but unequal values, within a block, of the long text fields that occur in keys."""
+    b = _block_position(rule)
+    block = [] if b is None else [f"f{b}"]
+    if block:
+        left, right = (side.where(F.col(block[0]).isNotNull()) for side in (left, right))
     used = {i for s in cover for i in s.fields if not rule.fields[i].numeric}
     long = long_text_columns(left, right, [f"f{i}" for i in sorted(used)])
     found = {}
     for c, longest in long.items():
-        values = [side.select(c).distinct() for side in (left, right)]
+        values = [side.select(c, *block).distinct() for side in (left, right)]
         # Several key sets join this table, so it is written once.
-        pairs = staged(near_text_pairs(*values, c, longest), "near")
+        pairs = staged(near_text_pairs(*values, c, longest, *block), "near")
         if not pairs.isEmpty():
             found[int(c[1:])] = pairs
     return found

@@ -17,33 +17,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.functions.relations import shuffled
+
 # Fixed value: one edit in ten characters keeps the similarity at 0.9.
 CHARACTERS_PER_EDIT = 10
 DELETION_EDITS = 2
 
 
-def near_text_pairs(left: DataFrame, right: DataFrame, col: str, longest: int) -> DataFrame:
+def near_text_pairs(left: DataFrame, right: DataFrame, col: str, longest: int, block: str | None = None) -> DataFrame:
     """Distinct pairs ``(lv, rv)``, ``lv != rv``, of values of ``col`` that are similar.
 
     Both inputs hold the column once per distinct value; ``longest`` bounds the length of
-    all values.
+    all values. With ``block`` they hold it once per value and block, and only values of one
+    block meet: ``(block, lv, rv)``.
     """
     edits = longest // CHARACTERS_PER_EDIT
     # A value unfolds into many keys, so a few bytes of values are a lot of work: a fixed
     # number of partitions keeps adaptive execution from merging them by size. (Hashing
     # the hash asks for a partitioning that distinct has not left already.)
     parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = [] if block is None else [F.col(block).alias("block")]
     lv, rv = (
-        _levels(side.select(F.col(col).alias("v")).repartition(parts, F.xxhash64("v")), edits)
+        _levels(side.select(F.col(col).alias("v"), *own).repartition(parts, F.xxhash64("v")), edits)
         for side in (left, right)
     )
     pairs = _meet(_deletion_keys(lv), _deletion_keys(rv))
     if edits > DELETION_EDITS:
         pairs = pairs.unionByName(_meet(_probe_keys(lv), _piece_keys(rv)))
-    distance = F.levenshtein("lv", "rv")
+    # A distance beyond the edits that the longest value allows is -1.
+    distance = F.levenshtein("lv", "rv", edits)
     size = F.greatest(F.length("lv"), F.length("rv")).cast("double")
     # Verified before duplicates are dropped: most pairs that meet are not similar.
-    similar = pairs.where(F.col("lv") != F.col("rv")).where(1.0 - distance / size >= 0.9)
+    similar = pairs.where(F.col("lv") != F.col("rv")).where((distance >= 0) & (1.0 - distance / size >= 0.9))
     return similar.distinct()
 
 
@@ -70,7 +75,7 @@ def _levels(values: DataFrame, most: int) -> DataFrame:
     high = F.least((size / (CHARACTERS_PER_EDIT - 1)).cast("int"), F.lit(most))
     return (
         values.where(F.col("v").isNotNull() & (size >= CHARACTERS_PER_EDIT - 1))
-        .select("v", size.alias("size"), F.explode(F.sequence(low, F.greatest(low, high))).alias("k"))
+        .select("*", size.alias("size"), F.explode(F.sequence(low, F.greatest(low, high))).alias("k"))
     )
 
 
@@ -91,7 +96,7 @@ def _deletion_keys(levels: DataFrame) -> DataFrame:
         F.concat(F.array(text), once, twice)
     )
     return levels.where(F.col("k") <= DELETION_EDITS).select(
-        "v", F.col("k"), F.lit(0).alias("size_r"), F.lit(0).alias("piece"),
+        *_own(levels), F.col("k"), F.lit(0).alias("size_r"), F.lit(0).alias("piece"),
         F.explode(F.array_distinct(keys)).alias("key"),
     )
 
@@ -105,7 +110,7 @@ def _piece_bounds(size, k, i):
 
 def _piece_keys(levels: DataFrame) -> DataFrame:
     rows = levels.where(F.col("k") > DELETION_EDITS).select(
-        "v", "k", F.col("size").alias("size_r"),
+        *_own(levels), "k", F.col("size").alias("size_r"),
         F.explode(F.sequence(F.lit(0), F.col("k"))).alias("piece"),
     )
     start, length = _piece_bounds(F.col("size_r"), F.col("k"), F.col("piece"))
@@ -137,11 +142,21 @@ def _probe_keys(levels: DataFrame) -> DataFrame:
     begin = start + off
     return rows.where(
         reachable & (begin >= 1) & (begin + length - 1 <= F.col("size"))
-    ).select("v", "k", "size_r", "piece", F.substring("v", begin, length).alias("key"))
+    ).select(*_own(levels), "k", "size_r", "piece", F.substring("v", begin, length).alias("key"))
+
+
+def _own(rows: DataFrame) -> list[str]:
+    """The value, and its block if there are blocks."""
+    return [c for c in ("block", "v") if c in rows.columns]
 
 
 def _meet(left: DataFrame, right: DataFrame) -> DataFrame:
-    on = ["k", "size_r", "piece", "key"]
-    a = left.select(*on, F.col("v").alias("lv"))
-    b = right.select(*on, F.col("v").alias("rv"))
-    return a.join(b, on).select("lv", "rv")
+    """Pairs under a common key. Keys are hashes: whoever shares one by accident is not similar."""
+    blocks = _own(left)[:-1]
+    key = F.xxhash64(*blocks, "k", "size_r", "piece", "key").alias("hash")
+    a = left.select(key, *blocks, F.col("v").alias("lv"))
+    b = right.select(key, *[F.col(x).alias("other") for x in blocks], F.col("v").alias("rv"))
+    met = a.join(shuffled(b), "hash")
+    if blocks:
+        met = met.where(F.col("block") == F.col("other"))
+    return met.select(*blocks, "lv", "rv")
