@@ -47,3 +47,12 @@ def test_first_trees_are_those_of_a_shorter_training(train):
     assert cut.treeWeights == short.treeWeights
     shown = ["rawPrediction", "probability", "prediction"]
     assert cut.transform(train).select(*shown).collect() == short.transform(train).select(*shown).collect()
+
+
+def test_a_network_that_stopped_stands_for_more_iterations(train, monkeypatch):
+    sets = [{"layout": 1, "alpha": a, "iterations": i} for a in (1e-3, 1e-4) for i in (2, 4, 4000, 8000)]
+    alone = each_alone(train, "NN", sets)
+    fits = counted(monkeypatch)
+    assert scores(train, "NN", sets) == alone
+    # Two and four iterations are cut short, 4,000 are not.
+    assert sorted(p["iterations"] for p in fits) == [2, 2, 4, 4, 4000, 4000]
